@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausula.llm import exact_dedup
+from clausula.llm import exact_dedup, near_dedup, secrets, toxicity
 from clausula.llm.shared import documents
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), k=2, percent=80)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(documents(spark, sf_dir))
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
@@ -22,7 +34,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY length(t) DESC, doc_id)
 
 
 def queries():
-    return {"op6_exact_dedup": op6_exact_dedup}
+    return {"op1_toxicity": op1_toxicity, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op9_secret_scans": op9_secret_scans}
 
 
 def oracle_sql():
