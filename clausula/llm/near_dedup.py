@@ -10,12 +10,13 @@ error (each chunk with each one of its symbols left out) makes such chunks meet
 Links are then confirmed on full shingle sets. No bucket emits all its pairs:
   1. equal sets are one class, and only one text of a class goes on;
   2. in each bucket every member is compared with the bucket's first member; links give components;
-  3. where a bucket holds several components, each member of the smaller one that is within
-     DISTANCE of a member of another is compared with all members of that component.
+  3. where a bucket holds several components with members within DISTANCE of each other, a forest of
+     edges joins these components to clusters, and all members of a cluster's components are
+     compared, but for members of one large component with each other.
 After step 3 no pair of different components within DISTANCE is left uncompared, so the components
-are those of all links. Comparisons run in cells: blocks of at most BLOCK members are held while
-any number of visitors stream past them; both sides are dealt by hash, so a group may hold any
-share of the rows. A cell emits one link a visitor.
+are those of all links. Comparisons run in cells: a block of about BLOCK members is held, as
+postings of their shingles, while another block streams past it; blocks are dealt by hash, so a
+group may hold any share of the rows. A visitor gives one link for each other component it meets.
 
 Defined results: a text without words (or null) has an empty set, is linked with nothing and is its
 own component. Rows that repeat a doc_id share one component. A null doc_id gets no component and
@@ -154,76 +155,103 @@ def _runs(batches, key: str):
         yield pa.Table.from_batches(held)
 
 
-def _visits(batches):
-    """Of each bucket of several components: (visitor, component) for members near a member of a larger component."""
+def _meetings(batches):
+    """Of each bucket of several components: pairs of components that join all those with members near each other (a forest)."""
     seen: set[tuple[int, int]] = set()
+
+    def out():
+        return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in seen], pa.int64()), "b": pa.array([c for _, c in seen], pa.int64())})
+
     for t in _runs(batches, "key"):
-        comp, size, rep = (t[c].to_numpy() for c in ("comp", "size", "rep"))
-        sig = _as_matrix(t["sig"])
-        order = np.lexsort((rep, comp, -size))
-        comp, size, rep, sig = comp[order], size[order], rep[order], sig[order]
+        comp, sig = t["comp"].to_numpy(), _as_matrix(t["sig"])
+        root = {c: c for c in comp.tolist()}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
         for i in range(0, len(comp), 256):
-            for j in range(i, len(comp), 256):  # i: the larger component
-                if comp[i] == comp[min(j + 255, len(comp) - 1)]:
+            for j in range(i, len(comp), 256):
+                if comp[i] == comp[min(j + 255, len(comp) - 1)]:  # rows are sorted by component
                     continue
                 near = (sig[i : i + 256, None, :] != sig[None, j : j + 256, :]).sum(2) <= DISTANCE
-                near &= comp[i : i + 256, None] != comp[None, j : j + 256]
-                if i == j:
-                    near = np.triu(near)
-                x, y = np.nonzero(near)
-                seen.update(zip(rep[j + y].tolist(), comp[i + x].tolist()))
+                x, y = np.nonzero(near & (comp[i : i + 256, None] < comp[None, j : j + 256]))
+                for a, c in set(zip(comp[i + x].tolist(), comp[j + y].tolist())):
+                    a, c = find(a), find(c)
+                    if a != c:
+                        root[max(a, c)] = min(a, c)
+                        seen.add((min(a, c), max(a, c)))
         if len(seen) > 100_000:
-            yield pa.RecordBatch.from_pydict({"b": pa.array([a for a, _ in seen], pa.int64()), "cell": pa.array([c for _, c in seen], pa.int64())})
+            yield out()
             seen.clear()
     if seen:
-        yield pa.RecordBatch.from_pydict({"b": pa.array([a for a, _ in seen], pa.int64()), "cell": pa.array([c for _, c in seen], pa.int64())})
+        yield out()
 
 
 def _confirm(batches, k: int, percent: int):
-    """In rows sorted by cell and side: a visitor and the first member of its cell that is similar enough."""
-    now, members = None, []
-    ready = None
+    """In rows sorted by cell and side: links of each visitor with one similar member of each other component."""
+    now, members, ready = None, [], None
     for b in batches:
-        cell, block, salt, side, ident = (b[c].to_pylist() for c in ("cell", "block", "salt", "side", "id"))
+        cell, side, ident, comp = (b[c].to_pylist() for c in ("cell", "side", "id", "comp"))
         found = []
         for first, h, place in shingle_sets(b["text"], k):
             for i in range(len(place) - 1):
                 r = first + i
-                if (cell[r], block[r], salt[r]) != now:
-                    now, members, ready = (cell[r], block[r], salt[r]), [], None
+                if cell[r] != now:
+                    now, members, ready = cell[r], [], None
                 u = np.unique(h[place[i] : place[i + 1]])
                 if side[r] == 0:
-                    members.append((ident[r], u))
+                    members.append((ident[r], comp[r], u))
                     continue
                 if ready is None:  # all members have come: postings of their shingles
-                    sizes = np.array([len(m) for _, m in members], np.int64)
-                    every = np.concatenate([m for _, m in members]) if members else np.zeros(0, np.uint64)
+                    sizes = np.array([len(m) for *_, m in members], np.int64)
+                    every = np.concatenate([m for *_, m in members]) if members else np.zeros(0, np.uint64)
                     o = np.argsort(every, kind="stable")
-                    ready = sizes, every[o], np.repeat(np.arange(len(members)), sizes)[o]
-                sizes, every, whose = ready
+                    ready = sizes, every[o], np.repeat(np.arange(len(members)), sizes)[o], np.array([c for _, c, _ in members], np.int64)
+                sizes, every, whose, comps = ready
                 if not len(every):
                     continue
                 lo, hi = np.searchsorted(every, u, "left"), np.searchsorted(every, u, "right")
                 n = hi - lo
                 at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 both = np.bincount(whose[at], minlength=len(members))
-                ok = np.flatnonzero(100 * both >= percent * (sizes + len(u) - both))
+                ok = np.flatnonzero((100 * both >= percent * (sizes + len(u) - both)) & (comps != comp[r]))
                 if len(ok):
-                    found.append((members[ok[0]][0], ident[r]))
+                    found += [(members[m][0], ident[r]) for m in ok[np.unique(comps[ok], return_index=True)[1]]]
         if found:
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
 
-def _confirmed(members: DataFrame, visitors: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links of visitors (cell, id) with members (cell, id) of their cells, on full sets."""
-    m = members.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    v = visitors.groupBy("cell").count().select("cell", F.ceil(F.col("count") / VISITORS).alias("salts"))
-    both = m.join(v, "cell")
-    dealt_m = members.join(both, "cell").select("cell", "id", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"))
-    dealt_v = visitors.join(both, "cell").select("cell", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), "salts").alias("salt"), F.lit(1).alias("side"))
-    rows = dealt_m.unionByName(dealt_v).join(texts, "id").select("cell", "block", "salt", "side", "id", "text")
-    order = ["cell", "block", "salt", "side"]
-    return rows.repartition("cell", "block", "salt").sortWithinPartitions(*order).mapInArrow(lambda it: _confirm(it, k, percent), "a long, b long")
+def _confirmed(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links found in cells. rows: cell, side (0 held, 1 streamed past), id, comp (the component so far)."""
+    dealt = rows.join(texts, "id").select("cell", "side", "id", "comp", "text")
+    return dealt.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(lambda it: _confirm(it, k, percent), "a long, b long")
+
+
+def _star_cells(near: DataFrame) -> DataFrame:
+    """Cells of one first member each; where many are near it, several cells."""
+    parts = near.groupBy("a").agg(F.ceil(F.count("*") / VISITORS).alias("parts"))
+    held = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(F.xxhash64("a", "part").alias("cell"), F.lit(0).alias("side"), F.col("a").alias("id"))
+    past = near.join(parts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), "parts")).alias("cell"), F.lit(1).alias("side"), F.col("b").alias("id"))
+    return held.unionByName(past).withColumn("comp", F.col("id"))
+
+
+def _cluster_cells(meetings: DataFrame, comp: DataFrame) -> DataFrame:
+    """Cells that bring all members of components that meet together, in pairs of blocks; blocks of one large component meet only others."""
+    cluster = components(meetings).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
+    inside = cluster.join(comp.select(F.col("component").alias("comp"), F.col("node").alias("id")), "comp", "left").withColumn("id", F.coalesce("id", "comp"))
+    large = inside.groupBy("cluster", "comp").count().withColumn("own", F.when(F.col("count") > BLOCK, F.col("comp")).otherwise(-1)).withColumn("large", F.col("count") > BLOCK).drop("count")
+    grouped = written(inside.join(large, ["cluster", "comp"]), "clusters")
+    parts = grouped.groupBy("cluster", "own", "large").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    blocks = parts.select("cluster", "own", "large", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"))
+    a, b = blocks.toDF("cluster", "own_a", "large_a", "block_a"), blocks.drop("large").toDF("cluster", "own_b", "block_b")
+    ordered = "(own_a < own_b OR (own_a = own_b AND block_a <= block_b)) AND NOT (large_a AND own_a = own_b)"
+    cells = a.join(b, "cluster").where(ordered).withColumn("cell", F.xxhash64("cluster", "own_a", "block_a", "own_b", "block_b"))
+    placed = grouped.join(parts.drop("large"), ["cluster", "own"]).select("cluster", "own", F.pmod(F.xxhash64("id"), "parts").alias("block"), "id", "comp")
+    sides = [cells.select("cluster", F.col(f"own_{x}").alias("own"), F.col(f"block_{x}").alias("block"), "cell", F.lit(i).alias("side")) for i, x in enumerate("ab")]
+    return placed.join(sides[0].unionByName(sides[1]), ["cluster", "own", "block"]).select("cell", "side", "id", "comp")
 
 
 def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
@@ -242,14 +270,12 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     maybe = docs.where(bloom.may_contain(docs, F.col("doc_id"), bloom.filter_of(wanted, F.col("id"), bits)))
     texts = written(maybe.join(wanted, maybe.doc_id == wanted.id, "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
 
-    first = written(_confirmed(near.select(F.col("a").alias("cell"), F.col("a").alias("id")).distinct(), near.select(F.col("a").alias("cell"), F.col("b").alias("id")), texts, k, percent), "links")
-    comp = components(first)
-    sized = comp.join(comp.groupBy("component").agg(F.count("*").alias("size")), "component")
-    at = shared.select("key", "rep").join(sized.select(F.col("node").alias("rep"), F.col("component").alias("comp"), "size"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
+    first = written(_confirmed(_star_cells(near), texts, k, percent), "links")
+    comp = written(components(first), "components")
+    at = shared.select("key", "rep").join(comp.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    visits = written(at.join(mixed, "key").join(sig, "rep").repartition("key").sortWithinPartitions("key", "comp").mapInArrow(_visits, "b long, cell long").distinct(), "visits")
-    members = visits.select("cell").distinct().join(comp.select(F.col("component").alias("cell"), F.col("node").alias("id")), "cell", "left").select("cell", F.coalesce("id", "cell").alias("id"))
-    second = _confirmed(members, visits.select("cell", F.col("b").alias("id")), texts, k, percent)
+    meetings = at.join(mixed, "key").join(sig, "rep").select("key", "comp", "sig").repartition("key").sortWithinPartitions("key", "comp").mapInArrow(_meetings, "a long, b long").distinct()
+    second = _confirmed(_cluster_cells(meetings, comp), texts, k, percent)
     links = written(first.unionByName(second), "links")
     final = components(links).select(F.col("node").alias("rep"), "component")
     labelled = classes.join(final, "rep", "left").select("one", "two", "n_shingles", F.coalesce("component", "rep").alias("component"))

@@ -1,11 +1,19 @@
-"""The queries of this subpackage and their SQL."""
+"""The queries of this subpackage, with production parameters over whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clausula.llm import exact_dedup, near_dedup, secrets, toxicity
-from clausula.llm.shared import documents
+from clausula.llm import exact_dedup, hamming_search, lm, near_dedup, packing, pieces, secrets, sharding, token_files, toxicity
+from clausula.llm.shared import documents, scratch
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; it is never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,14 +24,56 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), k=2, percent=80)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placed(sharding.sharded(documents(spark, sf_dir), scratch(spark, "shards"))).drop("shard")
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_ids(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=1)
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op7_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0, k=10)
+
+
+def op8_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(documents(spark, sf_dir))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) WHEN len(w) = 1 THEN w ELSE [] END AS g FROM d),
+c AS (SELECT g, n_shingles, min(doc_id) AS rep, list(doc_id) AS ids FROM (SELECT list_sort(g) AS g, len(g) AS n_shingles, doc_id FROM s) GROUP BY ALL),
+x AS (SELECT rep, n_shingles, unnest(g) AS h FROM c),
+p AS (
+  SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.h = b.h AND a.rep <> b.rep AND 100 * a.n_shingles >= 80 * b.n_shingles AND 100 * b.n_shingles >= 80 * a.n_shingles
+  GROUP BY a.rep, b.rep, a.n_shingles, b.n_shingles HAVING 100 * count(*) >= 80 * (a.n_shingles + b.n_shingles - count(*))),
+r(node, reached) AS (SELECT rep, rep FROM c UNION SELECT r.node, p.b FROM r JOIN p ON r.reached = p.a),
+m AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
+SELECT doc_id, n_shingles, CASE WHEN n_shingles = 0 THEN doc_id ELSE component_id END AS component_id, n_shingles = 0 OR doc_id = component_id AS kept
+FROM (SELECT unnest(ids) AS doc_id, n_shingles, rep FROM c) JOIN m ON rep = node
+"""
+
+OP3_SQL = "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, true AS listed FROM documents"
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
@@ -32,10 +82,21 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY length(t) DESC, doc_id)
 """
 
+OP7_SQL = """
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings),
+p AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q.bits[i] <> v.bits[i] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+  FROM c q JOIN c v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p) WHERE rank <= 10
+"""
+
+_ALL = (op1_toxicity, op2_minhash_near_dedup, op3_sharding, op4_token_ids, op5_lm_scoring, op6_exact_dedup, op7_hamming_top_k, op8_unigram_pieces, op9_secret_scans, op10_best_fit_packing)
+
 
-def queries():
-    return {"op1_toxicity": op1_toxicity, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op9_secret_scans": op9_secret_scans}
+def queries() -> dict:
+    return {f.__name__: f for f in _ALL}
 
 
-def oracle_sql():
-    return {"op6_exact_dedup": OP6_SQL}
+def oracle_sql() -> dict[str, str]:
+    return {"op2_minhash_near_dedup": OP2_SQL, "op3_sharding": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op7_hamming_top_k": OP7_SQL}
