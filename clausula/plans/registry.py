@@ -1,17 +1,526 @@
-"""All queries of the contract engine by name."""
+"""All queries of the contract engine by name, with the SQL that must give the same rows.
+
+Each applies one operator of the library to whole driver tables. The tables hold no contract
+documents, so nodes, edges and versions are derived from their keys by fixed rules; the operators
+over JSON and Markdown documents are tested on documents of their own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from clausula.functions import documents as D
+from clausula.functions import scalars as S
+from clausula.operators import closure, constraints, evolution, instances, packages, units, verdict
+from clausula.operators.constraints import Constraint
+from clausula.plans.tables import load
+from clausula.sources import markdown
+from clausula.streaming import occurrences
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+LINE_RULES = [
+    Constraint("l_quantity", "min", 2.0, "QUANTITY_MIN"),
+    Constraint("l_quantity", "max", 45.0, "QUANTITY_MAX"),
+    Constraint("l_discount", "exclusiveMax", 0.08, "DISCOUNT_EXCLUSIVE_MAX"),
+    Constraint("l_tax", "exclusiveMin", 0.0, "TAX_EXCLUSIVE_MIN"),
+    Constraint("l_returnflag", "enumValues", ("A", "R"), "RETURNFLAG_ENUM"),
+]
+
+
+@query("""
+SELECT code, CAST(n AS BIGINT) AS n FROM (
+  SELECT 'QUANTITY_MIN' AS code, count(*) FILTER (l_quantity < 2) AS n FROM lineitem UNION ALL
+  SELECT 'QUANTITY_MAX', count(*) FILTER (l_quantity > 45) FROM lineitem UNION ALL
+  SELECT 'DISCOUNT_EXCLUSIVE_MAX', count(*) FILTER (l_discount >= 0.08::DOUBLE) FROM lineitem UNION ALL
+  SELECT 'TAX_EXCLUSIVE_MIN', count(*) FILTER (l_tax <= 0) FROM lineitem UNION ALL
+  SELECT 'RETURNFLAG_ENUM', count(*) FILTER (l_returnflag NOT IN ('A', 'R')) FROM lineitem)""")
+def constraint_counts(spark, sf):
+    return constraints.violation_counts(load(spark, sf, "lineitem"), LINE_RULES)
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, code, field FROM (
+  SELECT *, unnest([CASE WHEN l_quantity > 45 THEN {'code': 'QUANTITY_MAX', 'field': 'l_quantity'} END, CASE WHEN l_discount >= 0.08::DOUBLE THEN {'code': 'DISCOUNT_EXCLUSIVE_MAX', 'field': 'l_discount'} END], recursive := true) FROM lineitem)
+WHERE code IS NOT NULL""")
+def constraint_findings(spark, sf):
+    return constraints.findings(load(spark, sf, "lineitem"), [LINE_RULES[1], LINE_RULES[2]], ["l_orderkey", "l_linenumber"])
+
+
+@query("""
+SELECT verdict, count(*) AS n FROM (
+  SELECT CASE WHEN l_quantity < 2 THEN 'QUANTITY_MIN' WHEN l_quantity > 45 THEN 'QUANTITY_MAX' WHEN l_discount >= 0.08::DOUBLE THEN 'DISCOUNT_EXCLUSIVE_MAX'
+    WHEN l_tax <= 0 THEN 'TAX_EXCLUSIVE_MIN' WHEN l_returnflag NOT IN ('A', 'R') THEN 'RETURNFLAG_ENUM' ELSE 'OK' END AS verdict FROM lineitem) GROUP BY verdict""")
+def admit_instance(spark, sf):
+    return constraints.admitted(load(spark, sf, "lineitem"), LINE_RULES, ["l_orderkey"]).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, 'P_NAME_PATTERN' AS code, 'p_name' AS field FROM part WHERE NOT regexp_matches(p_name, '^[a-m]')")
+def constraint_pattern(spark, sf):
+    return constraints.findings(load(spark, sf, "part"), [Constraint("p_name", "pattern", "^[a-m]")], ["p_partkey"])
+
+
+@query("""
+SELECT doc_id, code, field FROM (
+  SELECT doc_id, unnest([CASE WHEN length(text) < 200 THEN {'code': 'TEXT_MINLENGTH', 'field': 'text'} END, CASE WHEN length(text) > 6000 THEN {'code': 'TEXT_MAXLENGTH', 'field': 'text'} END, CASE WHEN length(lang) = 0 THEN {'code': 'LANG_NONEMPTY', 'field': 'lang'} END], recursive := true) FROM documents)
+WHERE code IS NOT NULL""")
+def constraint_length(spark, sf):
+    rules = [Constraint("text", "minLength", 200), Constraint("text", "maxLength", 6000), Constraint("lang", "nonEmpty")]
+    return constraints.findings(load(spark, sf, "documents"), rules, ["doc_id"])
+
+
+@query("""
+SELECT o_custkey, 'STATUSES_UNIQUE' AS code, 'statuses' AS field FROM (SELECT o_custkey, list(o_orderpriority) AS s FROM orders GROUP BY o_custkey) WHERE len(list_distinct(s)) <> len(s)""")
+def constraint_unique(spark, sf):
+    per = load(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("statuses"))
+    return constraints.findings(per, [Constraint("statuses", "unique")], ["o_custkey"])
+
+
+@query(r"SELECT page_id, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:\S+$') AS is_uri, regexp_matches(url, '^[^@\s]+@[^@\s]+\.[^@\s]+$') AS is_email FROM pages")
+def constraint_format(spark, sf):
+    return load(spark, sf, "pages").select("page_id", S.matches_format("url", "uri").alias("is_uri"), S.matches_format("url", "email").alias("is_email"))
+
+
+@query("""
+SELECT p_brand, max(CASE WHEN p_size < 25 THEN p_size END) AS lower, min(CASE WHEN p_size >= 25 THEN p_size - 1 END) AS upper,
+  coalesce(max(CASE WHEN p_size < 25 THEN p_size END) > min(CASE WHEN p_size >= 25 THEN p_size - 1 END), false) AS empty FROM part GROUP BY p_brand""")
+def integer_range(spark, sf):
+    p = load(spark, sf, "part").select("p_brand", F.when(F.col("p_size") < 25, "min").otherwise("exclusiveMax").alias("keyword"), F.col("p_size").alias("value"))
+    return constraints.effective_range(p, "p_brand")
+
+
+# Instances
+
+
+@query("""
+SELECT event_id, CASE WHEN json_exists(props, '$.k') THEN 'value' ELSE 'absent' END AS state FROM events""")
+def presence_report(spark, sf):
+    return instances.presence(load(spark, sf, "events"), "props", "k").select("event_id", "state")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, 'none' AS unit FROM events")
+def default_fill(spark, sf):
+    fields = [instances.Field("k"), instances.Field("unit", default="none")]
+    return instances.prepared(load(spark, sf, "events"), "props", fields).select("event_id", "k", "unit")
+
+
+@query("""
+SELECT code, count(*) AS n FROM (SELECT unnest(CASE WHEN json_exists(props, '$.k') THEN ['MISSING_UNIT', 'UNKNOWN_K'] ELSE ['MISSING_UNIT'] END) AS code FROM events) GROUP BY code""")
+def record_check(spark, sf):
+    codes = instances.record_codes(F.col("props"), [instances.Field("unit", required=True)])
+    return load(spark, sf, "events").select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_type NOT IN ('click', 'purchase') THEN 'UNKNOWN_VARIANT' WHEN (event_type = 'click') <> (value < 50) THEN 'PAYLOAD_MISMATCH' ELSE 'OK' END AS code FROM events""")
+def union_check(spark, sf):
+    v = F.col("value")
+    payloads = {"click": F.when(v < 50, v), "purchase": F.when(v >= 50, v)}
+    return load(spark, sf, "events").select("event_id", instances.union_code(F.col("event_type"), payloads).alias("code"))
+
+
+@query("SELECT vec_id, list_transform(list_filter(range(64), lambda i: embedding[i + 1] > 1.5), lambda i: CAST(i AS INTEGER)) AS places FROM embeddings")
+def sequence_check(spark, sf):
+    return load(spark, sf, "embeddings").select("vec_id", instances.sequence_faults(F.col("embedding"), lambda x: x <= 1.5).alias("places"))
+
+
+@query("SELECT o_custkey, list_sort(list(DISTINCT o_orderkey) FILTER (o_totalprice > 100000)) AS keys FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_totalprice > 100000) > 0")
+def map_check(spark, sf):
+    m = load(spark, sf, "orders").groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("m"))
+    faults = instances.map_faults(F.col("m"), lambda k: k > 0, lambda v: v <= 100000)
+    return m.select("o_custkey", faults.alias("keys")).where(F.size("keys") > 0)
+
+
+@query("SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey HAVING n < 2 OR n > 6")
+def multiplicity_check(spark, sf):
+    return instances.multiplicity_faults(load(spark, sf, "lineitem"), load(spark, sf, "orders"), "l_orderkey", "o_orderkey", 2, 6)
+
+
+@query("""
+WITH m AS (SELECT p_brand AS owner, min(p_size) AS lower, max(p_size) AS upper FROM part WHERE p_partkey % 5 = 0 GROUP BY 1)
+SELECT p_partkey, lower, upper FROM part JOIN m ON p_brand = owner WHERE p_size < lower OR p_size > upper""")
+def redefinition_narrows(spark, sf):
+    p = load(spark, sf, "part")
+    m = p.where("p_partkey % 5 = 0").groupBy(F.col("p_brand").alias("owner")).agg(F.min("p_size").alias("lower"), F.max("p_size").alias("upper"))
+    return p.join(m, (p.p_brand == m.owner) & ((p.p_size < m.lower) | (p.p_size > m.upper))).select("p_partkey", "lower", "upper")
+
+
+# Scalars
+
+
+@query(r"""
+SELECT p_partkey, trim(regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g'), '-') AS slug, 'ix://tpch/part/' || trim(regexp_replace(p_brand, '[^A-Za-z0-9]+', '-', 'g'), '-') || '/' || trim(regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g'), '-') AS identity,
+  'TPCH_' || upper(replace(trim(regexp_replace(p_brand, '[^A-Za-z0-9]+', '-', 'g'), '-'), '-', '_')) || '_SIZE_MAX' AS code FROM part""")
+def minted_names(spark, sf):
+    return load(spark, sf, "part").select("p_partkey", S.slug("p_name").alias("slug"), S.mint_identity(F.lit("tpch"), F.lit("part"), "p_brand", "p_name").alias("identity"), S.diagnostic_code(F.lit("tpch"), "p_brand", F.lit("size"), F.lit("max")).alias("code"))
+
+
+@query("""
+SELECT o_orderkey, CAST(epoch_us(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS HUGEINT) * 1000 AS date_ns, CAST(epoch_us(o_orderdate) AS HUGEINT) * 1000 + 789 AS time_ns, CAST(o_orderkey % 50 AS BIGINT) * 86400000000 + 5400000000 + 250000 AS micros FROM orders""")
+def instants(spark, sf):
+    o = load(spark, sf, "orders")
+    text = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("789Z"))
+    duration = F.concat(F.lit("P"), (F.col("o_orderkey") % 50).cast("string"), F.lit("DT1H30M0.25S"))
+    return o.select("o_orderkey", S.date_instant(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date_ns"), S.date_time_instant(text).alias("time_ns"), S.duration_micros(duration).alias("micros"))
+
+
+@query("""
+SELECT p_partkey, CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE) = p_retailprice AS float32, p_partkey <= 1000 AS i128,
+  CASE WHEN CAST(p_partkey AS DECIMAL(38,18)) < CAST(p_size AS DECIMAL(38,18)) THEN -1 WHEN CAST(p_partkey AS DECIMAL(38,18)) > CAST(p_size AS DECIMAL(38,18)) THEN 1 ELSE 0 END AS cmp,
+  CASE WHEN p_partkey // gcd(p_partkey, p_size) IS NULL THEN NULL WHEN p_size // gcd(p_partkey, p_size) = 1 THEN CAST(p_partkey // gcd(p_partkey, p_size) AS VARCHAR) ELSE CAST(p_partkey // gcd(p_partkey, p_size) AS VARCHAR) || '/' || CAST(p_size // gcd(p_partkey, p_size) AS VARCHAR) END AS ratio
+FROM part""")
+def exact_numbers(spark, sf):
+    big = F.when(F.col("p_partkey") <= 1000, F.lit(S.I128_MAX)).otherwise(F.lit(S.I128_MIN_ABS))
+    ratio = S.canonical_rational(F.concat_ws("/", F.col("p_partkey").cast("string"), F.col("p_size").cast("string")))
+    return load(spark, sf, "part").select("p_partkey", S.float32_exact("p_retailprice").alias("float32"), S.fits_i128(big).alias("i128"), S.decimal_compare("p_partkey", "p_size").alias("cmp"), ratio.alias("ratio"))
+
+
+@query(r"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS plain, regexp_matches(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.50', '^(0|-?([1-9][0-9]*(\.[0-9]*[1-9])?|0\.[0-9]*[1-9]))$') AS canonical, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.5' AS normal, l_quantity < 10 AS fits FROM lineitem""")
+def decimal_text(spark, sf):
+    q = F.col("l_quantity").cast("long").cast("string")
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", S.normal_decimal(F.concat(F.lit("00"), q, F.lit(".000"))).alias("plain"), S.is_canonical_decimal(F.concat(q, F.lit(".50"))).alias("canonical"), S.normal_decimal(F.concat(q, F.lit(".50"))).alias("normal"), S.within_decimal(F.concat(q, F.lit(".5")), 2, 1).alias("fits"))
+
+
+@query("""
+SELECT doc_id, sha256(text) AS digest, octet_length(encode(text)) AS octets, length(text) AS points, replace(replace(source || '/~' || lang, '~', '~0'), '/', '~1') AS escaped FROM documents""")
+def text_functions(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", S.digest("text").alias("digest"), S.base64_octets(F.regexp_replace(F.base64(F.encode("text", "utf-8")), r"\s", "")).cast("long").alias("octets"), S.code_points("text").cast("long").alias("points"), S.pointer_escape(F.concat("source", F.lit("/~"), "lang")).alias("escaped"))
+
+
+@query("""SELECT n_nationkey, '{"k":' || n_nationkey || ',"n":"' || n_name || '"}' AS canonical FROM nation""")
+def canonical_text(spark, sf):
+    text = F.concat(F.lit('{ "n" : "'), "n_name", F.lit('", "k": '), F.col("n_nationkey").cast("string"), F.lit(".0 }"))
+    return load(spark, sf, "nation").select("n_nationkey", D.canonical_json(text).alias("canonical"))
+
+
+# Uniqueness, references, sets
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, count(*) - 1 AS repeats FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
+def duplicate_identity(spark, sf):
+    nth = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_shipdate"))
+    return load(spark, sf, "lineitem").withColumn("n", nth).where("n > 1").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("repeats"))
+
+
+@query("""
+SELECT p_partkey, p_name, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS n FROM part) WHERE n > 1""")
+def duplicate_name(spark, sf):
+    nth = F.row_number().over(Window.partitionBy("p_brand", "p_name").orderBy("p_partkey"))
+    return load(spark, sf, "part").withColumn("n", nth).where("n > 1").select("p_partkey", "p_name", "p_brand")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)")
+def unresolved_reference(spark, sf):
+    known = load(spark, sf, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    return load(spark, sf, "lineitem").join(known, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def resolved_reference(spark, sf):
+    some = load(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return load(spark, sf, "orders").join(some, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT s_nationkey, s_suppkey, s_name FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) = 1")
+def first_wins_index(spark, sf):
+    first = load(spark, sf, "supplier").groupBy("s_nationkey").agg(F.min(F.struct("s_suppkey", "s_name")).alias("f"))
+    return first.select("s_nationkey", "f.s_suppkey", "f.s_name")
+
+
+@query("SELECT l_partkey, count(DISTINCT l_suppkey) AS owners FROM lineitem GROUP BY 1 HAVING owners > 1")
+def exclusive_membership(spark, sf):
+    return load(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("owners")).where("owners > 1")
+
+
+@query("SELECT p_name AS name, count(DISTINCT p_brand) AS n, min(p_brand) AS first FROM part GROUP BY 1 HAVING n > 1")
+def mint_collisions(spark, sf):
+    return packages.mint_collisions(load(spark, sf, "part").withColumnRenamed("p_name", "name"), "p_brand", "name")
+
+
+@query("""
+SELECT p_name || p_size AS word, 'removed' AS change FROM part WHERE p_partkey % 3 = 0 AND p_name || p_size NOT IN (SELECT p_name || p_size FROM part WHERE p_size > 25) GROUP BY 1
+UNION ALL SELECT p_name || p_size, 'added' FROM part WHERE p_size > 25 AND p_name || p_size NOT IN (SELECT p_name || p_size FROM part WHERE p_partkey % 3 = 0) GROUP BY 1""")
+def vocabulary_difference(spark, sf):
+    p = load(spark, sf, "part").withColumn("word", F.concat("p_name", F.col("p_size").cast("string")))
+    return evolution.diff_members(p.where("p_partkey % 3 = 0").select("word").distinct(), p.where("p_size > 25").select("word").distinct(), ["word"]).select("word", "change")
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def identity_union(spark, sf):
+    return load(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).union(load(spark, sf, "supplier").select("s_nationkey")).distinct()
+
+
+@query("SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
+def export_intersect(spark, sf):
+    o = load(spark, sf, "orders")
+    return o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).intersect(o.where("o_orderstatus = 'O'").select("o_custkey"))
+
+
+# Aggregations
+
+
+@query("""
+SELECT o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '2-HIGH') AS high, count(*) AS total FROM orders GROUP BY 1""")
+def coverage_pivot(spark, sf):
+    o = load(spark, sf, "orders")
+    return o.groupBy("o_orderstatus").agg(F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.count_if(F.col("o_orderpriority") == "2-HIGH").alias("high"), F.count("*").alias("total"))
+
+
+@query("SELECT event_type, count(*) AS total, count(*) FILTER (value >= 50) AS detected, round(count(*) FILTER (value >= 50) / count(*), 9) AS score FROM events GROUP BY 1")
+def mutation_score(spark, sf):
+    return load(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("value") >= 50).alias("detected")).withColumn("score", F.round(F.col("detected") / F.col("total"), 9))
+
+
+def _findings(spark, sf):
+    l = load(spark, sf, "lineitem")  # noqa: E741
+    severity = F.when(F.col("l_quantity") > 48, "error").when(F.col("l_discount") >= 0.09, "warning").otherwise("info")
+    pointer = F.format_string("/orders/%d/lines/%d", "l_orderkey", "l_linenumber")
+    return l.select(F.col("l_orderkey").cast("string").alias("doc_id"), pointer.alias("pointer"), F.concat(F.lit("C"), F.col("l_returnflag")).alias("code"), severity.alias("severity"), F.col("l_linestatus").alias("message"))
+
+
+@query("""
+SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CASE WHEN bool_or(l_quantity > 48) THEN 'invalid' WHEN bool_or(l_discount >= 0.09::DOUBLE) THEN 'lossy' ELSE 'success' END AS state FROM lineitem GROUP BY 1""")
+def result_state(spark, sf):
+    return verdict.result_state(_findings(spark, sf), "doc_id")
+
+
+@query("""
+WITH f AS (SELECT '/orders/' || l_orderkey || '/lines/' || l_linenumber AS pointer, 'C' || l_returnflag AS code, l_linestatus AS message FROM lineitem)
+SELECT pointer, code, message FROM (SELECT *, row_number() OVER (ORDER BY pointer, code, message) AS n FROM f) WHERE n <= 1000
+UNION ALL SELECT '', 'DIAGNOSTIC_LIMIT', '' FROM (SELECT count(*) AS n FROM f) WHERE n > 1000""")
+def diagnostic_limit(spark, sf):
+    return verdict.limited(_findings(spark, sf).select("pointer", "code", "message"), 1000)
+
+
+@query("""
+WITH f AS (SELECT 'o' AS doc_id, '/o/' || o_orderkey AS pointer FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'o', '/o/' || l_orderkey || '/l/' || l_linenumber FROM lineitem WHERE l_linenumber < 3)
+SELECT DISTINCT pointer FROM f WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_linenumber < 3 AND f.pointer = '/o/' || l_orderkey)""")
+def deepest_findings(spark, sf):
+    o = load(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.format_string("/o/%d", "o_orderkey").alias("pointer"))
+    l = load(spark, sf, "lineitem").where("l_linenumber < 3").select(F.format_string("/o/%d/l/%d", "l_orderkey", "l_linenumber").alias("pointer"))  # noqa: E741
+    f = o.unionByName(l).select(F.lit("o").alias("doc_id"), "pointer", F.lit("C").alias("code"), F.lit("").alias("message"))
+    return verdict.deepest(f).select("pointer")
+
+
+@query("""
+SELECT '/o/' || l_orderkey || '/l/' || l_linenumber AS pointer, CASE WHEN l_orderkey % 3 = 0 THEN 'order-' || l_orderkey ELSE 'root' END AS owner, count(*) AS n FROM lineitem GROUP BY ALL""")
+def nearest_ancestor_owner(spark, sf):
+    nodes = load(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.lit("o").alias("doc_id"), F.format_string("/o/%d", "o_orderkey").alias("pointer"), F.format_string("order-%d", "o_orderkey").alias("identity"))
+    root = spark.createDataFrame([("o", "", "root")], "doc_id string, pointer string, identity string")
+    f = load(spark, sf, "lineitem").select(F.lit("o").alias("doc_id"), F.format_string("/o/%d/l/%d", "l_orderkey", "l_linenumber").alias("pointer"))
+    return verdict.with_owner(f, nodes.unionByName(root)).groupBy("pointer", "owner").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH e AS (SELECT o_orderkey AS k, '/' || o_orderpriority AS pointer, o_orderstatus AS code, row_number() OVER (PARTITION BY o_custkey ORDER BY '/' || o_orderpriority, o_orderstatus) AS n, o_custkey FROM orders WHERE o_orderkey % 5 <> 0),
+o AS (SELECT '/' || o_orderpriority AS pointer, o_orderstatus AS code, row_number() OVER (PARTITION BY o_custkey ORDER BY '/' || o_orderpriority, o_orderstatus) AS n, o_custkey FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT o_custkey, count(*) AS pairs, count(*) FILTER (e.pointer IS NOT DISTINCT FROM o.pointer AND e.code IS NOT DISTINCT FROM o.code) AS same FROM e FULL JOIN o USING (o_custkey, n) GROUP BY 1""")
+def verdict_compare(spark, sf):
+    o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", F.concat(F.lit("/"), "o_orderpriority").alias("pointer"), F.col("o_orderstatus").alias("code"))
+    both = verdict.compared(o.where("o_orderkey % 5 <> 0"), o.where("o_orderkey % 7 <> 0"), "o_custkey")
+    return both.groupBy("o_custkey").agg(F.count("*").alias("pairs"), F.count_if("same").alias("same"))
+
+
+# Graphs: customer k refers to (k * 7) % n, which makes chains, trees and rings
+
+
+@query("""
+WITH RECURSIVE n AS (SELECT c_custkey AS node FROM customer), e AS (SELECT c_custkey AS src, (c_custkey * 7) // 10 AS dst FROM customer WHERE c_custkey % 11 <> 0),
+w(node, place, hops) AS (SELECT node, node, 0 FROM n UNION ALL SELECT w.node, e.dst, w.hops + 1 FROM w JOIN e ON w.place = e.src WHERE e.dst <> w.place AND w.hops < 300)
+SELECT node, CASE WHEN cyc THEN NULL ELSE place END AS terminal, CASE WHEN cyc THEN NULL ELSE CAST(hops AS BIGINT) END AS hops, CASE WHEN cyc THEN 'cycle' WHEN place IN (SELECT node FROM n) THEN 'resolved' ELSE 'unresolved' END AS status
+FROM (SELECT w.*, EXISTS (SELECT 1 FROM e WHERE e.src = w.place AND e.dst = w.place) AS cyc FROM w QUALIFY row_number() OVER (PARTITION BY node ORDER BY hops DESC) = 1)""")
+def alias_resolve(spark, sf):
+    c = load(spark, sf, "customer").select(F.col("c_custkey").alias("node"))
+    refs = c.where("node % 11 <> 0").select(F.col("node").alias("src"), F.expr("node * 7 div 10").alias("dst"))
+    return closure.resolve_chain(refs, c)
+
+
+@query("""
+WITH RECURSIVE a(node, ancestor, distance) AS (SELECT s_suppkey, s_suppkey // 2, 1 FROM supplier WHERE s_suppkey // 2 > 0 UNION ALL SELECT node, ancestor // 2, distance + 1 FROM a WHERE ancestor // 2 > 0)
+SELECT node, ancestor, CAST(distance AS INTEGER) AS distance FROM a""")
+def ancestors(spark, sf):
+    s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("src"), F.expr("s_suppkey div 2").alias("dst")).where("dst > 0")
+    return closure.ancestors(s)
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * 3) % 1000 AS dst FROM part WHERE p_partkey < 1000),
+w(start, place, low, hops) AS (SELECT src, dst, least(src, dst), 1 FROM e UNION ALL SELECT w.start, e.dst, least(w.low, e.dst), w.hops + 1 FROM w JOIN e ON e.src = w.place WHERE w.place <> w.start AND w.hops < 1001)
+SELECT start AS node, low AS component FROM w WHERE place = start""")
+def strong_components(spark, sf):
+    e = load(spark, sf, "part").where("p_partkey < 1000").select(F.col("p_partkey").alias("src"), F.expr("p_partkey * 3 % 1000").alias("dst"))
+    return closure.strong_components(e)
+
+
+@query("""
+SELECT s_suppkey AS unit, CASE WHEN s_suppkey % 10 = 7 THEN NULL ELSE s_suppkey % 10 END AS root, CASE WHEN s_suppkey % 10 = 7 THEN NULL WHEN s_suppkey < 10 THEN 1.0 ELSE 2.0 ^ (length(CAST(s_suppkey AS VARCHAR)) - 1) END AS scale, CASE WHEN s_suppkey % 10 = 7 THEN 'unresolved' ELSE 'ok' END AS status
+FROM supplier WHERE s_suppkey >= 1 AND s_suppkey % 10 <> 0 AND s_suppkey < 100""")
+def unit_roots(spark, sf):
+    s = load(spark, sf, "supplier").where("s_suppkey >= 1 AND s_suppkey % 10 <> 0 AND s_suppkey < 100")
+    u = s.select(F.col("s_suppkey").alias("unit"), F.expr("CASE WHEN s_suppkey % 10 = 7 THEN -1 WHEN s_suppkey >= 10 THEN s_suppkey % 10 END").alias("target"), F.lit(2.0).alias("scale"), F.lit(0.0).alias("offset"))
+    return units.to_root(u).select("unit", "root", "scale", "status")
+
+
+# Change of contracts: the second version is derived by a rule
+
+
+def _type_versions(spark, sf):
+    p = load(spark, sf, "part").select(F.concat(F.lit("ix://p/"), F.col("p_partkey").cast("string")).alias("identity"), "p_partkey", F.col("p_type").alias("kind"), F.when(F.col("p_size") % 2 == 0, "date").otherwise("float32").alias("scalar"), F.col("p_name").alias("display_name"), F.lit("preserve").alias("unknown_policy"))
+    before = p.where("p_partkey % 10 <> 1")
+    after = p.where("p_partkey % 10 <> 2").withColumns({"scalar": F.when(F.col("p_partkey") % 4 == 0, "datetime").otherwise(F.col("scalar")), "display_name": F.when(F.col("p_partkey") % 6 == 0, "renamed").otherwise(F.col("display_name")), "unknown_policy": F.when(F.col("p_partkey") % 9 == 0, "reject").otherwise(F.col("unknown_policy"))})
+    return before.drop("p_partkey"), after.drop("p_partkey")
+
+
+_CHANGES = """
+SELECT identity, change, classification FROM (
+  SELECT 'ix://p/' || p_partkey AS identity, unnest(CASE WHEN p_partkey % 10 = 2 THEN [{'change': 'removed', 'classification': 'breaking'}] WHEN p_partkey % 10 = 1 THEN [{'change': 'added', 'classification': 'additive'}] ELSE [
+    CASE WHEN p_partkey % 4 = 0 THEN {'change': 'scalar', 'classification': CASE WHEN p_size % 2 = 0 THEN 'conditional' ELSE 'breaking' END} END,
+    CASE WHEN p_partkey % 6 = 0 AND p_name <> 'renamed' THEN {'change': 'display_name', 'classification': 'patch'} END,
+    CASE WHEN p_partkey % 9 = 0 THEN {'change': 'unknown_policy', 'classification': 'breaking'} END] END, recursive := true)
+  FROM part) WHERE change IS NOT NULL"""
+
+
+@query(_CHANGES)
+def diff_types(spark, sf):
+    return evolution.diff_types(*_type_versions(spark, sf))
+
+
+@query(f"""
+SELECT identity, ['patch', 'additive', 'conditional', 'unknown', 'breaking', 'invalid'][max(list_position(['patch', 'additive', 'conditional', 'unknown', 'breaking', 'invalid'], classification))] AS classification FROM ({_CHANGES}) GROUP BY identity""")
+def worst_classification(spark, sf):
+    return evolution.worst(diff_types(spark, sf), "identity")
+
+
+@query("""
+SELECT owner, name, change, classification FROM (
+  SELECT c_mktsegment AS owner, c_name AS name, unnest(CASE WHEN c_custkey % 8 = 0 THEN [{'change': 'removed', 'classification': 'breaking'}] WHEN c_custkey % 8 = 1 THEN [{'change': 'added', 'classification': CASE WHEN c_acctbal > 0 THEN 'breaking' ELSE 'conditional' END}] ELSE [
+    CASE WHEN c_custkey % 5 = 0 THEN {'change': 'nullable', 'classification': 'conditional'} END,
+    CASE WHEN c_custkey % 3 = 0 THEN {'change': 'multiplicity', 'classification': 'additive'} WHEN c_custkey % 3 = 1 THEN {'change': 'multiplicity', 'classification': 'breaking'} END] END, recursive := true)
+  FROM customer) WHERE change IS NOT NULL""")
+def diff_fields(spark, sf):
+    c = load(spark, sf, "customer")
+    b = c.select("c_custkey", F.col("c_mktsegment").alias("owner"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("type_ref"), (F.col("c_acctbal") > 0).alias("required"), F.lit(False).alias("nullable"), F.lit("m").alias("unit"), F.lit("0").alias("default_value"), F.lit(1).alias("lower"), F.lit(2).alias("upper"))
+    a = b.where("c_custkey % 8 <> 0").withColumns({"nullable": F.col("c_custkey") % 5 == 0, "lower": F.when(F.col("c_custkey") % 3 == 1, 2).otherwise(1), "upper": F.when(F.col("c_custkey") % 3 == 0, F.lit(None)).otherwise(2)})
+    return evolution.diff_fields(b.where("c_custkey % 8 <> 1").drop("c_custkey"), a.drop("c_custkey"))
+
+
+@query("""
+SELECT owner, keyword, change, classification FROM (
+  SELECT p_partkey AS owner, 'max' AS keyword, CASE WHEN p_partkey % 4 = 0 THEN 'removed' WHEN p_partkey % 4 = 1 THEN 'added' WHEN p_size > 25 THEN 'operand' END AS change, CASE WHEN p_partkey % 4 = 0 THEN 'additive' ELSE 'conditional' END AS classification FROM part)
+WHERE change IS NOT NULL""")
+def diff_constraints(spark, sf):
+    p = load(spark, sf, "part").select(F.col("p_partkey").alias("owner"), F.lit("max").alias("keyword"), F.col("p_size").alias("value"))
+    return evolution.diff_constraints(p.where("owner % 4 <> 1"), p.where("owner % 4 <> 0").withColumn("value", F.least("value", F.lit(25))))
+
+
+# Packages
+
+
+def _packages(spark, sf):
+    p = load(spark, sf, "part")
+    version = F.concat_ws(".", (F.col("p_partkey") % 3).cast("string"), (F.col("p_size") % 12).cast("string"), (F.col("p_partkey") % 7).cast("string"))
+    return p.select(F.col("p_brand").alias("identity"), F.when(F.col("p_partkey") % 10 == 0, F.concat(version, F.lit("-rc."), F.col("p_size").cast("string"))).otherwise(version).alias("version"), F.col("p_partkey").alias("ord"))
+
+
+_VERSIONS = """
+SELECT p_brand AS identity, p_partkey AS ord, (p_partkey % 3) || '.' || (p_size % 12) || '.' || (p_partkey % 7) || CASE WHEN p_partkey % 10 = 0 THEN '-rc.' || p_size ELSE '' END AS version,
+  p_partkey % 3 AS major, p_size % 12 AS minor, p_partkey % 7 AS patch, p_partkey % 10 <> 0 AS release, p_size AS rc FROM part"""
+
+
+@query(f"SELECT identity, version, ord FROM ({_VERSIONS}) QUALIFY row_number() OVER (PARTITION BY identity ORDER BY major DESC, minor DESC, patch DESC, release DESC, CASE WHEN release THEN 0 ELSE rc END DESC, ord) = 1")
+def top_version(spark, sf):
+    return packages.top_version(_packages(spark, sf))
+
+
+@query(f"SELECT identity, version, ord FROM ({_VERSIONS}) WHERE major = 1 AND release AND (minor > 2 OR minor = 2 AND patch >= 1)")
+def version_candidates(spark, sf):
+    p = _packages(spark, sf)
+    return packages.candidates(p, p.select("identity", F.lit("^1.2.1").alias("range")).distinct())
+
+
+# Sources
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10))) AS lines FROM documents")
+def line_scan(spark, sf):
+    return markdown.lines(load(spark, sf, "documents")).groupBy("doc_id").agg(F.count("*").alias("lines"))
+
+
+@query(r"""
+SELECT doc_id, line, length(regexp_extract(value, '^(#+) ', 1)) AS level, trim(regexp_replace(value, '^#+ ', '')) AS title FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS value, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line FROM (SELECT doc_id, replace(text, '. ', chr(10) || '## ') AS text FROM documents))
+WHERE regexp_matches(value, '^#{1,6} ')""")
+def section_scan(spark, sf):
+    headed = load(spark, sf, "documents").withColumn("text", F.replace("text", F.lit(". "), F.lit("\n## ")))  # each sentence as a heading
+    h = markdown.headings(headed)
+    return h.withColumn("level", F.col("level").cast("long"))
+
+
+@query(r"""
+SELECT doc_id, line, list_transform(string_split(regexp_replace(regexp_replace(trim(value), '^\|', ''), '\|$', ''), '|'), lambda c: trim(c)) AS cells FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS value, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line FROM (SELECT doc_id, replace(replace(text, '. ', chr(10) || '| '), ', ', ' | ') AS text FROM documents))
+WHERE regexp_matches(value, '^\s*\|') AND NOT regexp_matches(trim(value), '^\|[\s:|-]+$')""")
+def table_row_scan(spark, sf):
+    tabled = load(spark, sf, "documents").withColumn("text", F.replace(F.replace("text", F.lit(". "), F.lit("\n| ")), F.lit(", "), F.lit(" | ")))  # each sentence as a row
+    return markdown.table_rows(tabled).select("doc_id", "line", "cells")
+
+
+# Declared aggregations
+
+
+@query("""
+SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def declared_aggregation_tumbling(spark, sf):
+    a = occurrences.Aggregation(("event_type",), "ts", "tumbling", "1 hour")
+    return _naive(occurrences.aggregated(load(spark, sf, "events"), a, {"n": F.count("*"), "total": F.round(F.sum("value"), 4)}))
+
+
+def _naive(df):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+@query("""
+SELECT event_type, s AS window_start, s + INTERVAL 1 HOUR AS window_end, count(*) AS n FROM (
+  SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY ALL""")
+def declared_aggregation_sliding(spark, sf):
+    a = occurrences.Aggregation(("event_type",), "ts", "sliding", "1 hour", "30 minutes")
+    return _naive(occurrences.aggregated(load(spark, sf, "events"), a, {"n": F.count("*")}))
+
+
+@query("""
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, count(*) AS n FROM s GROUP BY user_id, session""")
+def declared_aggregation_session(spark, sf):
+    a = occurrences.Aggregation(("user_id",), "ts", "session", "30 minutes")
+    return _naive(occurrences.aggregated(load(spark, sf, "events"), a, {"n": F.count("*")}))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """Which line items break their declared constraints, by code."""
+    return constraint_counts(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
