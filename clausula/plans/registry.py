@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clausula.functions import documents as D
 from clausula.functions import scalars as S
-from clausula.operators import closure, constraints, evolution, instances, packages, units, verdict
+from clausula.operators import closure, constraints, evolution, instances, packages, transformations, units, verdict
 from clausula.operators.constraints import Constraint
 from clausula.plans.tables import load
 from clausula.sources import markdown
@@ -513,6 +513,46 @@ def declared_aggregation_session(spark, sf):
     return _naive(occurrences.aggregated(load(spark, sf, "events"), a, {"n": F.count("*")}))
 
 
+# Declared transformations
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def codec_round_trip(spark, sf):
+    encoded = transformations.encode(load(spark, sf, "region"), ["r_regionkey"])
+    return transformations.decode(encoded, "r_name string")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")
+def lens_put(spark, sf):
+    c = load(spark, sf, "customer")
+    return transformations.put(c, c.where("c_custkey % 3 = 0").select("c_custkey", F.lit(0.0).alias("c_acctbal")), ["c_custkey"])
+
+
+@query("SELECT n_nationkey, MAP {'n_name': n_name, 'n_regionkey': CAST(n_regionkey AS VARCHAR)}['n_name'] AS kept FROM nation")
+def projection_preserved(spark, sf):
+    return transformations.project(load(spark, sf, "nation"), ["n_nationkey"], preserve=True).select("n_nationkey", F.col("preserved")["n_name"].alias("kept"))
+
+
+@query("SELECT s_suppkey, 'supplier ' || s_name || ' of ' || s_nationkey || '.' AS text FROM supplier")
+def rendering(spark, sf):
+    s = load(spark, sf, "supplier")
+    return s.select("s_suppkey", transformations.render(s, "supplier {s_name} of {s_nationkey}.").alias("text"))
+
+
+@query("SELECT o_orderkey, c_mktsegment, CASE WHEN c_custkey IS NOT NULL THEN 'customer' END AS provenance FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
+def enrichment(spark, sf):
+    c = load(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    return transformations.enrich(load(spark, sf, "orders"), c, ["o_custkey"], "customer").select("o_orderkey", "c_mktsegment", "provenance")
+
+
+@query("""
+SELECT p_brand AS mapping, 'UNDECLARED_LOSS' AS code, p_name AS member FROM (SELECT DISTINCT p_brand, p_name FROM part) x
+WHERE NOT EXISTS (SELECT 1 FROM part y WHERE y.p_brand = x.p_brand AND y.p_name = x.p_name AND (y.p_size > 20 OR y.p_partkey % 4 = 0))""")
+def undeclared_loss(spark, sf):
+    p = load(spark, sf, "part").select(F.col("p_brand").alias("mapping"), F.col("p_name").alias("identity"), "p_size", "p_partkey")
+    return transformations.undeclared_losses(p.select("mapping", "identity").distinct(), p.where("p_size > 20"), p.where("p_partkey % 4 = 0"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which line items break their declared constraints, by code."""
     return constraint_counts(spark, sf_dir)

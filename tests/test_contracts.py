@@ -4,8 +4,8 @@ import json
 
 import pytest
 
-from clausula.operators import closure, constraints, evolution, instances, packages, rules, units, verdict
-from clausula.sources import bundles, markdown
+from clausula.operators import closure, constraints, evolution, instances, packages, rules, transformations, units, verdict
+from clausula.sources import bundles, markdown, registry
 
 
 def ix(name):
@@ -156,3 +156,28 @@ def test_constraints_and_instances(spark):
     assert got[0] == ["NULL_C", "UNKNOWN_Z"] and got[1] == ["MISSING_A"]
     assert [r.state for r in instances.presence(j, "j", "c").collect()] == ["null", "absent", "absent"]
     assert instances.prepared(j, "j", [instances.Field("b", default="7")]).first().b == "7"
+
+
+def test_declared_transformations(spark):
+    m = spark.createDataFrame([("a", "codec", ["encoding"], False, False), ("b", "projection", ["selectedIdentities", "preservation"], True, True), ("c", "odd", [], False, False)], "mapping string, kind string, members array<string>, effectful boolean, lossy boolean")
+    assert {tuple(r) for r in transformations.declaration_faults(m).collect()} == {("a", "SCHEMA_VIOLATION", "decodePolicy"), ("b", "SCHEMA_VIOLATION", "provenanceSources"), ("b", "SCHEMA_VIOLATION", "omittedIdentities"), ("c", "UNKNOWN_KIND", "odd")}
+    t = spark.createDataFrame([("a", "x"), ("b", "y")], "mapping string, target string")
+    assert [tuple(r) for r in transformations.unknown_targets(t, spark.createDataFrame([("x",)], "identity string")).collect()] == [("b", "UNKNOWN_MAPPING_TARGET", "y")]
+    e = spark.createDataFrame([("d", "p"), ("d", "q")], "doc_id string, name string")
+    known = spark.createDataFrame([("p",)], "name string")
+    assert [r.member for r in transformations.unknown_extensions(e, known).collect()] == ["q"] and transformations.unknown_extensions(e, known, "surface").count() == 0
+    df = spark.createDataFrame([(1, "a", None)], "k int, x string, y int")
+    assert transformations.decode(transformations.encode(df, ["k"]), "x string, y int").collect() == df.collect()
+    assert transformations.put(df, df.select("k", "x"), ["k"]).collect() == df.collect()  # get, then put changes nothing
+
+
+def test_registry(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"types": [TEXT]}))
+    assert registry.run_frontend(spark, "json", str(tmp_path)).count() == 1
+    with pytest.raises(KeyError):
+        registry.run_frontend(spark, "none", str(tmp_path))
+    own = registry.Registry({"json": lambda s, p: s.range(1)})
+    with pytest.raises(ValueError):
+        registry.run_frontend(spark, "json", str(tmp_path), own)
+    with pytest.raises(KeyError):
+        own.register("json", print)
