@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import re
+import struct
 import unicodedata
 from decimal import Decimal
 
@@ -173,3 +175,67 @@ def count_nodes(value) -> int:
 
 def node_count(text) -> Column:
     return _each(lambda t: count_nodes(json.loads(t)), "long", text)
+
+
+def _compiles(pattern: str) -> bool:
+    # The common part of both dialects; named groups and backreferences to them are spelled another way, code point escapes too.
+    text = re.sub(r"\(\?<(?![=!])", "(?P<", pattern)
+    text = re.sub(r"\\k<(\w+)>", r"(?P=\1)", text)
+    text = re.sub(r"\\u\{([0-9A-Fa-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), text)
+    text = re.sub(r"\\[pP]\{[\w=]+\}", r"\\w", text)
+    try:
+        re.compile(text)
+        return True
+    except (re.error, OverflowError, ValueError):
+        return False
+
+
+def pattern_compiles(text) -> Column:
+    """Whether a text is a pattern; null for null."""
+    return _each(_compiles, "boolean", text)
+
+
+def locate(text: str, pointer: str) -> tuple[int, int]:
+    """Line and column, from 1, at which the value of a pointer starts in a JSON text."""
+    decoder, blank = json.JSONDecoder(), re.compile(r"[ \t\r\n]*")
+    skip = lambda i: blank.match(text, i).end()
+    at = skip(0)
+    for token in _split(pointer):
+        if text[at] == "{":
+            found, i = None, skip(at + 1)
+            while text[i] != "}":
+                name, i = decoder.raw_decode(text, i)
+                value = skip(skip(i) + 1)
+                if name == token:
+                    found = value  # of repeated names the last
+                i = skip(decoder.raw_decode(text, value)[1])
+                i = skip(i + 1) if text[i] == "," else i
+            if found is None:
+                raise KeyError(token)
+            at = found
+        elif text[at] == "[":
+            i = skip(at + 1)
+            for n in range(int(token) + 1):
+                if text[i] == "]":
+                    raise IndexError(token)
+                if n < int(token):
+                    i = skip(decoder.raw_decode(text, i)[1])
+                    i = skip(i + 1) if text[i] == "," else i
+            at = i
+        else:
+            raise KeyError(token)
+    before = text[:at]
+    return before.count("\n") + 1, at - (before.rfind("\n") + 1) + 1
+
+
+def position(text, pointer) -> Column:
+    """`line:column` of a pointer's value in a JSON text; null if there is none."""
+    return _each(lambda t, p: "{}:{}".format(*locate(t, p)), "string", text, pointer)
+
+
+def next_float32(x: float, up: bool = True) -> float:
+    """The single-precision number next to one, where bounds of doubles must be kept in floats."""
+    bits = struct.unpack("<i", struct.pack("<f", x))[0]
+    if x == 0:
+        return struct.unpack("<f", struct.pack("<i", 1))[0] * (1 if up else -1)
+    return struct.unpack("<f", struct.pack("<i", bits + (1 if (x > 0) == up else -1)))[0]

@@ -294,3 +294,23 @@ def line_of(text, offset) -> Column:
 
 def column_of(text, offset) -> Column:
     return F.char_length(F.element_at(F.split(F.substring(col(text), F.lit(1), col(offset)), "\n"), -1)) + 1
+
+
+def utf16_key(c) -> Column:
+    """A text that sorts by UTF-16 code units, where plain texts sort by code points."""
+    return F.hex(F.encode(col(c), "UTF-16BE"))
+
+
+def enum_member_equals(value, members: list[str], scalar: str) -> Column:
+    """Whether a text is one of an enumeration's, as numbers where the scalar is one: 1.0 and 1 are one decimal."""
+    if scalar in ("decimal", "integer"):
+        return normal_decimal(value).isin(*members) | normal_decimal(value).isin(*[m.rstrip("0").rstrip(".") if "." in m else m for m in members])
+    if scalar in ("float32", "float64"):
+        return col(value).cast("double").isin(*[float(m) for m in members])
+    return col(value).isin(*members)
+
+
+def effective_multiplicity(m) -> Column:
+    """Lower (1 where absent), upper (null: no bound), ordered, unique (false where absent)."""
+    m = col(m)
+    return F.struct(F.coalesce(m["lower"], F.lit(1)).alias("lower"), m["upper"].alias("upper"), F.coalesce(m["ordered"], F.lit(False)).alias("ordered"), F.coalesce(m["unique"], F.lit(False)).alias("unique"))

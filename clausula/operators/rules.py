@@ -11,8 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausula.functions import documents as D
 from clausula.functions import scalars as S
 from clausula.operators import closure
+from clausula.plans.tables import cut
 from clausula.sources import bundles as B
 
 # Scalars of the kernel, map keys among them, and the members each kind must have.
@@ -205,6 +207,100 @@ def constraint_rules(docs: DataFrame) -> DataFrame:
     ])
 
 
+def operand_rules(docs: DataFrame) -> DataFrame:
+    """Whole operands outside 128 bits, and patterns that do not compile."""
+    c = B.constraints(docs)
+    number = F.coalesce(F.get_json_object("operands", "$.value"), F.col("operands"))
+    wide = c.where(F.col("keyword").isin("min", "max", "exclusiveMin", "exclusiveMax") & S.is_canonical_integer(number) & ~S.fits_i128(number))
+    pattern = c.where(F.col("keyword") == "pattern").withColumn("_ok", D.pattern_compiles(number)).where("NOT _ok")
+    return together([finding(wide, "INTEGER_OUTSIDE_I128", F.concat("pointer", F.lit("/operands"))), finding(pattern, "INVALID_PATTERN", F.concat("pointer", F.lit("/operands")))])
+
+
+def structure_rules(docs: DataFrame) -> DataFrame:
+    """Tuples without positions or with wrong names, map bounds, transitions to no state, opaque clauses without a language."""
+    t, p = B.types(docs), B.positions(docs)
+    bound = t.where("kind = 'map' AND (bound.lower < 0 OR bound.upper < bound.lower)")
+    states = B.variants(docs).select("doc_id", "owner", F.col("name").alias("state")).distinct()
+    x = B.transitions(docs)
+    ends = x.select("doc_id", "owner", F.concat("pointer", F.lit("/from")).alias("pointer"), F.col("src").alias("state")).unionByName(x.select("doc_id", "owner", F.concat("pointer", F.lit("/to")).alias("pointer"), F.col("dst").alias("state")))
+    guards = x.where("guard IS NOT NULL").select("doc_id", "owner", F.concat("pointer", F.lit("/guard")).alias("pointer"), F.col("guard").alias("id"))
+    return together([
+        finding(t.where("kind = 'tuple' AND coalesce(size(positions), 0) < 1"), "INVALID_TUPLE"),
+        finding(p.where("name <> concat('p', pos)"), "INVALID_TUPLE_POSITION", F.concat("pointer", F.lit("/name")), F.col("name")),
+        finding(p.join(declared(docs).withColumnRenamed("identity", "type_ref"), ["doc_id", "type_ref"], "left_anti"), "UNRESOLVED_POSITION_TYPE", F.concat("pointer", F.lit("/typeRef")), F.col("type_ref")),
+        finding(bound, "INVALID_MAP_BOUND", F.concat("pointer", F.lit("/bound"))),
+        finding(ends.join(states, ["doc_id", "owner", "state"], "left_anti"), "UNRESOLVED_FEATURE_REF", message=F.col("state")),
+        finding(guards.join(B.clauses(docs).select("doc_id", "owner", "id").distinct(), ["doc_id", "owner", "id"], "left_anti"), "DANGLING_CLAUSE_REF", message=F.col("id")),
+        finding(B.clauses(docs).where("language IS NULL"), "CLAUSE_LANGUAGE_UNCHECKED", severity="warning"),
+    ])
+
+
+def redefinition_rules(docs: DataFrame) -> DataFrame:
+    """Fields that have the name of an inherited one and do not narrow it: its type kept, its bounds within."""
+    t = B.types(docs).select("doc_id", "identity", F.explode("supertypes").alias("super"))
+    up = closure.ancestors(t.select(F.concat_ws("\n", "doc_id", "identity").alias("src"), F.concat_ws("\n", "doc_id", "super").alias("dst")))
+    above = up.select(F.split("node", "\n")[0].alias("doc_id"), F.split("node", "\n")[1].alias("owner"), F.split("ancestor", "\n")[1].alias("origin"))
+    f = B.fields(docs)
+    old = f.select("doc_id", F.col("owner").alias("origin"), "name", F.col("type_ref").alias("old_type"), F.col("multiplicity.lower").alias("old_lower"), F.coalesce("multiplicity.upper", F.lit(1 << 62)).alias("old_upper"))
+    both = f.join(above, ["doc_id", "owner"]).join(old, ["doc_id", "origin", "name"])
+    wider = (F.col("multiplicity.lower") < F.col("old_lower")) | (F.coalesce(F.col("multiplicity.upper"), F.lit(1 << 62)) > F.col("old_upper")) | (F.col("type_ref") != F.col("old_type"))
+    return finding(both.where(wider).dropDuplicates(["doc_id", "pointer"]), "INVALID_REDEFINITION", message=F.col("name"))
+
+
+def package_rules(docs: DataFrame) -> DataFrame:
+    """Imports of packages or names that the graph does not give, and rings of imports."""
+    p = B.package_rows(docs)
+    i = p.select("doc_id", F.col("identity").alias("src"), F.col("pointer").alias("_p"), F.posexplode("imports").alias("_i", "x")).select("doc_id", "src", F.format_string("%s/imports/%d", "_p", "_i").alias("pointer"), F.col("x.identity").alias("identity"), F.col("x.names").alias("names"))
+    lost = i.join(p.select("doc_id", "identity").distinct(), ["doc_id", "identity"], "left_anti")
+    exported = p.select("doc_id", "identity", F.explode("exports").alias("name")).distinct()
+    names = i.join(p.select("doc_id", "identity").distinct(), ["doc_id", "identity"], "left_semi").select("doc_id", "identity", "pointer", F.explode("names").alias("name")).join(exported, ["doc_id", "identity", "name"], "left_anti")
+    ring = _ring(i.select("doc_id", F.col("src").alias("a"), F.col("identity").alias("b")), "PACKAGE_CYCLE").withColumn("pointer", F.lit("/packageGraph/packages"))
+    return together([finding(lost, "UNRESOLVED_IMPORT", message=F.col("identity")), finding(names, "UNRESOLVED_IMPORT", message=F.col("name")), ring])
+
+
+def owner_assignment(docs: DataFrame, rounds: int = 64) -> DataFrame:
+    """doc_id, child, owner, state of composite children: owned by just one owner that itself stands; refused else.
+
+    Each refusal can orphan others, so refused owners are taken away in rounds until none is new.
+    """
+    r = B.relationships(docs).where("composite").select("doc_id", F.col("target").alias("child"), "owner").distinct()
+    several = r.groupBy("doc_id", "child").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "child")
+    refused = cut(several, "refused")
+    for _ in range(rounds):
+        more = r.join(refused.withColumnRenamed("child", "owner"), ["doc_id", "owner"], "left_semi").select("doc_id", "child").unionByName(refused).distinct()
+        new = cut(more, "refused")
+        if new.count() == refused.count():
+            break
+        refused = new
+    out = r.join(refused.withColumn("refused", F.lit(True)), ["doc_id", "child"], "left")
+    return out.groupBy("doc_id", "child").agg(F.when(F.bool_or("refused"), F.lit(None).cast("string")).otherwise(F.min("owner")).alias("owner"), F.when(F.bool_or("refused"), "refused").otherwise("owned").alias("state"))
+
+
+def resolve_names(uses: DataFrame, artifacts: DataFrame, kernel: tuple[str, ...] = SCALARS, package: str | None = None) -> DataFrame:
+    """uses (use, target) with `how`: kernel scalar, own identity, foreign import, object by id, object by name, enumeration, or unknown.
+
+    artifacts: id, name, kind (object or enumeration). One join on id, one on name; ids win.
+    """
+    by_id = artifacts.select(F.col("id").alias("target"), F.col("kind").alias("id_kind")).distinct()
+    rank = F.when(F.col("kind") == "object", 0).otherwise(1)
+    by_name = artifacts.groupBy(F.col("name").alias("target")).agg(F.min_by("kind", rank).alias("name_kind"))
+    foreign = F.col("target").startswith("ix://") & ~F.col("target").startswith(f"ix://{package}/" if package else "ix://\0")
+    how = F.when(F.lower("target").isin(*kernel), "scalar").when(foreign, "import").when(F.col("id_kind").isNotNull(), F.concat("id_kind", F.lit("-by-id"))).when(F.col("name_kind").isNotNull(), F.concat("name_kind", F.lit("-by-name"))).otherwise("unknown")
+    return uses.join(by_id, "target", "left").join(by_name, "target", "left").select("use", "target", how.alias("how"))
+
+
+def over_limits(documents: DataFrame, max_bytes: int = 4_194_304, max_documents: int = 4_096) -> DataFrame:
+    """Texts (doc_id, text) over the size limit, and one row for a bundle of too many documents."""
+    long = documents.where(F.octet_length("text") > max_bytes).select("doc_id", F.lit("").alias("pointer"), F.lit("DOCUMENT_TOO_LARGE").alias("code"), F.lit("error").alias("severity"), F.octet_length("text").cast("string").alias("message"))
+    many = documents.agg(F.count("*").alias("n")).where(F.col("n") > max_documents).select(F.lit("").alias("doc_id"), F.lit("").alias("pointer"), F.lit("TOO_MANY_DOCUMENTS").alias("code"), F.lit("error").alias("severity"), F.col("n").cast("string").alias("message"))
+    return long.unionByName(many)
+
+
+def unsafe_references(documents: DataFrame) -> DataFrame:
+    """JSON Schema texts (doc_id, text) that refer to other hosts."""
+    return documents.where(F.col("text").rlike(r'"\$(ref|dynamicRef|schema)"\s*:\s*"https?://(?!json-schema\.org/)')).select("doc_id", F.lit("").alias("pointer"), F.lit("REMOTE_REFERENCE").alias("code"), F.lit("error").alias("severity"), F.lit("").alias("message"))
+
+
 def effective_fields(docs: DataFrame) -> DataFrame:
     """doc_id, owner, name, origin, distance: own and inherited fields, of one name the nearest (redefined) one."""
     t = B.types(docs).select("doc_id", "identity", F.explode_outer("supertypes").alias("super"))
@@ -221,7 +317,7 @@ def validated(docs: DataFrame, exported: DataFrame | None = None) -> DataFrame:
     """All findings of documents. Documents that fail the shape rules are not looked at further."""
     first = shape(docs)
     rest = docs.where("well_formed").join(first.select("doc_id").distinct(), "doc_id", "left_anti")
-    return together([first, duplicate_identities(rest), duplicate_names(rest), unresolved_references(rest, exported), unresolved_members(rest), multiple_membership(rest), alias_cycles(rest), composite_cycles(rest), supertype_cycles(rest), field_rules(rest), type_rules(rest), constraint_rules(rest)])
+    return together([first, duplicate_identities(rest), duplicate_names(rest), unresolved_references(rest, exported), unresolved_members(rest), multiple_membership(rest), alias_cycles(rest), composite_cycles(rest), supertype_cycles(rest), field_rules(rest), type_rules(rest), constraint_rules(rest), operand_rules(rest), structure_rules(rest), redefinition_rules(rest), package_rules(rest)])
 
 
 def summary(docs: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def test_findings(spark):
             {"identity": ix("D"), "kind": "scalar", "scalar": "decimal"}, {"identity": ix("D2"), "kind": "scalar", "scalar": "decimal", "decimal": {"precision": 2, "scale": 3}},
             record("B", relationships=[{"identity": ix("r1"), "category": "c", "composite": True, "target": ix("C")}], supertypes=[ix("C")]),
             record("C", relationships=[{"identity": ix("r2"), "category": "c", "composite": True, "target": ix("B")}, {"identity": ix("r3"), "category": "c", "composite": False, "target": ix("None")}], supertypes=[ix("B")],
-                   operations=[{"identity": ix("op"), "name": "op", "params": [{"name": "a", "typeRef": ix("Text")}, {"name": "a", "typeRef": ix("Text")}], "pre": ["k9"]}], clauses=[{"id": "k1"}, {"id": "k1"}]),
+                   operations=[{"identity": ix("op"), "name": "op", "params": [{"name": "a", "typeRef": ix("Text")}, {"name": "a", "typeRef": ix("Text")}], "pre": ["k9"]}], clauses=[{"id": "k1", "language": "l"}, {"id": "k1", "language": "l"}]),
         ],
         "occurrences": [{"identity": ix("occ"), "definition": ix("Nope")}],
         "populations": [{"identity": ix("pop"), "members": [ix("A"), ix("Gone")]}, {"identity": ix("pop2"), "members": [ix("A")]}],
@@ -181,3 +181,35 @@ def test_registry(spark, tmp_path):
         registry.run_frontend(spark, "json", str(tmp_path), own)
     with pytest.raises(KeyError):
         own.register("json", print)
+
+
+def test_more_findings(spark):
+    body = {
+        "types": [
+            TEXT, {"identity": ix("Int"), "kind": "scalar", "scalar": "integer", "constraints": [{"identity": ix("c"), "keyword": "max", "operands": "170141183460469231731687303715884105728"}]},
+            {"identity": ix("Str"), "kind": "scalar", "scalar": "string", "constraints": [{"identity": ix("d"), "keyword": "pattern", "operands": "a(b"}]},
+            {"identity": ix("T0"), "kind": "tuple", "positions": []}, {"identity": ix("T1"), "kind": "tuple", "positions": [{"name": "p0", "typeRef": ix("Text")}, {"name": "q", "typeRef": ix("Lost")}]},
+            {"identity": ix("M"), "kind": "map", "keys": ix("Text"), "values": ix("Text"), "bound": {"lower": 3, "upper": 2}},
+            {"identity": ix("E"), "kind": "enum", "variants": [{"identity": ix("E.a"), "name": "a"}, {"identity": ix("E.b"), "name": "b"}], "transitions": [{"from": "a", "to": "b"}, {"from": "a", "to": "z", "guard": "g"}], "clauses": [{"id": "k"}]},
+            record("Top", ("x", "Text", {}), ("y", "Text", {})), record("Low", ("x", "Text", {"multiplicity": {**M, "upper": 5}}), ("y", "Text", {}), supertypes=[ix("Top")]),
+        ],
+        "packageGraph": {"packages": [{"identity": "a", "version": "1.0.0", "imports": [{"identity": "b", "names": ["f", "g"]}, {"identity": "q"}]}, {"identity": "b", "version": "1.0.0", "imports": [{"identity": "a"}], "exports": ["f"]}]},
+    }
+    got = {(c, p) for _, c, p in codes(rules.validated(docs(spark, d=body)))}
+    assert got == {
+        ("INTEGER_OUTSIDE_I128", "/ir/types/1/constraints/0/operands"), ("INVALID_PATTERN", "/ir/types/2/constraints/0/operands"), ("INVALID_TUPLE", "/ir/types/3"), ("INVALID_TUPLE_POSITION", "/ir/types/4/positions/1/name"), ("UNRESOLVED_POSITION_TYPE", "/ir/types/4/positions/1/typeRef"),
+        ("INVALID_MAP_BOUND", "/ir/types/5/bound"), ("UNRESOLVED_FEATURE_REF", "/ir/types/6/transitions/1/to"), ("DANGLING_CLAUSE_REF", "/ir/types/6/transitions/1/guard"), ("CLAUSE_LANGUAGE_UNCHECKED", "/ir/types/6/clauses/0"), ("INVALID_REDEFINITION", "/ir/types/8/fields/0"),
+        ("UNRESOLVED_IMPORT", "/packageGraph/packages/0/imports/0"), ("UNRESOLVED_IMPORT", "/packageGraph/packages/0/imports/1"), ("PACKAGE_CYCLE", "/packageGraph/packages"),
+    }
+
+
+def test_owners_names_and_limits(spark):
+    r = lambda o, *ts: record(o, relationships=[{"identity": ix(f"{o}{t}"), "category": "c", "composite": True, "target": ix(t)} for t in ts])
+    d = docs(spark, d={"types": [r("A", "B", "C"), r("X", "B"), r("B", "D"), r("D", "E"), r("C", "F"), r("E"), r("F")]})
+    assert {(x.child[7:], x.owner and x.owner[7:], x.state) for x in rules.owner_assignment(d).collect()} == {("B", None, "refused"), ("C", "A", "owned"), ("D", None, "refused"), ("E", None, "refused"), ("F", "C", "owned")}
+    uses = spark.createDataFrame([(1, "String"), (2, "FR-1"), (3, "Thing"), (4, "Colour"), (5, "ix://q/x"), (6, "None")], "use int, target string")
+    arts = spark.createDataFrame([("FR-1", "Thing", "object"), ("EN-1", "Colour", "enumeration"), ("EN-2", "Thing", "enumeration")], "id string, name string, kind string")
+    assert {x.use: x.how for x in rules.resolve_names(uses, arts, package="p").collect()} == {1: "scalar", 2: "object-by-id", 3: "object-by-name", 4: "enumeration-by-name", 5: "import", 6: "unknown"}
+    t = spark.createDataFrame([("a", "x" * 50), ("b", '{"$ref": "https://evil.example/x"}'), ("c", '{"$schema": "https://json-schema.org/x"}')], "doc_id string, text string")
+    assert [x.doc_id for x in rules.unsafe_references(t).collect()] == ["b"]
+    assert {x.code for x in rules.over_limits(t, max_bytes=45, max_documents=2).collect()} == {"DOCUMENT_TOO_LARGE", "TOO_MANY_DOCUMENTS"}

@@ -71,3 +71,15 @@ def test_documents(spark):
     assert [r[0] for r in at] == ["7", None]
     with pytest.raises(ValueError):
         D.number_text(float("inf"))
+
+
+def test_more_documents(spark):
+    assert values(spark, ["a(b", "(?<y>a)\\k<y>", "\\u{1F600}", "[z-a]", None], D.pattern_compiles("x")) == [False, True, True, False, None]
+    text = '{"a": [1,\n  {"b": "x\\n"}],\n "a": 2, "c":[ 3 , 4 ]}'
+    at = spark.createDataFrame([(text, "/c/1"), (text, "/a"), (text, ""), (text, "/c/2"), (text, "/z")], "t string, p string").select(D.position("t", "p")).collect()
+    assert [r[0] for r in at] == ["3:20", "3:7", "1:1", None, None]
+    assert D.next_float32(1.0) > 1.0 > D.next_float32(1.0, False) and D.next_float32(0.0) > 0
+    order = ["a", "\U0001F600", "\uFB01"]
+    assert [r.x for r in spark.createDataFrame([(v,) for v in reversed(order)], "x string").orderBy(S.utf16_key("x")).collect()] == order
+    assert values(spark, ["1.0", "2"], S.enum_member_equals("x", ["1", "3.50"], "decimal")) == [True, False]
+    assert values(spark, ["3.5"], S.enum_member_equals("x", ["1", "3.50"], "decimal")) == [True]
