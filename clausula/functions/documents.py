@@ -239,3 +239,34 @@ def next_float32(x: float, up: bool = True) -> float:
     if x == 0:
         return struct.unpack("<f", struct.pack("<i", 1))[0] * (1 if up else -1)
     return struct.unpack("<f", struct.pack("<i", bits + (1 if (x > 0) == up else -1)))[0]
+
+
+class _Spelled(str):
+    """A number as it was written."""
+
+
+def inexact(text: str) -> list[str]:
+    """`CODE pointer` of numbers of a JSON text that a double does not hold: whole ones past 2**53 - 1, others that are not the shortest spelling's value."""
+    out = []
+
+    def walk(value, pointer):
+        if isinstance(value, _Spelled):
+            whole = re.fullmatch(r"-?\d+", value) is not None
+            if whole and abs(int(value)) > 9007199254740991:
+                out.append(f"INEXACT_INTEGER {pointer}")
+            elif not whole and (math.isinf(float(value)) or Decimal(value) != Decimal(repr(float(value)))):
+                out.append(f"INEXACT_NUMBER {pointer}")
+        elif isinstance(value, dict):
+            for k, v in value.items():
+                walk(v, f"{pointer}/{k.replace('~', '~0').replace('/', '~1')}")
+        elif isinstance(value, list):
+            for i, v in enumerate(value):
+                walk(v, f"{pointer}/{i}")
+
+    walk(json.loads(text, parse_int=_Spelled, parse_float=_Spelled), "")
+    return out
+
+
+def inexact_numbers(text) -> Column:
+    """Array of `CODE pointer`; null if the text is no JSON."""
+    return _each(inexact, "array<string>", text)

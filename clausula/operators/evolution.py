@@ -99,6 +99,25 @@ def diff_members(before: DataFrame, after: DataFrame, key: list[str], added: str
     return gone.unionByName(new)
 
 
+def diff_variants(before: DataFrame, after: DataFrame, union: bool = False, rejects: bool = False) -> DataFrame:
+    """Changes of variants (owner, name): removed breaking; added to a union additive, to an enumeration conditional, or breaking where a consumer rejects unknown ones."""
+    return diff_members(before, after, ["owner", "name"], added="additive" if union else "breaking" if rejects else "conditional")
+
+
+def diff_operations(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Changes of operations (owner, name, params: array, returns): added additive, removed or changed breaking."""
+    p = paired(before, after, ["owner", "name"])
+    change = F.when(F.col("in_a").isNull(), "removed").when(F.col("in_b").isNull(), "added").when(~F.col("b").eqNullSafe(F.col("a")), "signature")
+    return p.withColumn("change", change).where("change IS NOT NULL").select("owner", "name", "change", F.when(F.col("change") == "added", "additive").otherwise("breaking").alias("classification"))
+
+
+def diff_relationships(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Changes of relationships (owner, identity, ...): added conditional, removed or changed breaking."""
+    p = paired(before, after, ["owner", "identity"])
+    change = F.when(F.col("in_a").isNull(), "removed").when(F.col("in_b").isNull(), "added").when(~F.col("b").eqNullSafe(F.col("a")), "changed")
+    return p.withColumn("change", change).where("change IS NOT NULL").select("owner", "identity", "change", F.when(F.col("change") == "added", "conditional").otherwise("breaking").alias("classification"))
+
+
 def worst(changes: DataFrame, key: str) -> DataFrame:
     """The most restrictive classification of each key, folded before the shuffle."""
     return changes.groupBy(key).agg(F.max(rank(F.col("classification"))).alias("r")).select(key, rank_name(F.col("r")).alias("classification"))

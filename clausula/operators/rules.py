@@ -235,6 +235,18 @@ def structure_rules(docs: DataFrame) -> DataFrame:
     ])
 
 
+def exact_numbers(documents: DataFrame) -> DataFrame:
+    """Numbers of document texts (doc_id, text) that lose digits as doubles."""
+    found = documents.select("doc_id", F.explode(D.inexact_numbers("text")).alias("f"))
+    return found.select("doc_id", F.regexp_replace("f", "^[A-Z_]+ ", "").alias("pointer"), F.substring_index("f", " ", 1).alias("code"), F.lit("error").alias("severity"), F.lit("").alias("message"))
+
+
+def relationship_sources(docs: DataFrame) -> DataFrame:
+    """Relationships whose source end is not the type that holds them."""
+    r = B.relationships(docs).where("sourceEnd.typeRef IS NOT NULL AND sourceEnd.typeRef <> owner")
+    return finding(r, "INVALID_RELATIONSHIP_SOURCE", F.concat("pointer", F.lit("/sourceEnd/typeRef")), F.col("sourceEnd.typeRef"))
+
+
 def redefinition_rules(docs: DataFrame) -> DataFrame:
     """Fields that have the name of an inherited one and do not narrow it: its type kept, its bounds within."""
     t = B.types(docs).select("doc_id", "identity", F.explode("supertypes").alias("super"))
@@ -317,7 +329,7 @@ def validated(docs: DataFrame, exported: DataFrame | None = None) -> DataFrame:
     """All findings of documents. Documents that fail the shape rules are not looked at further."""
     first = shape(docs)
     rest = docs.where("well_formed").join(first.select("doc_id").distinct(), "doc_id", "left_anti")
-    return together([first, duplicate_identities(rest), duplicate_names(rest), unresolved_references(rest, exported), unresolved_members(rest), multiple_membership(rest), alias_cycles(rest), composite_cycles(rest), supertype_cycles(rest), field_rules(rest), type_rules(rest), constraint_rules(rest), operand_rules(rest), structure_rules(rest), redefinition_rules(rest), package_rules(rest)])
+    return together([first, duplicate_identities(rest), duplicate_names(rest), unresolved_references(rest, exported), unresolved_members(rest), multiple_membership(rest), alias_cycles(rest), composite_cycles(rest), supertype_cycles(rest), field_rules(rest), type_rules(rest), constraint_rules(rest), operand_rules(rest), structure_rules(rest), redefinition_rules(rest), package_rules(rest), relationship_sources(rest)])
 
 
 def summary(docs: DataFrame) -> DataFrame:

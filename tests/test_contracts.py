@@ -213,3 +213,21 @@ def test_owners_names_and_limits(spark):
     t = spark.createDataFrame([("a", "x" * 50), ("b", '{"$ref": "https://evil.example/x"}'), ("c", '{"$schema": "https://json-schema.org/x"}')], "doc_id string, text string")
     assert [x.doc_id for x in rules.unsafe_references(t).collect()] == ["b"]
     assert {x.code for x in rules.over_limits(t, max_bytes=45, max_documents=2).collect()} == {"DOCUMENT_TOO_LARGE", "TOO_MANY_DOCUMENTS"}
+
+
+def test_exact_numbers_and_ends(spark):
+    t = spark.createDataFrame([("a", '{"x": 9007199254740993, "y": [1.5, 0.1234567890123456789, 1e400], "z~/": 9007199254740991}'), ("b", "nope")], "doc_id string, text string")
+    assert {(r.code, r.pointer) for r in rules.exact_numbers(t).collect()} == {("INEXACT_INTEGER", "/x"), ("INEXACT_NUMBER", "/y/1"), ("INEXACT_NUMBER", "/y/2")}
+    d = docs(spark, d={"types": [record("A", relationships=[{"identity": ix("r"), "category": "c", "composite": False, "target": ix("A"), "sourceEnd": {"typeRef": ix("B")}}])]})
+    assert [(r.code, r.pointer) for r in rules.relationship_sources(d).collect()] == [("INVALID_RELATIONSHIP_SOURCE", "/ir/types/0/relationships/0/sourceEnd/typeRef")]
+
+
+def test_changes_of_members(spark):
+    s = "owner string, name string, params array<string>, returns string"
+    b = spark.createDataFrame([("A", "f", ["x"], "y"), ("A", "g", [], "y")], s)
+    a = spark.createDataFrame([("A", "f", ["z"], "y"), ("A", "h", [], None)], s)
+    assert {tuple(r) for r in evolution.diff_operations(b, a).collect()} == {("A", "f", "signature", "breaking"), ("A", "g", "removed", "breaking"), ("A", "h", "added", "additive")}
+    assert {tuple(r) for r in evolution.diff_variants(b, a).collect()} == {("A", "g", "removed", "breaking"), ("A", "h", "added", "conditional")}
+    r = "owner string, identity string, target string"
+    rows = evolution.diff_relationships(spark.createDataFrame([("A", "1", "B"), ("A", "2", "B")], r), spark.createDataFrame([("A", "1", "C"), ("A", "3", "B")], r)).collect()
+    assert {(x.identity, x.change, x.classification) for x in rows} == {("1", "changed", "breaking"), ("2", "removed", "breaking"), ("3", "added", "conditional")}
