@@ -34,16 +34,17 @@ def encode(values: np.ndarray) -> bytes:
     v = np.ascontiguousarray(values, np.uint64)
     n = len(v)
     chosen = np.full(n, ESCAPE, np.int64)
-    places = np.arange(n)
-    widths = [(14, 2, 30), *((s, int(COUNTS[s]), BITS[s]) for s in range(13, -1, -1))]
-    for selector, count, bits in widths:
-        # The next id that is too wide for this selector; what lies past the end is padding.
-        wide = np.where(v >> np.uint64(bits) != 0, places, n + 240)
-        if n:
-            wide = np.minimum.accumulate(wide[::-1])[::-1]
-        fits = (wide - places >= count) & (places + count <= n)
-        if selector > 1:  # the last word may be filled in part
-            fits = fits | (wide >= n)
+    bits = np.zeros(n + 240, np.uint8)  # past the end are zeros, which may fill up a last word
+    bits[:n] = np.where(v >> np.uint64(30) != 0, 31, np.frexp(v.astype(float))[1])
+    most, have = bits[:n].copy(), 1  # the most bits of the next `have` ids of each place
+    for selector in range(14, -1, -1):
+        count = int(COUNTS[selector])
+        for k in range(have, count):
+            np.maximum(most, bits[k : k + n], out=most)
+        have = count
+        fits = most <= BITS[selector]
+        if selector < 2:  # runs of zeros are whole
+            fits[max(0, n - count + 1) :] = False
         if not fits.any():
             break
         chosen[fits] = selector

@@ -5,9 +5,9 @@ there and the cuts' ids joined; the result is what the library gives for the who
 compare them):
   * files that drop white space: cut at each space and line feed;
   * byte-level files: cut before each space or line feed, if no blank stands next to another.
-Other texts and other files go to the library whole. Pieces are encoded together, with the file's
-special token between them, which the library takes out before it looks at anything else. Special
-tokens' strings within a text are ordinary text.
+Other texts and other files go to the library whole. Pieces are encoded together, with a control
+character between blanks after each, whose id tells where a piece ends. Special tokens' strings
+within a text are ordinary text. Of pieces, the most recent are kept, in two generations.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from pathlib import Path
 import numpy as np
 from tokenizers import Tokenizer
 
+#: Of each of the two generations.
 CACHE_BYTES = 120_000_000
+MARK = "\x01"
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
 #: White space other than space and line feed, by Python's or Unicode's reading.
 _OTHER_BLANK = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -31,19 +33,18 @@ class Encoder:
 
     def __init__(self, path: str):
         form = json.loads(Path(path).read_text())
-        self.plain, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
         pre = form.get("pre_tokenizer") or {}
         norm = json.dumps(form.get("normalizer"))
-        special = [t for t in form.get("added_tokens", []) if t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"]]
         self.mode = None
-        if special and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not form.get("normalizer"):
+        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not form.get("normalizer"):
             self.mode = "led"
-        elif special and pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed" and '"content": " "' in norm:
+        elif pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed" and '"content": " "' in norm:
             self.mode = "dropped"
-        if special:
-            self.mark, self.mark_id = special[-1]["content"], special[-1]["id"]
+        self.mark = np.frombuffer(self._whole(" " + MARK), "<u4")
         self.held: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.size = 0
 
     def _whole(self, text: str) -> bytes:
@@ -54,18 +55,18 @@ class Encoder:
         led = self.mode == "led"
         for i in range(0, len(pieces), 5000):
             part = pieces[i : i + 5000]
-            odd = [p for p in part if "<" in p]
-            part = [p for p in part if "<" not in p]
+            odd = [p for p in part if MARK in p]
+            part = [p for p in part if MARK not in p]
             for p in odd:
                 self.held[p] = self._whole(" " + p if led and p[:1] != "\n" else p)
             if part:
-                text = self.mark.join(" " + p if led and p[:1] != "\n" else p for p in part)
-                ids = np.array(self.marked.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-                ends = np.flatnonzero(ids == self.mark_id)
-                raw, at = ids.tobytes(), 0
-                for p, e in zip(part, [*ends.tolist(), len(ids)], strict=True):
-                    self.held[p] = raw[4 * at : 4 * e]
-                    at = e + 1
+                text = "".join(f" {p} {MARK}" if p[:1] != "\n" else f"{p} {MARK}" for p in part)
+                ids = np.frombuffer(self._whole(text), "<u4")
+                ends = np.flatnonzero(ids == self.mark[-1]) + 1
+                raw, at, wide = ids.tobytes(), 0, len(self.mark)
+                for p, e in zip(part, ends.tolist(), strict=True):
+                    self.held[p] = raw[4 * at : 4 * (e - wide)]
+                    at = e
         self.size += sum(len(p) + 150 for p in pieces)
 
     def encode(self, text: str) -> bytes:
@@ -80,11 +81,13 @@ class Encoder:
         else:
             return self._whole(text)
         if self.size > CACHE_BYTES:
-            self.held.clear()
-            self.size = 0
+            self.older, self.held, self.size = self.held, {}, 0
         new = set(pieces).difference(self.held)
         if new:
-            self._learn(list(new))
+            known = {p for p in new if p in self.older}  # intersection() would walk all that is held
+            self.held.update((p, self.older[p]) for p in known)
+            self.size += sum(len(p) + 150 for p in known)
+            self._learn(list(new - known))
         body = b"".join(map(self.held.__getitem__, pieces))
         return body if first is None else self._whole(first) + body
 
