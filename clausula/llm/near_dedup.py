@@ -255,7 +255,9 @@ def _cluster_cells(meetings: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept. k: words a shingle; percent: least similarity."""
+    """One row per row of docs: doc_id, n_shingles, component_id, kept. k: words a shingle; percent: least similarity, 80 or more, for which DISTANCE is meant."""
+    if percent < 80:
+        raise ValueError("the signature distance is meant for similarities of 80 percent and more")
     docs = id_text(docs)
     sets = written(docs.mapInArrow(lambda it: _sets(it, k), "doc_id long, n_shingles long, one long, two long, sig binary"), "sets")
     named = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
