@@ -1,20 +1,22 @@
 """Language-model scoring with a nested hierarchical Pitman-Yor model.
 
-Tokens are words and one end a document. A word restaurant (discount from counts of counts) seats
-the training tokens; its base is a spelling model: Pitman-Yor restaurants of letters, each context
-of up to 3 letters a restaurant whose parent is the context without its first letter. Tables of the
-word restaurant are words spelled out to the letter restaurants. Gibbs sweeps seat all customers in
-turn: words in one pass over the vocabulary table, letters (at most 47**4 counts, whatever the
-corpus) on the driver. A token's probability is averaged over several seatings, letters' too, and
-a document's score is the sum of log10 of these over its tokens; perplexity is 10**(-score/tokens).
-
-Only contexts of letters are kept and not of words: a table of word pairs is ten times the size of
-that of words and does not fit the disk limit (README).
-
-Plan: texts are read once, in blocks of bounded size that hold each distinct word once (`codes` are
-places in the block's word list). The blocks' words shuffle by word for the counts of the whole
-corpus, and again to meet them; each block's answers come back to it. Every training document
-counts, and nothing that grows with the corpus is broadcast or collected.
+Tokens are words and one end a document. Each word (and the start of a text) is a context with a
+restaurant of the words that follow it; the parent of all these is a word restaurant, and its base
+is a spelling model: Pitman-Yor restaurants of letters, each context of up to 3 letters a restaurant
+whose parent is the context without its first letter. Tables of a restaurant are customers of its
+parent; discounts come from counts of counts. Gibbs sweeps seat all customers in turn: pairs from
+one customer a table, then given their parents' probabilities; words in passes over the vocabulary
+table; letters (at most 47**4 counts, whatever the corpus) on the driver. The probabilities of the
+word restaurant are averaged over several seatings, letters' too. A document's score is the sum of
+log10 of its tokens' probabilities after the token before; perplexity is 10**(-score/tokens).
+
+Plan: texts are read once, in blocks of bounded size that hold each distinct word once, in order of
+the words' hashes (`codes` are places in that list). Blocks and parts of the hash range exchange
+packed arrays, a row a block and part: hashes of a block's distinct pairs go to the parts and the
+corpus's counts come back in the same order, and likewise for words. Of equal pairs, one block owns
+the pair and hands its tables up; seating a pair draws by its hash, so all blocks that hold it find
+the same tables. Every training document counts, and nothing that grows with the corpus is broadcast
+or collected. Pairs and words of equal 64-bit hashes count as one.
 
 Defined results: a null or empty text is the end alone. A null doc_id is not held out. Repeated
 rows are documents of their own. Other columns are not looked at. Without training documents N and
@@ -23,6 +25,7 @@ V are 0 and all words are spelled with even letters. An empty table gives an emp
 
 from __future__ import annotations
 
+import gc
 import zlib
 
 import numpy as np
@@ -32,10 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausula.llm import pitman_yor as py
-from clausula.llm.shared import id_text, written
+from clausula.llm.shared import delete, id_text, scratch
+from clausula.llm.texthash import _BASE, _BYTE, mix, powers
 
 BLOCK_BYTES = 16_000_000
 SWEEPS, LETTER_SWEEPS, DRAWS = 3, 4, 4
+#: Seatings of all pairs: the first has one table a pair.
+PAIR_SWEEPS = 2
 END = b""
 
 
@@ -52,8 +58,12 @@ def _blocks(batches):
     def out():
         code = np.concatenate(codes)
         train = np.repeat(~np.array(held, bool), n)
-        counts = np.bincount(code[train], minlength=len(of)).astype(np.int64)
         words = pa.array([w.decode() if w else "" for w in of], pa.string())
+        order = np.argsort(hashes(words), kind="stable")  # the end's hash is 0, so its code stays 0
+        rank = np.empty(len(of), np.uint32)
+        rank[order] = np.arange(len(of), dtype=np.uint32)
+        words, code = words.take(pa.array(order)), rank[code]
+        counts = np.bincount(code[train], minlength=len(of)).astype(np.int64)
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
         return pa.RecordBatch.from_arrays([pa.array([(part << 24) + k]), one(pa.array(ids, pa.int64())), one(pa.array(held, pa.bool_())), one(pa.array(n, pa.int32())), pa.array([code.astype("<u4").tobytes()], pa.binary()), one(words), one(pa.array(counts))], ["block", "doc_id", "held_out", "n", "codes", "words", "counts"])
 
@@ -85,6 +95,17 @@ def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at[1:] - at[0]
 
 
+def hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word; that of the end is 0."""
+    raw, ends = _bytes_of(words)
+    start = np.r_[0, ends[:-1]].astype(np.int64)[: len(ends)]
+    up, down = powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
+        return mix((total[ends] - total[start]) * down[start] + (ends - start).astype(np.uint64))
+
+
 class Spelling:
     """log of the probability of each gram, and of a byte within its class."""
 
@@ -154,42 +175,259 @@ def train(vocabulary: DataFrame, n: int, ones: int, twos: int):
     return spelling, d, mass
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    return pa.compress(b"".join(a.tobytes() for a in arrays), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    raw = pa.decompress(packed, n * sum(np.dtype(k).itemsize for k in kinds), codec="zstd", asbytes=True)
+    ends = np.r_[0, np.cumsum([n * np.dtype(k).itemsize for k in kinds])]
+    return [np.frombuffer(raw[a:b], k) for a, b, k in zip(ends[:-1], ends[1:], kinds)]
+
+
+def _packed_hashes(sorted_hashes: np.ndarray) -> bytes:
+    """Ascending hashes as differences, of six bytes each where these are enough."""
+    d = np.diff(sorted_hashes, prepend=np.uint64(0))
+    d[:1] = 0
+    width = 6 if not len(d) or int(d.max()) < 1 << 48 else 8
+    return sorted_hashes[:1].astype("<u8").tobytes() + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpacked_hashes(packed: bytes, n: int) -> np.ndarray:
+    width = (len(packed) - 8) // n
+    d = np.zeros((n, 8), np.uint8)
+    d[:, :width] = np.frombuffer(packed, np.uint8, offset=8).reshape(n, width)
+    d = d.view("<u8").ravel().astype(np.uint64)
+    d[0] = np.frombuffer(packed, "<u8", 1)[0]
+    return np.cumsum(d, dtype=np.uint64)
+
+
+def _cuts(sorted_hashes: np.ndarray, bits: int):
+    """(part, first, end) of each part of the hash range that has hashes."""
+    part = (sorted_hashes >> np.uint64(64 - bits)).astype(np.int64)
+    start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    return list(zip(part[start].tolist(), start.tolist(), [*start[1:].tolist(), len(part)]))
+
+
+def _tokens(codes: bytes, n: np.ndarray, held: np.ndarray):
+    """Of each token the pair of the code before and its own, as one number, and whether it is trained on."""
+    code = np.frombuffer(codes, "<u4").astype(np.uint64)
+    return np.r_[np.uint64(0), code[:-1]] << np.uint64(32) | code, np.repeat(~held, n)  # before a text is an end
+
+
+def _pairs(pair: np.ndarray, train: np.ndarray, h: np.ndarray):
+    """Distinct pairs in ascending order, their hashes, training counts, and the places in order of the hashes."""
+    each = np.sort(pair << np.uint64(1) | train)  # codes have less than 31 bits
+    both = each >> np.uint64(1)
+    start = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+    both = both[start]
+    with np.errstate(over="ignore"):
+        key = mix(h[both >> np.uint64(32)] * np.uint64(_BASE) + h[both & np.uint64(0xFFFFFFFF)])
+    return both, key, np.add.reduceat((each & np.uint64(1)).astype(np.int64), start), np.argsort(key, kind="stable")
+
+
+def _block(b, i: int):
+    """Of a row of the table of blocks: words, their hashes, training counts, tokens as _tokens() gives them, tokens a document."""
+    words, n = b["words"][i].values, b["n"][i].values.to_numpy()
+    held = b["held_out"][i].values.to_numpy(zero_copy_only=False)
+    return words, hashes(words), b["counts"][i].values.to_numpy(), *_tokens(b["codes"][i].as_py(), n, held), n
+
+
+PART_ROWS = "part int, block long, n int, hashes binary, data binary"
+ANSWERS = "kind int, block long, part int, n int, data binary, ones long, twos long"
+
+
+def _answer(kind, block, part, n, data, ones=0, twos=0):
+    return {"kind": kind, "block": block, "part": part, "n": n, "data": data, "ones": ones, "twos": twos}
+
+
+ANSWER_TYPE = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("data", pa.binary()), ("ones", pa.int64()), ("twos", pa.int64())])
+
+
+def _send_pairs(batches, bits: int):
+    for b in batches:
+        for i in range(b.num_rows):
+            _, h, _, pair, train, _ = _block(b, i)
+            _, key, count, order = _pairs(pair, train, h)
+            key, count, block = key[order], count[order], b["block"][i].as_py()
+            for part, x, y in _cuts(key, bits):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block]), pa.array([y - x], pa.int32()), pa.array([_packed_hashes(key[x:y])], pa.binary()), pa.array([_pack(count[x:y])], pa.binary())], ["part", "block", "n", "hashes", "data"])
+
+
+def _count_pairs(t: pa.Table) -> pa.Table:
+    """A part's pairs: to each block twice the corpus's count of each of its pairs, and 1 more if the block owns it. ones, twos: pairs of one and two customers."""
+    t = t.sort_by("block")
+    n = t["n"].to_numpy()
+    key = np.concatenate([_unpacked_hashes(k, m) for k, m in zip(t["hashes"].to_pylist(), n.tolist())])
+    count = np.concatenate([_unpack(d, m, "i8")[0] for d, m in zip(t["data"].to_pylist(), n.tolist())])
+    order = np.argsort(key, kind="stable")
+    key, c = key[order], count[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    total, group = np.add.reduceat(c, np.flatnonzero(new)), np.cumsum(new) - 1
+    out = np.empty_like(count)
+    out[order] = 2 * total[group]
+    some = np.flatnonzero(c > 0)
+    out[order[some[np.r_[True, np.diff(group[some]) > 0][: len(some)]]]] += 1
+    ends, part, rows = np.cumsum(n), t["part"][0].as_py(), []
+    for k, (block, m) in enumerate(zip(t["block"].to_pylist(), n.tolist())):
+        rows.append(_answer(0, block, part, m, _pack(out[ends[k] - m : ends[k]]), *(() if k else (int((total == 1).sum()), int((total == 2).sum())))))
+    return pa.Table.from_pylist(rows, ANSWER_TYPE)
+
+
+def _met(right: pa.Table, n_pairs: int, n_words: int):
+    """What came to a block: counts and ownership and tables of its pairs in order of hashes; tokens, tables as a context and probability of its words (None before there are any)."""
+    got = {0: [], 1: [], 2: []}
+    for r in right.sort_by([("kind", "ascending"), ("part", "ascending")]).to_pylist():
+        got[r["kind"]].append(r)
+    if got[2]:
+        both, tables = _unpack(got[2][0]["data"], n_pairs, "i8", "i8")
+    else:
+        both = np.concatenate([_unpack(r["data"], r["n"], "i8")[0] for r in got[0]])
+        tables = np.minimum(both >> 1, 1)
+    words = [np.concatenate(x) for x in zip(*(_unpack(r["data"], r["n"], "i8", "i8", "f8") for r in got[1]))] if got[1] else None
+    assert len(both) == n_pairs and (words is None or len(words[0]) == n_words)
+    return both >> 1, (both & 1).astype(bool), tables, words
+
+
+SEATED = "kind int, block long, part int, n int, words array<string>, data binary"
+
+
+def _seat_pairs(left: pa.Table, right: pa.Table, d2: float, bits: int) -> pa.Table:
+    """Seat a block's pairs: their counts and tables (kind 2), and to the parts the block's words with tokens, tables as a context, and customers (kind 1)."""
+    words, h, count, pair, train, _ = _block(left, 0)
+    both, key, _, order = _pairs(pair, train, h)
+    u, w = (both >> np.uint64(32)).astype(np.int64)[order], (both & np.uint64(0xFFFFFFFF)).astype(np.int64)[order]
+    c, own, t, known = _met(right, len(u), len(h))
+    if known is not None:
+        t = t.copy()
+        some = np.flatnonzero(c > 1)
+        t[some] = py.seat_by_key(c[some], (py.STRENGTH + d2 * known[1][u[some]]) * known[2][w[some]], d2, key[order][some])
+    tables = np.bincount(u[own], t[own], len(h)).astype(np.int64)
+    customers = np.bincount(w[own], t[own], len(h)).astype(np.int64)
+    block = left["block"][0].as_py()
+    rows = [{"kind": 2, "block": block, "part": 0, "n": len(u), "words": None, "data": _pack(2 * c + own, t)}]
+    cuts = _cuts(h, bits)
+    out = [pa.Table.from_pylist(rows, SEATED_TYPE)]
+    out.append(pa.table({"kind": pa.array([1] * len(cuts), pa.int32()), "block": pa.array([block] * len(cuts)), "part": pa.array([p for p, _, _ in cuts], pa.int32()), "n": pa.array([y - x for _, x, y in cuts], pa.int32()), "words": pa.ListArray.from_arrays(pa.array([0, *[y for _, _, y in cuts]], pa.int32()), words), "data": pa.array([_pack(h[x:y], count[x:y], tables[x:y], customers[x:y]) for _, x, y in cuts], pa.binary())}, SEATED_TYPE))
+    return pa.concat_tables(out)
+
+
+SEATED_TYPE = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("words", pa.list_(pa.string())), ("data", pa.binary())])
+
+
+def _vocabulary(t: pa.Table) -> pa.Table:
+    """A part's words of the training texts, in order of their hashes: tokens, tables as a context, and customers of the word restaurant."""
+    got = [_unpack(d, m, "u8", "i8", "i8", "i8") for d, m in zip(t["data"].to_pylist(), t["n"].to_pylist())]
+    h, n, tables, c = (np.concatenate(x) for x in zip(*got))
+    order = np.argsort(h, kind="stable")
+    start = np.flatnonzero(np.r_[True, np.diff(h[order]) > 0])
+    n, tables, c = (np.add.reduceat(x[order], start) for x in (n, tables, c))
+    some = n > 0
+    words = t["words"].combine_chunks().flatten().take(pa.array(order[start][some]))
+    return pa.table({"part": pa.array([t["part"][0].as_py()] * len(words), pa.int32()), "h": pa.array(h[order][start][some].view(np.int64)), "word": words, "n": pa.array(n[some]), "tables": pa.array(tables[some]), "c": pa.array(c[some])})
+
+
+def _send_words(batches, bits: int):
+    for b in batches:
+        for i in range(b.num_rows):
+            h, block = hashes(b["words"][i].values), b["block"][i].as_py()
+            for part, x, y in _cuts(h, bits):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block]), pa.array([y - x], pa.int32()), pa.array([_packed_hashes(h[x:y])], pa.binary()), pa.array([b""], pa.binary())], ["part", "block", "n", "hashes", "data"])
+
+
+def word_probability(c: np.ndarray, words: pa.Array, spelling, d: float, mass: float, customers: int, draws: int) -> np.ndarray:
+    """Of the word restaurant, averaged over seatings."""
+    base = np.exp(spelling.log(words))
+    rng, t = _seed(99, words), np.zeros(len(c))
+    for _ in range(draws):
+        t += py.seat(c, mass * base, d, rng) / draws
+    return (np.maximum(c - d * t, 0) + mass * base) / (py.STRENGTH + customers)
+
+
+def _words_of(held, draws: int):
+    """Answers of a part to the blocks: tokens, tables as a context and probability of each of their words; 0 where it is not in the training texts."""
+
+    def words_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        h, c = right["h"].to_numpy().view(np.uint64), right["c"].to_numpy()
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        p = word_probability(c, right["word"].combine_chunks().take(pa.array(order)), *held.value, draws) if len(h) else np.zeros(0)
+        n, tables = right["n"].to_numpy()[order], right["tables"].to_numpy()[order]
+        rows = []
+        for r in left.to_pylist():
+            own = _unpacked_hashes(r["hashes"], r["n"])
+            at = np.minimum(np.searchsorted(h, own), max(len(h) - 1, 0))
+            known = h[at] == own if len(h) else np.zeros(len(own), bool)
+            of = lambda x: np.where(known, x[at], 0) if len(h) else np.zeros(len(own), x.dtype)  # noqa: E731, B023
+            rows.append(_answer(1, r["block"], r["part"], r["n"], _pack(of(n), of(tables), of(p))))
+        return pa.Table.from_pylist(rows, ANSWER_TYPE)
+
+    return words_of
+
+
+def _scored(left: pa.Table, right: pa.Table, held, d2: float, total: int, distinct: int) -> pa.Table:
+    spelling, d, mass, customers = held.value
+    words, h, _, pair, train, n = _block(left, 0)
+    both, _, _, order = _pairs(pair, train, h)
+    c, _, t, (tokens, tables, p) = _met(right, len(both), len(h))
+    lost, p = np.flatnonzero(tokens == 0), p.copy()
+    if len(lost):
+        p[lost] = mass * np.exp(spelling.log(words.take(pa.array(lost)))) / (py.STRENGTH + customers)
+    u, w = (both >> np.uint64(32)).astype(np.int64)[order], (both & np.uint64(0xFFFFFFFF)).astype(np.int64)[order]
+    after = np.empty(len(both))
+    after[order] = (np.maximum(c - d2 * t, 0) + (py.STRENGTH + d2 * tables[u]) * p[w]) / (py.STRENGTH + tokens[u])
+    logp = np.log10(np.maximum(after, 1e-300))[np.searchsorted(both, pair)]
+    code = (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    at = np.r_[0, np.cumsum(n)[:-1]]
+    add = lambda x: np.add.reduceat(x, at)
+    whole = add(logp)
+    base = np.log10((tokens + 1) / (total + distinct + 1))
+    return pa.table({"doc_id": left["doc_id"].combine_chunks().flatten(), "held_out": left["held_out"].combine_chunks().flatten(), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(add((tokens > 0).astype(np.int64)[code])), "train_tokens": pa.array(np.full(len(n), total, np.int64)), "base_score": pa.array(add(base[code])), "score": pa.array(whole), "perplexity": pa.array(10 ** np.minimum(-whole / n, 300))})
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
-    spark = docs.sparkSession
-    blocks = written(id_text(docs).mapInArrow(_blocks, BLOCKS), "blocks")
-    seen = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    vocabulary = written(seen.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos")).first()
-    held = spark.sparkContext.broadcast(train(vocabulary, sums.n, sums.ones, sums.twos))
-    total, distinct = sums.n, sums.v
-
-    def answers(batches):
-        spelling, d, mass = held.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            c, base = b["c"].to_numpy(), np.exp(spelling.log(b["word"]))
-            rng, t = _seed(99, b["word"]), np.zeros(len(c))
-            for _ in range(DRAWS):
-                t += py.seat(c, mass * base, d, rng) / DRAWS
-            p = (np.maximum(c - d * t, 0) + mass * base) / (py.STRENGTH + total)
-            yield pa.RecordBatch.from_arrays([b["block"], b["pos"], b["c"], pa.array(np.log10(np.maximum(p, 1e-300)))], ["block", "pos", "c", "logp"])
-
-    met = seen.select("block", "pos", "word").join(vocabulary, "word", "left").select("block", "pos", "word", F.coalesce("c", F.lit(0)).alias("c"))
-    answered = met.mapInArrow(answers, "block long, pos int, c long, logp double")
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        pos = right["pos"].to_numpy()
-        c, logp = np.zeros(len(pos)), np.zeros(len(pos))
-        c[pos], logp[pos] = right["c"].to_numpy(), right["logp"].to_numpy()
-        base = np.log10((c + 1) / (total + distinct + 1))
-        code = np.frombuffer(left["codes"][0].as_buffer(), "<u4")
-        n = left["n"].combine_chunks().flatten().to_numpy()
-        at = np.r_[0, np.cumsum(n)[:-1]]
-        add = lambda x: np.add.reduceat(x[code], at)
-        whole = add(logp)
-        return pa.table({"doc_id": left["doc_id"].combine_chunks().flatten(), "held_out": left["held_out"].combine_chunks().flatten(), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(add((c > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(n), total, np.int64)), "base_score": pa.array(add(base)), "score": pa.array(whole), "perplexity": pa.array(10 ** np.minimum(-whole / n, 300))})
-
+    spark, held_paths = docs.sparkSession, {}
+
+    def put(df: DataFrame, label: str, schema=None) -> DataFrame:
+        """df in the shared folder; the table that had the label before goes."""
+        path = scratch(spark, label)
+        df.write.option("compression", "zstd").parquet(path)
+        if label in held_paths:
+            delete(spark, held_paths[label])
+        held_paths[label] = path
+        return spark.read.schema(df.schema).parquet(path)
+
+    def free() -> None:
+        """Shuffle files of plans that have ended go with the plans."""
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+    blocks = put(id_text(docs).mapInArrow(_blocks, BLOCKS), "blocks")
+    bits = int(np.clip(np.ceil(np.log2(max(1, blocks.select("block").count()))), 3, 12))
+    needed = blocks.select("block", "held_out", "n", "codes", "words", "counts")
+    pairs = put(needed.mapInArrow(lambda it: _send_pairs(it, bits), PART_ROWS).groupBy("part").applyInArrow(_count_pairs, ANSWERS), "pairs")
+    free()
+    sums = pairs.agg(F.coalesce(F.sum("ones"), F.lit(0)).alias("ones"), F.coalesce(F.sum("twos"), F.lit(0)).alias("twos")).first()
+    d2 = py.discount(sums.ones, sums.twos)
+    asked = blocks.select("block", "words").mapInArrow(lambda it: _send_words(it, bits), PART_ROWS)
+    met = pairs
+    for sweep in range(PAIR_SWEEPS):
+        seated = put(needed.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(lambda a, b: _seat_pairs(a, b, d2, bits), SEATED), "seated")
+        free()
+        vocabulary = put(seated.where("kind = 1").groupBy("part").applyInArrow(_vocabulary, "part int, h long, word string, n long, tables long, c long"), "vocabulary")
+        free()
+        total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos")).first()
+        spelling, d, mass = train(vocabulary.select("word", "c"), total.c, total.ones, total.twos)
+        held = spark.sparkContext.broadcast((spelling, d, mass, total.c))
+        draws = DRAWS if sweep == PAIR_SWEEPS - 1 else 1
+
+        answered = asked.groupBy("part").cogroup(vocabulary.groupBy("part")).applyInArrow(_words_of(held, draws), ANSWERS)
+        had = seated.where("kind = 2").select("kind", "block", "part", "n", "data", F.lit(0).cast("long").alias("ones"), F.lit(0).cast("long").alias("twos"))
+        met = put(had.unionByName(answered), "met")
+        free()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return blocks.select("block", "doc_id", "held_out", "n", "codes").groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, schema)
+    for label in ("pairs", "seated", "vocabulary"):
+        delete(spark, held_paths[label])
+    n, v = total.n, total.v
+    return blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(lambda a, b: _scored(a, b, held, d2, n, v), schema)

@@ -10,8 +10,12 @@ share a parent: the context without its first letter.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 
+from clausula.llm.texthash import mix
+
 #: Letters of a context; symbols of the letter alphabet, 0 the end of a word (and what is before it).
 DEPTH, SYMBOLS = 3, 47
 STRENGTH = 1.0
@@ -63,6 +67,56 @@ def seat(customers: np.ndarray, mass: np.ndarray, d: float, rng: np.random.Gener
     return out
 
 
+def _uniform(keys: np.ndarray, n: int) -> np.ndarray:
+    """A number between 0 and 1 for each key, another one for each n."""
+    with np.errstate(over="ignore"):
+        return ((mix(keys + np.uint64(n) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def _binomial(m: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Inverse of the binomial distribution at u, from 0 upwards; near the normal one where the mean is over 500."""
+    mean, k = m * p, np.zeros(len(m), np.int64)
+    large = mean > 500
+    if large.any():
+        sd = np.sqrt(mean[large] * (1 - p[large]))
+        z = np.array([NormalDist().inv_cdf(x) for x in u[large].tolist()])
+        k[large] = np.clip(np.round(mean[large] + sd * z), 0, m[large])
+    at = np.flatnonzero(~large)
+    term = np.exp(m[at] * np.log1p(-np.minimum(p[at], 1 - 1e-12)))
+    total, j = term.copy(), 0
+    while True:
+        on = (u[at] > total) & (j < m[at])
+        if not on.any():
+            return k
+        at, term, total = at[on], term[on], total[on]
+        j += 1
+        q = np.minimum(p[at], 1 - 1e-12)
+        term = term * (m[at] - j + 1) / j * q / (1 - q)
+        total = total + term
+        k[at] = j
+
+
+def seat_by_key(customers: np.ndarray, mass: np.ndarray, d: float, keys: np.ndarray) -> np.ndarray:
+    """As seat() for dishes of one customer or more, with draws that depend on a dish's key alone."""
+    order = np.argsort(-customers, kind="stable")
+    c, a, key = customers[order], mass[order], keys[order]
+    t, n = np.ones(len(c), np.int64), 1
+    while True:
+        active = int(np.searchsorted(-c, -n, side="left"))  # dishes of more than n customers
+        if not active:
+            break
+        p, u = a[:active] / (n - d * t[:active] + a[:active]), _uniform(key[:active], n)
+        if n < 32:
+            t[:active] += u < p
+            n += 1
+        else:
+            t[:active] += _binomial(np.minimum(n // 16, c[:active] - n), np.clip(p, 0, 1), u)
+            n += n // 16
+    out = np.empty_like(t)
+    out[order] = t
+    return out
+
+
 def grams(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of words given as joined bytes with the end of each: gram of each letter and word end, its byte (256: an end), first place of each word."""
     n, length = len(ends), np.diff(np.r_[0, ends])

@@ -211,6 +211,55 @@ def test_lm(spark, small, odd, empty):
     assert lm.lm_scores(empty).count() == 0
 
 
+def test_lm_knows_the_word_before(spark):
+    """The same words in another order score lower, and probabilities after a word add up to one."""
+    rng = np.random.default_rng(4)
+    chain = {i: rng.permutation(40)[:3] for i in range(40)}
+    texts = []
+    for i in range(400):
+        w = [int(rng.integers(40))]
+        while len(w) < 60:
+            w.append(int(rng.choice(chain[w[-1]])))
+        texts.append((i, " ".join(f"w{x}" for x in w)))
+    for i in range(400, 440):
+        w = texts[i - 400][1].split()
+        texts.append((10_000 + i, " ".join(rng.permutation(w))))
+    texts = [(i, t) for i, t in texts if i < 400 or lm.is_held_out(i)]
+    firsts = next(i for i in range(20_000, 30_000) if lm.is_held_out(i))
+    tails = [i for i in range(firsts, firsts + 2_000) if lm.is_held_out(i)][:41]
+    ends = [(k, f"w0 w{j}") for j, k in enumerate(tails[:40])] + [(tails[40], "w0")]
+    got = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(texts + ends, "doc_id long, text string")).collect()}
+    prose = [r.perplexity for r in got.values() if r.held_out and r.doc_id < 400]
+    salad = [r.perplexity for r in got.values() if 10_000 <= r.doc_id < 20_000]
+    assert len(salad) > 3 and max(prose) < 0.3 * min(salad)
+    two = [lm.is_held_out(i) for i, _ in ends]
+    assert all(two)
+    # P(w0, wj, end) over P(w0, end) is P(wj | w0) P(end | wj) / P(end | w0); without texts that end early all are small but never nothing
+    assert all(-40 < got[k].score < 0 for k in tails)
+
+
+def test_lm_seats_a_pair_alike_in_all_blocks(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    whole = {r.doc_id: r for r in lm.lm_scores(docs.repartition(1)).collect()}
+    parts = {r.doc_id: r for r in lm.lm_scores(docs.repartition(7)).collect()}
+    assert set(whole) == set(parts)
+    assert all(whole[i].base_score == pytest.approx(parts[i].base_score) and whole[i].score == pytest.approx(parts[i].score, rel=0.01) for i in whole)
+
+
+def test_seats_by_key():
+    from clausula.llm import pitman_yor
+
+    rng = np.random.default_rng(1)
+    c = np.repeat(np.array([1, 2, 20, 1000, 100_000]), 300)
+    keys = rng.integers(0, 1 << 63, len(c), dtype=np.uint64)
+    t = pitman_yor.seat_by_key(c, np.full(len(c), 3.0), 0.5, keys)
+    want = np.mean([pitman_yor.seat(c, np.full(len(c), 3.0), 0.5, rng) for _ in range(20)], 0)
+    assert (t[:300] == 1).all() and (t <= c).all()
+    assert np.allclose(t.reshape(5, -1).mean(1), want.reshape(5, -1).mean(1), rtol=0.1)
+    back = rng.permutation(len(c))
+    assert (pitman_yor.seat_by_key(c[back], np.full(len(c), 3.0), 0.5, keys[back]) == t[back]).all()
+
+
 def test_sharding(spark, odd, empty, tmp_path):
     store = sharding.Store(spark, f"file://{tmp_path}/store")
     for _ in range(5):
