@@ -1,9 +1,13 @@
 """Secret scan with DataFrame functions only: fixed patterns, and a character Markov model.
 
 Base spans come from three patterns. Further spans come from two first-order character Markov
-models, one of random strings and one of ordinary identifiers: a run of 20 or more key characters
-that no base span touches is reported (kind `markov`) where the log-likelihood ratio of the two
-models is at least MIN_RATIO in all and MIN_MEAN a step. Both models are trained here from labelled
+models, one of random strings and one of ordinary identifiers: of a run of key characters, each
+piece of 20 or more that base spans leave is reported (kind `markov`) where the log-likelihood ratio
+of the two models is at least MIN_RATIO in all and MIN_MEAN a step. Of any other piece the parts are
+that have the greatest sums of ratios less MIN_MEAN along it (a fold that starts again where a sum
+is used up or MIN_RATIO below its peak), each widened to the next of `=/_-` on both sides, if 20
+characters or more and if it, or the part of CORE or more characters it was widened from, is at
+least as likely. So a key is found whatever words are joined to it. Both models are trained here from labelled
 samples: SAMPLES random strings (label 1, digests of numbers written in hexadecimal, base 64 or a
 cut alphabet) and SAMPLES identifiers (label 0, common words joined in the usual styles). The
 samples are made by a rule, so the model is the same for every input; its table has a fixed size.
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 
 SAMPLES = 4000
 MIN_RATIO, MIN_MEAN = 12.0, 0.35
+LEAST, CORE = 20, 12
 _LOW, _WIDE = 43, 80  # the table covers the characters from `+` to `z`
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -82,6 +87,54 @@ def _ratio(word: Column, table: list[float]) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda s, k: s + F.get(held, k))
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+_PARTS = "array<struct<first:int,end:int>>"
+
+
+def _parts(word: Column, table: list[float]) -> Column:
+    """Array of (first, end) of the random parts of a word, which is read as a whole first."""
+    held = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
+    struct = lambda **c: F.struct(*[x.alias(k) for k, x in c.items()])
+    likely = lambda ratio, n: ratio >= F.greatest(F.lit(MIN_RATIO), MIN_MEAN * (n - 1))
+    zero = F.lit(0.0)
+    start = struct(first=F.lit(0), end=F.lit(0), sum=zero, peak=zero, raw=zero, top=zero, out=F.array().cast("array<struct<first:int,end:int,top:double>>"))
+    put = lambda a: F.when(a["peak"] > 0, F.concat(a["out"], F.array(struct(first=a["first"], end=a["end"], top=a["top"])))).otherwise(a["out"])
+
+    def step(a, x):
+        s, raw, at = a["sum"] + x["k"] - MIN_MEAN, a["raw"] + x["k"], x["at"].cast("int")
+        ended, higher = (s <= 0) | (s < a["peak"] - MIN_RATIO), s > a["peak"]
+        new = struct(first=at + 1, end=at + 1, sum=zero, peak=zero, raw=zero, top=zero, out=put(a))
+        on = struct(first=a["first"], end=F.when(higher, at + 2).otherwise(a["end"]), sum=s, peak=F.greatest(a["peak"], s), raw=raw, top=F.when(higher, raw).otherwise(a["top"]), out=a["out"])
+        return F.when(ended, new).otherwise(on)
+
+    def wide(x):
+        before = F.regexp_extract(F.substring(word, F.lit(1), x["first"]), "[^=/_-]*$", 0)
+        after = F.regexp_extract(F.substring(word, x["end"] + 1, F.char_length(word)), "^[^=/_-]*", 0)
+        return struct(first=x["first"] - F.char_length(before), end=x["end"] + F.char_length(after), core=(x["end"] - x["first"] >= CORE) & (x["top"] >= MIN_RATIO))
+
+    def together(out, x):
+        last = F.element_at(out, -1)
+        one = F.array(struct(first=x["first"], end=x["end"]))
+        joined = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(struct(first=F.least(last["first"], x["first"]), end=F.greatest(last["end"], x["end"]))))
+        return F.when(F.size(out) == 0, one).when(F.element_at(F.when(F.size(out) > 0, out), -1)["end"] > x["first"], joined).otherwise(F.concat(out, one))
+
+    codes = F.transform(F.split(word, ""), lambda c: F.ascii(c) - _LOW)
+
+    def of(codes):
+        pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: a * _WIDE + b)
+        steps = F.transform(pairs, lambda k, at: struct(k=F.get(held, k), at=at))
+        wider = F.transform(F.aggregate(steps, start, step, put), wide)
+        good = F.filter(wider, lambda x: (x["end"] - x["first"] >= LEAST) & (x["core"] | likely(_ratio(F.substring(word, x["first"] + 1, x["end"] - x["first"]), table), x["end"] - x["first"])))
+        return F.aggregate(good, F.array().cast(_PARTS), together)
+
+    whole = F.array(struct(first=F.lit(0), end=F.char_length(word))).cast(_PARTS)
+    return F.when(likely(_ratio(word, table), F.char_length(word)), whole).otherwise(_let(codes, of))
+
+
 def _spans(text: str, kind: int, least: int = 0) -> Column:
     """Array of (start, kind, end, word) of a pattern's matches in document order; least: characters of group 2."""
     p, t = F.lit(PATTERNS[KINDS[kind]]), F.col(text)
@@ -107,10 +160,20 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     plain = docs.withColumn("_secret_text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     found = plain.withColumns({f"_secret_{k}": _spans("_secret_text", i, 6 if k == "assign" else 0) for i, k in enumerate(KINDS)})
     based = found.withColumn("_secret_base", F.array_sort(F.concat("_secret_assign", "_secret_access", "_secret_hex")))
-    apart = lambda x: ~F.exists("_secret_base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    ratio = lambda x: _ratio(x["word"], table)
-    random = lambda x: apart(x) & (ratio(x) >= F.greatest(F.lit(MIN_RATIO), MIN_MEAN * (F.char_length(x["word"]) - 1)))
-    added = F.when(F.size("_secret_markov") > 0, F.filter("_secret_markov", random)).otherwise(F.col("_secret_markov"))
+
+    def left(x):
+        """What base spans leave of a run, as spans."""
+        piece = lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.substring(x["word"], (a - x["start"] + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")).alias("word"))
+        none = F.struct(x["start"].alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,word:string>>").alias("out"))
+        cut = lambda acc, y: F.struct(F.greatest(acc["at"], y["end"]).alias("at"), F.concat(acc["out"], F.array(piece(acc["at"], y["start"]))).alias("out"))
+        near = F.filter("_secret_base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+        return F.filter(F.aggregate(near, none, cut, lambda acc: F.concat(acc["out"], F.array(piece(acc["at"], x["end"])))), lambda p: p["end"] - p["start"] >= LEAST)
+
+    def random(p):
+        span = lambda q: F.struct((p["start"] + q["first"]).alias("start"), F.lit(KINDS.index("markov")).alias("kind"), (p["start"] + q["end"]).alias("end"), F.substring(p["word"], q["first"] + 1, q["end"] - q["first"]).alias("word"), F.lit(True).alias("ok"))
+        return F.transform(_parts(p["word"], table), span)
+
+    added = F.when(F.size("_secret_markov") > 0, F.flatten(F.transform(F.flatten(F.transform("_secret_markov", left)), random))).otherwise(F.col("_secret_markov"))
     return based.withColumn("_secret_all", F.array_sort(F.concat("_secret_base", added))).drop("_secret_markov", "_secret_text")
 
 
