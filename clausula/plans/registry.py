@@ -319,6 +319,15 @@ def deepest_findings(spark, sf):
     return verdict.deepest(f).select("pointer")
 
 
+@query()
+def deepest_findings_whole(spark, sf):
+    """As deepest_findings, of all line numbers."""
+    o = load(spark, sf, "orders").select(F.format_string("/o/%d", "o_orderkey").alias("pointer"))
+    l = load(spark, sf, "lineitem").select(F.format_string("/o/%d/l/%d", "l_orderkey", "l_linenumber").alias("pointer"))  # noqa: E741
+    f = o.unionByName(l).select(F.lit("o").alias("doc_id"), "pointer", F.lit("C").alias("code"), F.lit("").alias("message"))
+    return verdict.deepest(f).select("pointer")
+
+
 @query("""
 SELECT '/o/' || l_orderkey || '/l/' || l_linenumber AS pointer, CASE WHEN l_orderkey % 3 = 0 THEN 'order-' || l_orderkey ELSE 'root' END AS owner, count(*) AS n FROM lineitem GROUP BY ALL""")
 def nearest_ancestor_owner(spark, sf):
@@ -378,6 +387,22 @@ def unit_roots(spark, sf):
     return units.to_root(u).select("unit", "root", "scale", "status")
 
 
+@query()
+def strong_components_whole(spark, sf):
+    """As strong_components, of edges from all parts: p_partkey to three times it modulo the largest key and 1."""
+    p = load(spark, sf, "part").select("p_partkey")
+    n = p.agg(F.max("p_partkey")).first()[0] or 0
+    return closure.strong_components(p.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") * 3 % (n + 1)).alias("dst")))
+
+
+@query()
+def unit_roots_whole(spark, sf):
+    """Of all suppliers: a unit leads to that without its last digit, and nowhere where that digit is 7."""
+    s = load(spark, sf, "supplier")
+    u = s.select(F.col("s_suppkey").alias("unit"), F.expr("CASE WHEN s_suppkey % 10 = 7 THEN -1 WHEN s_suppkey >= 10 THEN s_suppkey div 10 END").alias("target"), F.lit(2.0).alias("scale"), F.lit(0.0).alias("offset"))
+    return units.to_root(u).select("unit", "root", "scale", "status")
+
+
 # Change of contracts: the second version is derived by a rule
 
 
