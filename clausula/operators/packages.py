@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,22 +26,29 @@ def top_version(packages: DataFrame) -> DataFrame:
     return packages.withColumn("_nth", nth).where("_nth = 1").select("identity", "version", "ord")
 
 
-def resolve(packages: DataFrame, imports: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame:
+def resolve(packages: DataFrame, imports: DataFrame, roots: DataFrame, rounds: int | None = None) -> DataFrame:
     """identity, version, status of all packages that the roots need.
 
     packages: identity, version, ord; imports: identity, version, target, range; roots: identity,
     range. Each round selects the highest version that meets all constraints seen so far, and takes
-    the selected versions' imports, until the selection stays. status: resolved, or conflict where no
+    the selected versions' imports, until the selection stays. A selection that comes back after
+    others, so that none stays, is an error, as are more rounds than `rounds`, if given. status: resolved, or conflict where no
     version meets all constraints, or missing where there is none.
     """
     want, before = cut(roots.select("identity", "range").distinct(), "wanted"), None
-    for _ in range(rounds):
+    seen = set()
+    for n in itertools.count():
+        if n == rounds:
+            raise ValueError(f"the selection still changes after {rounds} rounds")
         chosen = cut(top_version(candidates(packages, want)), "chosen")
         sign = chosen.agg(F.count("*"), F.bit_xor(F.xxhash64("identity", "version"))).first()
         more = imports.join(chosen.select("identity", "version"), ["identity", "version"]).select(F.col("target").alias("identity"), "range")
         want = cut(roots.select("identity", "range").unionByName(more).distinct(), "wanted")
         if sign == before:
             break
+        if sign in seen:
+            raise ValueError("no selection stays: the imports lead round")
+        seen.add(sign)
         before = sign
     known = packages.select("identity", F.lit(True).alias("known")).distinct()
     out = want.select("identity").distinct().join(chosen, "identity", "left").join(known, "identity", "left")

@@ -6,6 +6,7 @@ one schema and are put together by union, so each rule is planned and distribute
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -270,15 +271,18 @@ def package_rules(docs: DataFrame) -> DataFrame:
     return together([finding(lost, "UNRESOLVED_IMPORT", message=F.col("identity")), finding(names, "UNRESOLVED_IMPORT", message=F.col("name")), ring])
 
 
-def owner_assignment(docs: DataFrame, rounds: int = 64) -> DataFrame:
+def owner_assignment(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """doc_id, child, owner, state of composite children: owned by just one owner that itself stands; refused else.
 
-    Each refusal can orphan others, so refused owners are taken away in rounds until none is new.
+    Each refusal can orphan others, so refused owners are taken away in rounds until none is new. More than
+    `rounds`, if given, is an error.
     """
     r = B.relationships(docs).where("composite").select("doc_id", F.col("target").alias("child"), "owner").distinct()
     several = r.groupBy("doc_id", "child").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "child")
     refused = cut(several, "refused")
-    for _ in range(rounds):
+    for n in itertools.count():
+        if n == rounds:
+            raise ValueError(f"refusals go on after {rounds} rounds")
         more = r.join(refused.withColumnRenamed("child", "owner"), ["doc_id", "owner"], "left_semi").select("doc_id", "child").unionByName(refused).distinct()
         new = cut(more, "refused")
         if new.count() == refused.count():

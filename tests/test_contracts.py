@@ -231,3 +231,15 @@ def test_changes_of_members(spark):
     r = "owner string, identity string, target string"
     rows = evolution.diff_relationships(spark.createDataFrame([("A", "1", "B"), ("A", "2", "B")], r), spark.createDataFrame([("A", "1", "C"), ("A", "3", "B")], r)).collect()
     assert {(x.identity, x.change, x.classification) for x in rows} == {("1", "changed", "breaking"), ("2", "removed", "breaking"), ("3", "added", "conditional")}
+
+
+def test_rounds_end_only_when_nothing_changes(spark):
+    r = lambda o, *ts: record(o, relationships=[{"identity": ix(f"{o}{t}"), "category": "c", "composite": True, "target": ix(t)} for t in ts])
+    d = docs(spark, d={"types": [r("A", "C"), r("X", "C"), r("C", "D"), r("D", "E"), r("E", "F"), r("F")]})
+    assert {x.state for x in rules.owner_assignment(d).collect()} == {"refused"}
+    with pytest.raises(ValueError):
+        rules.owner_assignment(d, rounds=2)
+    p = spark.createDataFrame([(x, "1.0.0", i) for i, x in enumerate("abcd")], "identity string, version string, ord long")
+    imports = spark.createDataFrame([(a, "1.0.0", b, "^1.0.0") for a, b in ("ab", "bc", "cd")], "identity string, version string, target string, range string")
+    with pytest.raises(ValueError):
+        packages.resolve(p, imports, spark.createDataFrame([("a", "^1.0.0")], "identity string, range string"), rounds=2)
