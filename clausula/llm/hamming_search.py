@@ -14,7 +14,7 @@ queries stream past it; a block gives k + 1 rows a query, and these are ranked o
 
 Defined results: neighbours of a query are other ids, nearest first, then smallest id; fewer than k
 if there are fewer. A null id or null vector is left out; null elements are not positive; missing
-dimensions are zero bits, those past 64 are not looked at. Rows that repeat an id: the one with
+dimensions are zero bits; a vector of more than 64 is an error. Rows that repeat an id: the one with
 the smallest code. Other columns are not looked at. An empty table gives an empty table.
 """
 
@@ -39,7 +39,9 @@ def _codes(batches):
         out = []
         for v in b["vector"].to_pylist():
             bits = np.zeros(64, np.uint8)
-            v = [x is not None and x > 0 for x in v[:64]]
+            if len(v) > 64:
+                raise ValueError(f"a vector of {len(v)} dimensions: codes have 64")
+            v = [x is not None and x > 0 for x in v]
             bits[: len(v)] = v
             out.append(int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True))
         yield pa.RecordBatch.from_arrays([b["id"], pa.array(out, pa.int64())], ["id", "code"])

@@ -141,3 +141,10 @@ def test_pieces_against_the_library(spark, small, odd, empty):
     rows = pieces.encoded(odd, path).collect()
     assert len(rows) == 15 and all(r.round_trip for r in rows)
     assert pieces.encoded(empty, path).count() == 0
+
+
+def test_wider_vectors_are_an_error(spark):
+    wide = spark.createDataFrame([(1, [0.5] * 64), (2, [0.5] * 65)], "vec_id long, embedding array<double>")
+    assert hamming_search.codes(wide.where("vec_id = 1"), "vec_id", "embedding").count() == 1
+    with pytest.raises(Exception, match="65 dimensions"):
+        hamming_search.codes(wide, "vec_id", "embedding").collect()
