@@ -1,22 +1,26 @@
 """Language-model scoring with a nested hierarchical Pitman-Yor model.
 
-Tokens are words and one end a document. Each word (and the start of a text) is a context with a
-restaurant of the words that follow it; the parent of all these is a word restaurant, and its base
-is a spelling model: Pitman-Yor restaurants of letters, each context of up to 3 letters a restaurant
-whose parent is the context without its first letter. Tables of a restaurant are customers of its
-parent; discounts come from counts of counts. Gibbs sweeps seat all customers in turn: pairs from
-one customer a table, then given their parents' probabilities; words in passes over the vocabulary
-table; letters (at most 47**4 counts, whatever the corpus) on the driver. The probabilities of the
-word restaurant are averaged over several seatings, letters' too. A document's score is the sum of
-log10 of its tokens' probabilities after the token before; perplexity is 10**(-score/tokens).
+Tokens are words and one end a document; before a text are two ends. The two words before a token
+are a context with a restaurant of the words that follow; its parent is the restaurant of the word
+before, which all contexts that end in this word share; the parent of these is a word restaurant,
+and its base is a spelling model: restaurants of letters, each context of up to 3 letters a
+restaurant whose parent is the context without its first letter. Tables of a restaurant are
+customers of its parent; discounts come from counts of counts. A Gibbs sweep takes out the
+customers of each dish and seats them anew given all others (pitman_yor.reseat): word triples, then
+pairs, then words in passes over the vocabulary table, then letters (at most 47**4 counts, whatever
+the corpus) on the driver. Dishes are seated side by side: the other dishes of a restaurant stand
+as the sweep before has left them, and in the word restaurant a dish's own tables count as one.
+Probabilities are averaged over several seatings. A document's score is the sum of log10 of its
+tokens' probabilities; perplexity is 10**(-score/tokens).
 
 Plan: texts are read once, in blocks of bounded size that hold each distinct word once, in order of
 the words' hashes (`codes` are places in that list). Blocks and parts of the hash range exchange
-packed arrays, a row a block and part: hashes of a block's distinct pairs go to the parts and the
-corpus's counts come back in the same order, and likewise for words. Of equal pairs, one block owns
-the pair and hands its tables up; seating a pair draws by its hash, so all blocks that hold it find
-the same tables. Every training document counts, and nothing that grows with the corpus is broadcast
-or collected. Pairs and words of equal 64-bit hashes count as one.
+packed arrays, a row a block and part: the hashes of a block's distinct triples go to the parts and
+the corpus's counts come back in the same order, and likewise for pairs and words with their
+tables and customers. Of equal triples or pairs, one block owns it and hands its tables up; seating
+draws by the hash, so all blocks that hold it, and tasks that run again, find the same tables. What
+a block knows goes along as rows of the same tables. Every training document counts, and nothing
+that grows with the corpus is broadcast or collected. Grams of equal 56-bit hashes count as one.
 
 Defined results: a null or empty text is the end alone. A null doc_id is not held out. Repeated
 rows are documents of their own. Other columns are not looked at. Without training documents N and
@@ -25,6 +29,7 @@ V are 0 and all words are spelled with even letters. An empty table gives an emp
 
 from __future__ import annotations
 
+import functools
 import gc
 import zlib
 
@@ -35,37 +40,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausula.llm import pitman_yor as py
-from clausula.llm.shared import delete, id_text, scratch
+from clausula.llm.shared import bucketed, delete, id_text, scratch
 from clausula.llm.texthash import _BASE, _BYTE, mix, powers
 
 BLOCK_BYTES = 16_000_000
-SWEEPS, LETTER_SWEEPS, DRAWS = 3, 4, 4
-#: Seatings of all pairs: the first has one table a pair.
-PAIR_SWEEPS = 2
+#: Sweeps of triples and pairs (the first has one table a gram), of words and of letters in each of them, and seatings that scores are averaged over.
+SWEEPS, WORD_SWEEPS, LETTER_SWEEPS, DRAWS = 2, 3, 4, 3
 END = b""
+#: Hashes have 56 bits, at the top.
+BITS = np.uint64(0xFFFFFFFFFFFFFF00)
 
 
 def is_held_out(doc_id: int | None, modulus: int = 7, remainder: int = 2) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % modulus == remainder
 
 
-BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, n array<int>, codes binary, words array<string>, counts array<long>"
+BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, n array<int>, codes binary, words array<string>"
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    return pa.compress(b"".join(a.tobytes() for a in arrays), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    raw = pa.decompress(packed, n * sum(np.dtype(k).itemsize for k in kinds), codec="zstd", asbytes=True)
+    ends = np.r_[0, np.cumsum([n * np.dtype(k).itemsize for k in kinds])]
+    return [np.frombuffer(raw[a:b], k) for a, b, k in zip(ends[:-1], ends[1:], kinds)]
+
+
+def _list(a: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
 
 
 def _blocks(batches):
     part, k, of, ids, held, n, codes, size = TaskContext.get().partitionId(), 0, {END: 0}, [], [], [], [], 0
 
     def out():
-        code = np.concatenate(codes)
-        train = np.repeat(~np.array(held, bool), n)
         words = pa.array([w.decode() if w else "" for w in of], pa.string())
         order = np.argsort(hashes(words), kind="stable")  # the end's hash is 0, so its code stays 0
         rank = np.empty(len(of), np.uint32)
         rank[order] = np.arange(len(of), dtype=np.uint32)
-        words, code = words.take(pa.array(order)), rank[code]
-        counts = np.bincount(code[train], minlength=len(of)).astype(np.int64)
-        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        return pa.RecordBatch.from_arrays([pa.array([(part << 24) + k]), one(pa.array(ids, pa.int64())), one(pa.array(held, pa.bool_())), one(pa.array(n, pa.int32())), pa.array([code.astype("<u4").tobytes()], pa.binary()), one(words), one(pa.array(counts))], ["block", "doc_id", "held_out", "n", "codes", "words", "counts"])
+        code = rank[np.concatenate(codes)].view(np.uint8).reshape(-1, 4).T  # bytes of equal weight together pack better
+        return pa.RecordBatch.from_arrays([pa.array([(part << 24) + k]), _list(pa.array(ids, pa.int64())), _list(pa.array(held, pa.bool_())), _list(pa.array(n, pa.int32())), pa.array([_pack(np.ascontiguousarray(code))], pa.binary()), _list(words.take(pa.array(order)))], ["block", "doc_id", "held_out", "n", "codes", "words"])
 
     for b in batches:
         for i in range(0, b.num_rows, 500):
@@ -96,56 +112,73 @@ def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word; that of the end is 0."""
+    """The hash of each word; that of the end is 0."""
     raw, ends = _bytes_of(words)
     start = np.r_[0, ends[:-1]].astype(np.int64)[: len(ends)]
     up, down = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
-        return mix((total[ends] - total[start]) * down[start] + (ends - start).astype(np.uint64))
+        return mix((total[ends] - total[start]) * down[start] + (ends - start).astype(np.uint64)) & BITS
+
+
+# Spelling
+
+
+@functools.lru_cache(2)
+def _floats(packed: bytes) -> np.ndarray:
+    return _unpack(packed, py.SYMBOLS ** (py.DEPTH + 1), "f4")[0]
 
 
 class Spelling:
-    """log of the probability of each gram, and of a byte within its class."""
+    """log of the probability of each gram, of a byte within its class, and the class of each byte."""
 
-    def __init__(self, log_gram: np.ndarray, log_byte: np.ndarray):
-        self.log_gram, self.log_byte = log_gram.astype(np.float32), log_byte
+    def __init__(self, gram: np.ndarray, log_byte: np.ndarray, of: np.ndarray):
+        self.packed, self.log_byte, self.of = _pack(np.log(gram).astype("<f4")), log_byte, of
 
     def log(self, words: pa.Array) -> np.ndarray:
         raw, ends = _bytes_of(words)
-        gram, byte, place = py.grams(raw, ends)
-        return np.add.reduceat(self.log_gram[gram].astype(float) + self.log_byte[byte], place) if len(place) else np.zeros(0)
+        gram, byte, place = py.grams(raw, ends, self.of)
+        return np.add.reduceat(_floats(self.packed)[gram].astype(float) + self.log_byte[byte], place) if len(place) else np.zeros(0)
 
 
-def _seed(kind: int, words: pa.Array) -> np.random.Generator:
-    """By content, so that a task that runs again draws the same."""
-    return np.random.default_rng([kind, len(words), zlib.crc32("\n".join(words.slice(0, 50).to_pylist()).encode())])
+def _byte_counts(vocabulary: DataFrame) -> np.ndarray:
+    def rows(batches):
+        n = np.zeros(256, np.int64)
+        for b in batches:
+            n += np.bincount(_bytes_of(b["word"])[0], minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(n)], ["byte", "n"])
+
+    got = vocabulary.select("word").mapInArrow(rows, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).toArrow()  # 256 rows
+    out = np.zeros(256, np.int64)
+    out[got["byte"].to_numpy()] = got["n"].to_numpy()
+    return out
 
 
-def _sweep(vocabulary: DataFrame, sweep: int, spelling, d: float, strength: float):
+def _sweep(vocabulary: DataFrame, sweep: int, spelling, d: float, tables: int, of: np.ndarray):
     """Seat the words' customers once; counts of grams and bytes over the tables' spellings, and the number of tables."""
-    held = vocabulary.sparkSession.sparkContext.broadcast((spelling, d, strength))
+    held = vocabulary.sparkSession.sparkContext.broadcast((spelling, d, tables, of))
     size = py.SYMBOLS ** (py.DEPTH + 1)
 
     def rows(batches):
-        spell, disc, mass = held.value
-        total, bytes_, tables = np.zeros(size, np.int64), np.zeros(257, np.int64), 0
+        spell, disc, others, cls = held.value
+        total, bytes_, made = np.zeros(size, np.int32), np.zeros(257, np.int64), 0
         for b in batches:
             if not b.num_rows:
                 continue
             words, c = b["word"], b["c"].to_numpy()
             raw, ends = _bytes_of(words)
-            gram, byte, place = py.grams(raw, ends)
-            t = np.ones(len(c), np.int64) if spell is None else py.seat(c, mass * np.exp(spell.log(words)), disc, _seed(sweep, words))
+            gram, byte, place = py.grams(raw, ends, cls)
+            t = np.ones(len(c), np.int64) if spell is None else word_tables(c, np.exp(spell.log(words)), disc, others, b["h"].to_numpy().view(np.uint64), sweep)
             each = np.repeat(t, np.diff(np.r_[place, len(gram)]))
-            np.add.at(total, gram, each)
+            np.add.at(total, gram, each.astype(np.int32))
             bytes_ += np.bincount(byte, each, 257).astype(np.int64)
-            tables += int(t.sum())
+            made += int(t.sum())
         at, more = np.flatnonzero(total), np.flatnonzero(bytes_)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1 - more, -1000].astype(np.int32)), pa.array(np.r_[total[at], bytes_[more], tables])], ["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1 - more, -1000].astype(np.int32)), pa.array(np.r_[total[at].astype(np.int64), bytes_[more], made])], ["gram", "n"])
 
     got = vocabulary.mapInArrow(rows, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # SYMBOLS**4 + 258 rows at most
+    held.destroy()
     gram, n = got["gram"].to_numpy(), got["n"].to_numpy()
     counts, bytes_ = np.zeros(size, np.int64), np.zeros(257)
     counts[gram[gram >= 0]] = n[gram >= 0]
@@ -154,43 +187,47 @@ def _sweep(vocabulary: DataFrame, sweep: int, spelling, d: float, strength: floa
     return counts, bytes_, int(n[gram == -1000].sum())
 
 
-def _log_byte(n: np.ndarray) -> np.ndarray:
-    of = np.r_[py.CLASS, 0]
+def _log_byte(n: np.ndarray, of: np.ndarray) -> np.ndarray:
+    of = np.r_[of, 0]
     total, members = np.bincount(of, n + 0.5, py.SYMBOLS), np.bincount(of, minlength=py.SYMBOLS)
     return np.log((n + 0.5) / np.where(members > 0, total, 1)[of])
 
 
-def train(vocabulary: DataFrame, n: int, ones: int, twos: int):
-    """(spelling, discount, strength + discount * tables) of a table of words and counts."""
-    d = py.discount(ones, twos)
-    letters, spelling, mass = py.Letters(5), None, 0.0
-    for sweep in range(SWEEPS):
-        counts, bytes_, tables = _sweep(vocabulary, sweep, spelling, d, mass)
-        kept = np.zeros(len(counts))
+def train(vocabulary: DataFrame, ones: int, twos: int):
+    """(spelling, discount, tables) of a table of words (with hashes h) and their customers c."""
+    d, of = py.discount(ones, twos), py.classes(_byte_counts(vocabulary))
+    letters, spelling, tables = py.Letters(5), None, 0
+    for sweep in range(WORD_SWEEPS):
+        counts, bytes_, tables = _sweep(vocabulary, sweep, spelling, d, tables, of)
+        kept = np.zeros(len(counts), np.float32)
         for k in range(2 * LETTER_SWEEPS):
             p = letters.sweep(counts)
             if k >= LETTER_SWEEPS:
                 kept += p / LETTER_SWEEPS
-        spelling, mass = Spelling(np.log(kept), _log_byte(bytes_)), py.STRENGTH + d * tables
-    return spelling, d, mass
+        spelling = Spelling(kept, _log_byte(bytes_, of), of)
+    return spelling, d, tables
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return pa.compress(b"".join(a.tobytes() for a in arrays), codec="zstd", asbytes=True)
+def word_tables(c: np.ndarray, base: np.ndarray, d: float, tables: int, h: np.ndarray, draw: int) -> np.ndarray:
+    return py.reseat(c, (py.STRENGTH + d * max(tables - 1, 0)) * base, d * base, d, py.uniform(h, draw))
 
 
-def _unpack(packed: bytes, n: int, *kinds: str) -> list[np.ndarray]:
-    raw = pa.decompress(packed, n * sum(np.dtype(k).itemsize for k in kinds), codec="zstd", asbytes=True)
-    ends = np.r_[0, np.cumsum([n * np.dtype(k).itemsize for k in kinds])]
-    return [np.frombuffer(raw[a:b], k) for a, b, k in zip(ends[:-1], ends[1:], kinds)]
+def word_probability(c: np.ndarray, words: pa.Array, h: np.ndarray, spelling, d: float, tables: int, customers: int) -> np.ndarray:
+    """Of the word restaurant, averaged over seatings."""
+    base = np.exp(spelling.log(words))
+    t = sum(word_tables(c, base, d, tables, h, 100 + k) for k in range(DRAWS)) / DRAWS
+    return (np.maximum(c - d * t, 0) + (py.STRENGTH + d * tables) * base) / (py.STRENGTH + customers)
+
 
+# Blocks and parts
 
-def _packed_hashes(sorted_hashes: np.ndarray) -> bytes:
-    """Ascending hashes as differences, of six bytes each where these are enough."""
-    d = np.diff(sorted_hashes, prepend=np.uint64(0))
-    d[:1] = 0
-    width = 6 if not len(d) or int(d.max()) < 1 << 48 else 8
-    return sorted_hashes[:1].astype("<u8").tobytes() + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+def _packed_hashes(ascending: np.ndarray) -> bytes:
+    """Ascending hashes as differences, of five bytes each where these are enough."""
+    d = np.diff(ascending >> np.uint64(8), prepend=np.uint64(0))
+    first, d[:1] = d[:1].copy(), 0
+    width = 5 if not len(d) or int(d.max()) < 1 << 40 else 7
+    return first.astype("<u8").tobytes() + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def _unpacked_hashes(packed: bytes, n: int) -> np.ndarray:
@@ -199,235 +236,360 @@ def _unpacked_hashes(packed: bytes, n: int) -> np.ndarray:
     d[:, :width] = np.frombuffer(packed, np.uint8, offset=8).reshape(n, width)
     d = d.view("<u8").ravel().astype(np.uint64)
     d[0] = np.frombuffer(packed, "<u8", 1)[0]
-    return np.cumsum(d, dtype=np.uint64)
+    return np.cumsum(d, dtype=np.uint64) << np.uint64(8)
 
 
-def _cuts(sorted_hashes: np.ndarray, bits: int):
+def _cuts(ascending: np.ndarray, bits: int):
     """(part, first, end) of each part of the hash range that has hashes."""
-    part = (sorted_hashes >> np.uint64(64 - bits)).astype(np.int64)
+    if not len(ascending):
+        return []
+    part = (ascending >> np.uint64(64 - bits)).astype(np.int64)
     start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     return list(zip(part[start].tolist(), start.tolist(), [*start[1:].tolist(), len(part)]))
 
 
-def _tokens(codes: bytes, n: np.ndarray, held: np.ndarray):
-    """Of each token the pair of the code before and its own, as one number, and whether it is trained on."""
-    code = np.frombuffer(codes, "<u4").astype(np.uint64)
-    return np.r_[np.uint64(0), code[:-1]] << np.uint64(32) | code, np.repeat(~held, n)  # before a text is an end
-
-
-def _pairs(pair: np.ndarray, train: np.ndarray, h: np.ndarray):
-    """Distinct pairs in ascending order, their hashes, training counts, and the places in order of the hashes."""
-    each = np.sort(pair << np.uint64(1) | train)  # codes have less than 31 bits
-    both = each >> np.uint64(1)
-    start = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
-    both = both[start]
-    with np.errstate(over="ignore"):
-        key = mix(h[both >> np.uint64(32)] * np.uint64(_BASE) + h[both & np.uint64(0xFFFFFFFF)])
-    return both, key, np.add.reduceat((each & np.uint64(1)).astype(np.int64), start), np.argsort(key, kind="stable")
-
-
-def _block(b, i: int):
-    """Of a row of the table of blocks: words, their hashes, training counts, tokens as _tokens() gives them, tokens a document."""
-    words, n = b["words"][i].values, b["n"][i].values.to_numpy()
-    held = b["held_out"][i].values.to_numpy(zero_copy_only=False)
-    return words, hashes(words), b["counts"][i].values.to_numpy(), *_tokens(b["codes"][i].as_py(), n, held), n
-
-
-PART_ROWS = "part int, block long, n int, hashes binary, data binary"
-ANSWERS = "kind int, block long, part int, n int, data binary, ones long, twos long"
-
-
-def _answer(kind, block, part, n, data, ones=0, twos=0):
-    return {"kind": kind, "block": block, "part": part, "n": n, "data": data, "ones": ones, "twos": twos}
-
-
-ANSWER_TYPE = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("data", pa.binary()), ("ones", pa.int64()), ("twos", pa.int64())])
-
-
-def _send_pairs(batches, bits: int):
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, and the place of each key among them. Sorts keys with their places in the low bits."""
+    low = np.uint64(max(1, len(key)).bit_length())
+    order = ((key >> low) << low) | np.arange(len(key), dtype=np.uint64)
+    order.sort()
+    order = (order & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    k = key[order]
+    if (k[1:] < k[:-1]).any():
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+    new = np.r_[True, k[1:] != k[:-1]][: len(k)]
+    place = np.empty(len(key), np.int32)
+    place[order] = np.cumsum(new) - 1
+    return k[new], place
+
+
+class Block:
+    """A row of the table of blocks. Positions are tokens and, before each document, one end that is not scored."""
+
+    def __init__(self, b, i: int = 0):
+        self.number = b["block"][i].as_py()
+        self.words, self.n = b["words"][i].values, b["n"][i].values.to_numpy()
+        held = b["held_out"][i].values.to_numpy(zero_copy_only=False)
+        size = int(self.n.sum())
+        raw = np.frombuffer(pa.decompress(b["codes"][i].as_py(), 4 * size, codec="zstd", asbytes=True), np.uint8)
+        self.first = np.r_[0, np.cumsum(self.n + 1)[:-1]].astype(np.int64)
+        self.real = np.ones(size + len(self.n), bool)
+        self.real[self.first] = False
+        self.word = np.zeros(len(self.real), np.int32)
+        self.word[self.real] = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+        self.train = np.repeat(~held, self.n + 1) & self.real
+        self.hash = hashes(self.words)
+        self.before = np.r_[0, self.word[:-1]].astype(np.int32)
+        own = self.hash[self.word]
+        with np.errstate(over="ignore"):
+            pair = mix(np.r_[np.uint64(0), own[:-1]] * np.uint64(_BASE) + own) & BITS
+            triple = (mix(np.r_[np.uint64(0), pair[:-1]] * np.uint64(_BASE) + own) & BITS)[self.real]
+        self.key2, self.pair = distinct(pair)
+        self.key3, self.triple = distinct(triple)
+        at = np.empty(len(self.key2), np.int64)
+        at[self.pair] = np.arange(len(self.pair))
+        self.word2, self.context2 = self.word[at], self.before[at]  # of a pair: its word, and the one before
+        place = np.flatnonzero(self.real)
+        at = np.empty(len(self.key3), np.int64)
+        at[self.triple] = place
+        self.pair3, self.context3 = self.pair[at], self.pair[at - 1]  # of a triple: its last pair, and its first
+
+    def triple_counts(self) -> np.ndarray:
+        return np.bincount(self.triple, self.train[self.real], len(self.key3)).astype(np.int64)
+
+    def pair_contexts(self) -> np.ndarray:
+        """Training tokens after each pair."""
+        return np.bincount(self.pair[np.flatnonzero(self.train) - 1], minlength=len(self.key2)).astype(np.int64)
+
+    def word_counts(self) -> np.ndarray:
+        return np.bincount(self.word[self.train], minlength=len(self.words)).astype(np.int64)
+
+
+#: Kinds of rows of what is known. From the parts: TRIPLE_COUNTS (twice the corpus's count and 1 if the block owns the triple), PAIR_COUNTS (tokens after it in the
+#: corpus, and 1 if the block owns it and 2 more if no other block has it), PAIR_SUMS (tables as a context, customers), WORDS (tokens, customers and tables as a
+#: context, probability), WORD_SUMS (a part's words). From a block itself: TRIPLE_TABLES, PAIR_TABLES, and SOLE_SUMS (as PAIR_SUMS, of pairs that no other block has).
+TRIPLE_COUNTS, TRIPLE_TABLES, PAIR_COUNTS, PAIR_SUMS, SOLE_SUMS, PAIR_TABLES, WORDS, WORD_SUMS = range(1, 9)
+ROWS = "kind int, block long, part int, n int, hashes binary, data binary, ones long, twos long"
+TYPE = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("data", pa.binary()), ("ones", pa.int64()), ("twos", pa.int64())])
+
+
+def _row(kind, block, part, n, data, hashes=None, ones=0, twos=0):
+    return {"kind": kind, "block": block, "part": part, "n": n, "hashes": hashes, "data": data, "ones": ones, "twos": twos}
+
+
+def _messages(kind: int, block: int, key: np.ndarray, bits: int, *arrays: np.ndarray) -> list[dict]:
+    return [_row(kind, block, part, y - x, _pack(*(a[x:y] for a in arrays)), _packed_hashes(key[x:y])) for part, x, y in _cuts(key, bits)]
+
+
+def _send_triples(batches, bits: int):
     for b in batches:
         for i in range(b.num_rows):
-            _, h, _, pair, train, _ = _block(b, i)
-            _, key, count, order = _pairs(pair, train, h)
-            key, count, block = key[order], count[order], b["block"][i].as_py()
-            for part, x, y in _cuts(key, bits):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block]), pa.array([y - x], pa.int32()), pa.array([_packed_hashes(key[x:y])], pa.binary()), pa.array([_pack(count[x:y])], pa.binary())], ["part", "block", "n", "hashes", "data"])
+            block = Block(b, i)
+            yield from pa.Table.from_pylist(_messages(TRIPLE_COUNTS, block.number, block.key3, bits, block.triple_counts()), TYPE).to_batches()
+
+
+#: Arrays that a block sends of a gram.
+SENT = {TRIPLE_COUNTS: 1, PAIR_COUNTS: 3, PAIR_SUMS: 2, WORD_SUMS: 3}
 
 
-def _count_pairs(t: pa.Table) -> pa.Table:
-    """A part's pairs: to each block twice the corpus's count of each of its pairs, and 1 more if the block owns it. ones, twos: pairs of one and two customers."""
+def _at_part(t: pa.Table) -> pa.Table:
+    """Sums over the blocks of what they sent to a part: back to each block, but for words. Rows that a block keeps pass. ones, twos: grams of one and two customers."""
+    kind = t["kind"][0].as_py()
+    if kind not in SENT:
+        return t.cast(TYPE)
     t = t.sort_by("block")
-    n = t["n"].to_numpy()
+    n, part = t["n"].to_numpy(), t["part"][0].as_py()
     key = np.concatenate([_unpacked_hashes(k, m) for k, m in zip(t["hashes"].to_pylist(), n.tolist())])
-    count = np.concatenate([_unpack(d, m, "i8")[0] for d, m in zip(t["data"].to_pylist(), n.tolist())])
+    sent = [np.concatenate(x) for x in zip(*(_unpack(d, m, *["i8"] * SENT[kind]) for d, m in zip(t["data"].to_pylist(), n.tolist())))]
     order = np.argsort(key, kind="stable")
-    key, c = key[order], count[order]
+    key = key[order]
     new = np.r_[True, key[1:] != key[:-1]]
-    total, group = np.add.reduceat(c, np.flatnonzero(new)), np.cumsum(new) - 1
-    out = np.empty_like(count)
-    out[order] = 2 * total[group]
-    some = np.flatnonzero(c > 0)
-    out[order[some[np.r_[True, np.diff(group[some]) > 0][: len(some)]]]] += 1
-    ends, part, rows = np.cumsum(n), t["part"][0].as_py(), []
+    start, group = np.flatnonzero(new), np.empty(len(key), np.int64)
+    sums = [np.add.reduceat(x[order], start) for x in sent]
+    if kind == WORD_SUMS:
+        return pa.Table.from_pylist([_row(kind, 0, part, len(start), _pack(*sums), _packed_hashes(key[start]))], TYPE)
+    group[order] = np.cumsum(new) - 1
+    own = np.zeros(len(key), np.int64)
+    own[order[start]] = 1  # the first block that has the gram
+    own[order[start[np.diff(np.r_[start, len(key)]) == 1]]] = 3
+    back = [x[group] for x in sums]
+    held = {TRIPLE_COUNTS: lambda: {TRIPLE_COUNTS: (2 * back[0] + (own & 1),)}, PAIR_COUNTS: lambda: {PAIR_COUNTS: (4 * back[0] + own,), PAIR_SUMS: back[1:]}, PAIR_SUMS: lambda: {PAIR_SUMS: back}}[kind]()
+    ends, rows, few = np.cumsum(n), [], (int((sums[-1] == 1).sum()), int((sums[-1] == 2).sum()))
     for k, (block, m) in enumerate(zip(t["block"].to_pylist(), n.tolist())):
-        rows.append(_answer(0, block, part, m, _pack(out[ends[k] - m : ends[k]]), *(() if k else (int((total == 1).sum()), int((total == 2).sum())))))
-    return pa.Table.from_pylist(rows, ANSWER_TYPE)
-
-
-def _met(right: pa.Table, n_pairs: int, n_words: int):
-    """What came to a block: counts and ownership and tables of its pairs in order of hashes; tokens, tables as a context and probability of its words (None before there are any)."""
-    got = {0: [], 1: [], 2: []}
-    for r in right.sort_by([("kind", "ascending"), ("part", "ascending")]).to_pylist():
-        got[r["kind"]].append(r)
-    if got[2]:
-        both, tables = _unpack(got[2][0]["data"], n_pairs, "i8", "i8")
-    else:
-        both = np.concatenate([_unpack(r["data"], r["n"], "i8")[0] for r in got[0]])
-        tables = np.minimum(both >> 1, 1)
-    words = [np.concatenate(x) for x in zip(*(_unpack(r["data"], r["n"], "i8", "i8", "f8") for r in got[1]))] if got[1] else None
-    assert len(both) == n_pairs and (words is None or len(words[0]) == n_words)
-    return both >> 1, (both & 1).astype(bool), tables, words
-
-
-SEATED = "kind int, block long, part int, n int, words array<string>, data binary"
-
-
-def _seat_pairs(left: pa.Table, right: pa.Table, d2: float, bits: int) -> pa.Table:
-    """Seat a block's pairs: their counts and tables (kind 2), and to the parts the block's words with tokens, tables as a context, and customers (kind 1)."""
-    words, h, count, pair, train, _ = _block(left, 0)
-    both, key, _, order = _pairs(pair, train, h)
-    u, w = (both >> np.uint64(32)).astype(np.int64)[order], (both & np.uint64(0xFFFFFFFF)).astype(np.int64)[order]
-    c, own, t, known = _met(right, len(u), len(h))
-    if known is not None:
-        t = t.copy()
-        some = np.flatnonzero(c > 1)
-        t[some] = py.seat_by_key(c[some], (py.STRENGTH + d2 * known[1][u[some]]) * known[2][w[some]], d2, key[order][some])
-    tables = np.bincount(u[own], t[own], len(h)).astype(np.int64)
-    customers = np.bincount(w[own], t[own], len(h)).astype(np.int64)
-    block = left["block"][0].as_py()
-    rows = [{"kind": 2, "block": block, "part": 0, "n": len(u), "words": None, "data": _pack(2 * c + own, t)}]
-    cuts = _cuts(h, bits)
-    out = [pa.Table.from_pylist(rows, SEATED_TYPE)]
-    out.append(pa.table({"kind": pa.array([1] * len(cuts), pa.int32()), "block": pa.array([block] * len(cuts)), "part": pa.array([p for p, _, _ in cuts], pa.int32()), "n": pa.array([y - x for _, x, y in cuts], pa.int32()), "words": pa.ListArray.from_arrays(pa.array([0, *[y for _, _, y in cuts]], pa.int32()), words), "data": pa.array([_pack(h[x:y], count[x:y], tables[x:y], customers[x:y]) for _, x, y in cuts], pa.binary())}, SEATED_TYPE))
-    return pa.concat_tables(out)
-
-
-SEATED_TYPE = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("words", pa.list_(pa.string())), ("data", pa.binary())])
-
-
-def _vocabulary(t: pa.Table) -> pa.Table:
-    """A part's words of the training texts, in order of their hashes: tokens, tables as a context, and customers of the word restaurant."""
-    got = [_unpack(d, m, "u8", "i8", "i8", "i8") for d, m in zip(t["data"].to_pylist(), t["n"].to_pylist())]
-    h, n, tables, c = (np.concatenate(x) for x in zip(*got))
+        for what, arrays in held.items():
+            rows.append(_row(what, block, part, m, _pack(*(x[ends[k] - m : ends[k]] for x in arrays)), None, *((0, 0) if k or what == PAIR_COUNTS else few)))
+    return pa.Table.from_pylist(rows, TYPE)
+
+
+class Known:
+    """What came to a block, in order of its hashes; None where it is not there yet."""
+
+    def __init__(self, rows: pa.Table):
+        got: dict[int, list] = {}
+        for r in rows.sort_by([("kind", "ascending"), ("part", "ascending")]).to_pylist():
+            got.setdefault(r["kind"], []).append(r)
+
+        def read(kind, *types):
+            if kind not in got:
+                return [None] * len(types)
+            return [np.concatenate(x) for x in zip(*(_unpack(r["data"], r["n"], *types) for r in got[kind]))]
+
+        (both,), (self.t3,), (self.t2,) = read(TRIPLE_COUNTS, "i8"), read(TRIPLE_TABLES, "i8"), read(PAIR_TABLES, "i8")
+        if both is not None:
+            self.c3, self.own3 = both >> 1, (both & 1).astype(bool)
+            self.t3 = np.minimum(self.c3, 1) if self.t3 is None else self.t3
+        (both,) = read(PAIR_COUNTS, "i8")
+        self.own2 = self.sole2 = None
+        if both is not None:
+            self.n2, self.own2, self.sole2 = both >> 2, (both & 1).astype(bool), (both & 2).astype(bool)
+            sums = read(PAIR_SUMS, "i8", "i8")
+            if SOLE_SUMS in got:
+                parted, sums = sums, [np.empty(len(both), np.int64) for _ in range(2)]
+                for x, a, b in zip(sums, parted, read(SOLE_SUMS, "i8", "i8")):
+                    x[self.sole2] = b
+                    if a is not None:
+                        x[~self.sole2] = a
+            self.tables2, self.c2 = sums
+            self.t2 = np.minimum(self.c2, 1) if self.t2 is None else self.t2
+        self.tokens, self.customers1, self.tables1, self.p1 = read(WORDS, "i8", "i8", "i8", "f4")
+
+
+def pair_mass(block: Block, k: Known, t: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mass of a new table and of each further one, by pair; t: the pairs' tables."""
+    p, others = k.p1[block.word2].astype(float), k.tables1[block.context2] - t
+    return (py.STRENGTH + d * others) * p, d * p
+
+
+def pair_probability(block: Block, k: Known, t: np.ndarray, d: float) -> np.ndarray:
+    up = (py.STRENGTH + d * k.tables1[block.context2]) * k.p1[block.word2].astype(float)
+    return (np.maximum(k.c2 - d * t, 0) + up) / (py.STRENGTH + k.customers1[block.context2])
+
+
+def triple_tables(block: Block, k: Known, p2: np.ndarray, d: float, draw: int) -> np.ndarray:
+    p, others = p2[block.pair3], np.maximum(k.tables2[block.context3] - k.t3, 0)
+    return py.reseat(k.c3, (py.STRENGTH + d * others) * p, d * p, d, py.uniform(block.key3, draw))
+
+
+def _kept(block: int, kind: int, arrays: list[np.ndarray], ones: int = 0, twos: int = 0) -> dict:
+    """A row that a block keeps; its part is a number of its own."""
+    return _row(kind, block, -1 - block % (1 << 31), len(arrays[0]), _pack(*arrays), None, ones, twos)
+
+
+def _seat_triples(left: pa.Table, right: pa.Table, d3: float, d2: float, sweep: int, bits: int) -> pa.Table:
+    """Seat a block's triples; what they say of pairs goes to the parts, but for pairs that no other block has."""
+    block, k = Block(left), Known(right)
+    t = k.t3 if not sweep else triple_tables(block, k, pair_probability(block, k, k.t2, d2), d3, sweep)
+    own, size = k.own3, len(block.key2)
+    sums = [np.bincount(x[own], t[own], size).astype(np.int64) for x in (block.context3, block.pair3)]
+    if not sweep:
+        return pa.Table.from_pylist(_messages(PAIR_COUNTS, block.number, block.key2, bits, block.pair_contexts(), *sums), TYPE)
+    sole = [x[k.sole2] for x in sums]
+    rows = [_kept(block.number, TRIPLE_TABLES, [t]), _kept(block.number, SOLE_SUMS, sole, int((sole[1] == 1).sum()), int((sole[1] == 2).sum()))]
+    return pa.Table.from_pylist(rows + _messages(PAIR_SUMS, block.number, block.key2[~k.sole2], bits, *(x[~k.sole2] for x in sums)), TYPE)
+
+
+def _seat_pairs(left: pa.Table, right: pa.Table, d2: float, sweep: int, bits: int) -> pa.Table:
+    """Seat a block's pairs; what they say of words goes to the parts."""
+    block, k = Block(left), Known(right)
+    t = k.t2 if not sweep else py.reseat(k.c2, *pair_mass(block, k, k.t2, d2), d2, py.uniform(block.key2, sweep))
+    own, size = k.own2, len(block.words)
+    sums = [np.bincount(at[own], x[own], size).astype(np.int64) for at, x in ((block.context2, k.c2), (block.context2, t), (block.word2, t))]
+    rows = [_kept(block.number, PAIR_TABLES, [t])] if sweep else []
+    return pa.Table.from_pylist(rows + _messages(WORD_SUMS, block.number, block.hash, bits, *sums), TYPE)
+
+
+WORD_LISTS = "part int, hashes binary, n binary, words array<string>"
+TRAINING = "part int, h long, word string, n long"
+VOCABULARY = TRAINING + ", customers long, tables long, c long"
+
+
+def _send_training_words(batches, bits: int):
+    for b in batches:
+        for i in range(b.num_rows):
+            block = Block(b, i)
+            n = block.word_counts()
+            some = np.flatnonzero(n > 0)
+            h, n, words = block.hash[some], n[some], block.words.take(pa.array(some))
+            for part, x, y in _cuts(h, bits):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed_hashes(h[x:y])], pa.binary()), pa.array([_pack(n[x:y])], pa.binary()), _list(words.slice(x, y - x))], ["part", "hashes", "n", "words"])
+
+
+def _training_words(t: pa.Table) -> pa.Table:
+    """A part's words of the training texts, in order of their hashes, and how often they occur."""
+    size = [len(x) for x in t["words"].to_pylist()]
+    h = np.concatenate([_unpacked_hashes(x, m) for x, m in zip(t["hashes"].to_pylist(), size)])
+    n = np.concatenate([_unpack(x, m, "i8")[0] for x, m in zip(t["n"].to_pylist(), size)])
     order = np.argsort(h, kind="stable")
     start = np.flatnonzero(np.r_[True, np.diff(h[order]) > 0])
-    n, tables, c = (np.add.reduceat(x[order], start) for x in (n, tables, c))
-    some = n > 0
-    words = t["words"].combine_chunks().flatten().take(pa.array(order[start][some]))
-    return pa.table({"part": pa.array([t["part"][0].as_py()] * len(words), pa.int32()), "h": pa.array(h[order][start][some].view(np.int64)), "word": words, "n": pa.array(n[some]), "tables": pa.array(tables[some]), "c": pa.array(c[some])})
+    words = t["words"].combine_chunks().flatten().take(pa.array(order[start]))
+    return pa.table({"part": pa.array([t["part"][0].as_py()] * len(words), pa.int32()), "h": pa.array(h[order][start].view(np.int64)), "word": words, "n": pa.array(np.add.reduceat(n[order], start))})
+
+
+def _with_sums(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A part's training words with their customers and tables as a context, and their customers in the word restaurant."""
+    if not left.num_rows:
+        return pa.table({x: [] for x in ("part", "h", "word", "n", "customers", "tables", "c")}, pa.schema([("part", pa.int32()), ("h", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("customers", pa.int64()), ("tables", pa.int64()), ("c", pa.int64())]))
+    r = right.to_pylist()[0]
+    h, sums = _unpacked_hashes(r["hashes"], r["n"]), _unpack(r["data"], r["n"], "i8", "i8", "i8")
+    at = np.searchsorted(h, left["h"].to_numpy().view(np.uint64))
+    for name, x in zip(("customers", "tables", "c"), sums):
+        left = left.append_column(name, pa.array(x[at]))
+    return left
 
 
 def _send_words(batches, bits: int):
     for b in batches:
         for i in range(b.num_rows):
-            h, block = hashes(b["words"][i].values), b["block"][i].as_py()
-            for part, x, y in _cuts(h, bits):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block]), pa.array([y - x], pa.int32()), pa.array([_packed_hashes(h[x:y])], pa.binary()), pa.array([b""], pa.binary())], ["part", "block", "n", "hashes", "data"])
-
-
-def word_probability(c: np.ndarray, words: pa.Array, spelling, d: float, mass: float, customers: int, draws: int) -> np.ndarray:
-    """Of the word restaurant, averaged over seatings."""
-    base = np.exp(spelling.log(words))
-    rng, t = _seed(99, words), np.zeros(len(c))
-    for _ in range(draws):
-        t += py.seat(c, mass * base, d, rng) / draws
-    return (np.maximum(c - d * t, 0) + mass * base) / (py.STRENGTH + customers)
+            yield from pa.Table.from_pylist(_messages(WORDS, b["block"][i].as_py(), hashes(b["words"][i].values), bits), TYPE).to_batches()
 
 
-def _words_of(held, draws: int):
-    """Answers of a part to the blocks: tokens, tables as a context and probability of each of their words; 0 where it is not in the training texts."""
+def _words_of(held):
+    """Answers of a part to the blocks: tokens, customers and tables as a context and probability of each of their words; 0 where it is not in the training texts."""
 
     def words_of(left: pa.Table, right: pa.Table) -> pa.Table:
-        h, c = right["h"].to_numpy().view(np.uint64), right["c"].to_numpy()
+        spelling, d, tables, customers = held.value
+        h = right["h"].to_numpy().view(np.uint64)
         order = np.argsort(h)
-        h, c = h[order], c[order]
-        p = word_probability(c, right["word"].combine_chunks().take(pa.array(order)), *held.value, draws) if len(h) else np.zeros(0)
-        n, tables = right["n"].to_numpy()[order], right["tables"].to_numpy()[order]
+        h, known = h[order], [right[x].to_numpy()[order] for x in ("n", "customers", "tables")]
+        known.append((word_probability(right["c"].to_numpy()[order], right["word"].combine_chunks().take(pa.array(order)), h, spelling, d, tables, customers) if len(h) else np.zeros(0)).astype("<f4"))
         rows = []
         for r in left.to_pylist():
             own = _unpacked_hashes(r["hashes"], r["n"])
             at = np.minimum(np.searchsorted(h, own), max(len(h) - 1, 0))
-            known = h[at] == own if len(h) else np.zeros(len(own), bool)
-            of = lambda x: np.where(known, x[at], 0) if len(h) else np.zeros(len(own), x.dtype)  # noqa: E731, B023
-            rows.append(_answer(1, r["block"], r["part"], r["n"], _pack(of(n), of(tables), of(p))))
-        return pa.Table.from_pylist(rows, ANSWER_TYPE)
+            there = h[at] == own if len(h) else np.zeros(len(own), bool)
+            rows.append(_row(WORDS, r["block"], r["part"], r["n"], _pack(*(np.where(there, x[at], 0).astype(x.dtype) if len(h) else np.zeros(len(own), x.dtype) for x in known))))
+        return pa.Table.from_pylist(rows, TYPE)
 
     return words_of
 
 
-def _scored(left: pa.Table, right: pa.Table, held, d2: float, total: int, distinct: int) -> pa.Table:
-    spelling, d, mass, customers = held.value
-    words, h, _, pair, train, n = _block(left, 0)
-    both, _, _, order = _pairs(pair, train, h)
-    c, _, t, (tokens, tables, p) = _met(right, len(both), len(h))
-    lost, p = np.flatnonzero(tokens == 0), p.copy()
+def _scored(left: pa.Table, right: pa.Table, held, d3: float, d2: float, total: int, words: int) -> pa.Table:
+    spelling, d, tables, customers = held.value
+    block, k = Block(left), Known(right)
+    lost = np.flatnonzero(k.tokens == 0)
     if len(lost):
-        p[lost] = mass * np.exp(spelling.log(words.take(pa.array(lost)))) / (py.STRENGTH + customers)
-    u, w = (both >> np.uint64(32)).astype(np.int64)[order], (both & np.uint64(0xFFFFFFFF)).astype(np.int64)[order]
-    after = np.empty(len(both))
-    after[order] = (np.maximum(c - d2 * t, 0) + (py.STRENGTH + d2 * tables[u]) * p[w]) / (py.STRENGTH + tokens[u])
-    logp = np.log10(np.maximum(after, 1e-300))[np.searchsorted(both, pair)]
-    code = (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    at = np.r_[0, np.cumsum(n)[:-1]]
+        k.p1 = k.p1.astype(float)
+        k.p1[lost] = (py.STRENGTH + d * tables) * np.exp(spelling.log(block.words.take(pa.array(lost)))) / (py.STRENGTH + customers)
+    after, t2, t3 = np.zeros(len(block.key3)), k.t2, k.t3
+    for draw in range(DRAWS):
+        if draw:
+            t2 = py.reseat(k.c2, *pair_mass(block, k, k.t2, d2), d2, py.uniform(block.key2, 100 + draw))
+        p2 = pair_probability(block, k, t2, d2)
+        if draw:
+            t3 = triple_tables(block, k, p2, d3, 100 + draw)
+        after += (np.maximum(k.c3 - d3 * t3, 0) + (py.STRENGTH + d3 * k.tables2[block.context3]) * p2[block.pair3]) / (py.STRENGTH + k.n2[block.context3]) / DRAWS
+    at = np.r_[0, np.cumsum(block.n)[:-1]]
     add = lambda x: np.add.reduceat(x, at)
-    whole = add(logp)
-    base = np.log10((tokens + 1) / (total + distinct + 1))
-    return pa.table({"doc_id": left["doc_id"].combine_chunks().flatten(), "held_out": left["held_out"].combine_chunks().flatten(), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(add((tokens > 0).astype(np.int64)[code])), "train_tokens": pa.array(np.full(len(n), total, np.int64)), "base_score": pa.array(add(base[code])), "score": pa.array(whole), "perplexity": pa.array(10 ** np.minimum(-whole / n, 300))})
+    whole = add(np.log10(np.maximum(after, 1e-300))[block.triple])
+    base, code, n = np.log10((k.tokens + 1) / (total + words + 1)), block.word[block.real], block.n
+    return pa.table({"doc_id": left["doc_id"].combine_chunks().flatten(), "held_out": left["held_out"].combine_chunks().flatten(), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(add((k.tokens > 0).astype(np.int64)[code])), "train_tokens": pa.array(np.full(len(n), total, np.int64)), "base_score": pa.array(add(base[code])), "score": pa.array(whole), "perplexity": pa.array(10 ** np.minimum(-whole / n, 300))})
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
-    spark, held_paths = docs.sparkSession, {}
+    spark, paths = docs.sparkSession, {}
 
-    def put(df: DataFrame, label: str, schema=None) -> DataFrame:
-        """df in the shared folder; the table that had the label before goes."""
-        path = scratch(spark, label)
+    def put(df: DataFrame, *gone: DataFrame | None) -> DataFrame:
+        """df in the shared folder. The tables `gone` and shuffle files of plans that have ended go."""
+        path = scratch(spark, "lm")
         df.write.option("compression", "zstd").parquet(path)
-        if label in held_paths:
-            delete(spark, held_paths[label])
-        held_paths[label] = path
-        return spark.read.schema(df.schema).parquet(path)
-
-    def free() -> None:
-        """Shuffle files of plans that have ended go with the plans."""
+        drop(*gone)
+        got = spark.read.schema(df.schema).parquet(path)
+        paths[id(got)] = path, got
+        return got
+
+    def drop(*gone: DataFrame) -> None:
+        for df in gone:
+            if df is not None:
+                delete(spark, paths.pop(id(df))[0])
         gc.collect()
         spark.sparkContext._jvm.System.gc()
 
-    blocks = put(id_text(docs).mapInArrow(_blocks, BLOCKS), "blocks")
-    bits = int(np.clip(np.ceil(np.log2(max(1, blocks.select("block").count()))), 3, 12))
-    needed = blocks.select("block", "held_out", "n", "codes", "words", "counts")
-    pairs = put(needed.mapInArrow(lambda it: _send_pairs(it, bits), PART_ROWS).groupBy("part").applyInArrow(_count_pairs, ANSWERS), "pairs")
-    free()
-    sums = pairs.agg(F.coalesce(F.sum("ones"), F.lit(0)).alias("ones"), F.coalesce(F.sum("twos"), F.lit(0)).alias("twos")).first()
-    d2 = py.discount(sums.ones, sums.twos)
-    asked = blocks.select("block", "words").mapInArrow(lambda it: _send_words(it, bits), PART_ROWS)
-    met = pairs
-    for sweep in range(PAIR_SWEEPS):
-        seated = put(needed.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(lambda a, b: _seat_pairs(a, b, d2, bits), SEATED), "seated")
-        free()
-        vocabulary = put(seated.where("kind = 1").groupBy("part").applyInArrow(_vocabulary, "part int, h long, word string, n long, tables long, c long"), "vocabulary")
-        free()
-        total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos")).first()
-        spelling, d, mass = train(vocabulary.select("word", "c"), total.c, total.ones, total.twos)
-        held = spark.sparkContext.broadcast((spelling, d, mass, total.c))
-        draws = DRAWS if sweep == PAIR_SWEEPS - 1 else 1
-
-        answered = asked.groupBy("part").cogroup(vocabulary.groupBy("part")).applyInArrow(_words_of(held, draws), ANSWERS)
-        had = seated.where("kind = 2").select("kind", "block", "part", "n", "data", F.lit(0).cast("long").alias("ones"), F.lit(0).cast("long").alias("twos"))
-        met = put(had.unionByName(answered), "met")
-        free()
+    def first(df: DataFrame, *sums: str):
+        return df.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in sums], F.count("*").alias("rows")).first()
+
+    def discount_of(rows: DataFrame) -> float:
+        got = first(rows, "ones", "twos")
+        return py.discount(got.ones, got.twos)
+
+    read = put(id_text(docs).mapInArrow(_blocks, BLOCKS))
+    count = read.select("block").count()
+    bits = int(np.clip(np.ceil(np.log2(max(1, count))), 3, 16))
+    tasks = max(8, -(-count // 4))
+    blocks = bucketed(read, "block", tasks, scratch(spark, "lm"))
+    drop(read)
+    left = blocks.select("block", "held_out", "n", "codes", "words")
+
+    def with_known(known: list[DataFrame], fn, schema: str = ROWS, own: DataFrame = left) -> DataFrame:
+        known = functools.reduce(DataFrame.unionAll, known)
+        return own.groupBy("block").cogroup(known.repartition(tasks, "block").groupBy("block")).applyInArrow(fn, schema)
+
+    def at_parts(sent: DataFrame) -> DataFrame:
+        return sent.groupBy("part").applyInArrow(_at_part, ROWS)
+
+    def of(df: DataFrame | None, *kinds: int) -> list[DataFrame]:
+        return [] if df is None else [df.where(F.col("kind").isin(*kinds))]
+
+    training = put(left.mapInArrow(lambda it: _send_training_words(it, bits), WORD_LISTS).groupBy("part").applyInArrow(_training_words, TRAINING))
+    triples = put(at_parts(left.mapInArrow(lambda it: _send_triples(it, bits), ROWS)))
+    d3, d2 = discount_of(triples), 0.5
+    asked = blocks.select("block", "words").mapInArrow(lambda it: _send_words(it, bits), ROWS)
+    counted = pairs = words = answers = None
+    for sweep in range(SWEEPS):
+        known = [triples, *of(counted, PAIR_COUNTS), *(of(pairs, PAIR_SUMS, SOLE_SUMS, TRIPLE_TABLES)), *of(words, PAIR_TABLES), *of(answers, WORDS)]
+        pairs = put(at_parts(with_known(known, lambda a, b: _seat_triples(a, b, d3, d2, sweep, bits))), pairs if sweep > 1 else None)  # noqa: B023
+        counted = counted or pairs
+        d2 = discount_of(pairs)
+        known = [*of(counted, PAIR_COUNTS), *of(pairs, PAIR_SUMS, SOLE_SUMS), *of(words, PAIR_TABLES), *of(answers, WORDS)]
+        words = put(at_parts(with_known(known, lambda a, b: _seat_pairs(a, b, d2, sweep, bits))), words)  # noqa: B023
+        vocabulary = put(training.groupBy("part").cogroup(words.where(F.col("kind") == WORD_SUMS).groupBy("part")).applyInArrow(_with_sums, VOCABULARY), answers)
+        total = first(vocabulary.withColumns({"ones": (F.col("c") == 1).cast("long"), "twos": (F.col("c") == 2).cast("long")}), "n", "c", "ones", "twos")
+        held = spark.sparkContext.broadcast((*train(vocabulary.select("h", "word", "c"), total.ones, total.twos), total.c))
+        answers = put(asked.groupBy("part").cogroup(vocabulary.groupBy("part")).applyInArrow(_words_of(held), ROWS), vocabulary)
+        if sweep < SWEEPS - 1:
+            held.destroy()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    for label in ("pairs", "seated", "vocabulary"):
-        delete(spark, held_paths[label])
-    n, v = total.n, total.v
-    return blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(lambda a, b: _scored(a, b, held, d2, n, v), schema)
+    known = [triples, *of(counted, PAIR_COUNTS), *of(pairs, PAIR_SUMS, SOLE_SUMS, TRIPLE_TABLES), *of(words, PAIR_TABLES), answers]
+    n, v = total.n, total.rows
+    return with_known(known, lambda a, b: _scored(a, b, held, d3, d2, n, v), schema, blocks)

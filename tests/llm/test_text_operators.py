@@ -273,18 +273,138 @@ def test_lm_seats_a_pair_alike_in_all_blocks(spark, small, monkeypatch):
     assert all(whole[i].base_score == pytest.approx(parts[i].base_score) and whole[i].score == pytest.approx(parts[i].score, rel=0.01) for i in whole)
 
 
-def test_seats_by_key():
+def one_by_one(c, mass, more, d, rng, sweeps):
+    """Mean tables of one dish: every customer in turn leaves their table and sits down again."""
+    tables, kept = [c], []
+    for sweep in range(sweeps):
+        for _ in range(c):
+            at = int(rng.choice(len(tables), p=np.array(tables) / sum(tables)))
+            tables[at] -= 1
+            if not tables[at]:
+                del tables[at]
+            p = np.array([*(x - d for x in tables), mass + more * len(tables)])
+            at = int(rng.choice(len(p), p=p / p.sum()))
+            if at == len(tables):
+                tables.append(1)
+            else:
+                tables[at] += 1
+        if sweep >= sweeps // 5:
+            kept.append(len(tables))
+    return np.mean(kept)
+
+
+def test_seating_against_one_customer_at_a_time():
     from clausula.llm import pitman_yor
 
-    rng = np.random.default_rng(1)
-    c = np.repeat(np.array([1, 2, 20, 1000, 100_000]), 300)
-    keys = rng.integers(0, 1 << 63, len(c), dtype=np.uint64)
-    t = pitman_yor.seat_by_key(c, np.full(len(c), 3.0), 0.5, keys)
-    want = np.mean([pitman_yor.seat(c, np.full(len(c), 3.0), 0.5, rng) for _ in range(20)], 0)
-    assert (t[:300] == 1).all() and (t <= c).all()
-    assert np.allclose(t.reshape(5, -1).mean(1), want.reshape(5, -1).mean(1), rtol=0.1)
-    back = rng.permutation(len(c))
-    assert (pitman_yor.seat_by_key(c[back], np.full(len(c), 3.0), 0.5, keys[back]) == t[back]).all()
+    rng = np.random.default_rng(5)
+    for c, mass, more, d in ((2, 0.5, 0.01, 0.5), (7, 2.0, 0.1, 0.7), (30, 5.0, 0.0, 0.3), (60, 3.0, 0.05, 0.6)):
+        n = 4000
+        got = pitman_yor.reseat(np.full(n, c), np.full(n, mass), np.full(n, more), d, rng.random(n))
+        assert (got >= 1).all() and (got <= c).all()
+        assert got.mean() == pytest.approx(one_by_one(c, mass, more, d, rng, 1500), rel=0.05)
+
+
+def test_seating_of_many_against_the_recurrence():
+    from clausula.llm import pitman_yor
+
+    rng = np.random.default_rng(6)
+    for d in (0.3, 0.5, 0.8):
+        s = pitman_yor.log_stirling(d, 600)
+        for c in (257, 600):
+            for mass in (0.001, 0.3, 3.0, 100.0):
+                t, more = np.arange(1, c + 1), 0.02 * mass
+                w = s[c, 1 : c + 1] + np.cumsum(np.log(mass + more * np.arange(c)))
+                w = np.exp(w - w.max())
+                want = (w * t).sum() / w.sum()
+                got = pitman_yor.reseat(np.full(4000, c), np.full(4000, mass), np.full(4000, more), d, rng.random(4000))
+                assert got.mean() == pytest.approx(want, rel=0.06)
+
+
+def brute_force_model(train, held, sweeps, rng):
+    """Perplexity of held-out texts under restaurants of triples, pairs and words (even base), every customer seated one by one."""
+    vocabulary = {w for t in train for w in t}
+    base = 1 / len(vocabulary)
+    rooms = collections.defaultdict(lambda: collections.defaultdict(list))  # context -> dish -> tables
+    key = lambda h, k: tuple(h[len(h) - k :])
+    ds = {}
+
+    def total(u):
+        return sum(map(sum, rooms[u].values())), sum(map(len, rooms[u].values()))
+
+    def p(u, w):
+        if u is None:
+            return base
+        n, t = total(u)
+        own = rooms[u].get(w, [])
+        d = ds[len(u)]
+        return (sum(own) - d * len(own) + (1 + d * t) * p(u[1:] if u else None, w)) / (1 + n)
+
+    def sit(u, w):
+        own, d = rooms[u][w], ds[len(u)]
+        weights = np.array([*(x - d for x in own), (1 + d * total(u)[1]) * p(u[1:] if u else None, w)])
+        at = int(rng.choice(len(weights), p=weights / weights.sum()))
+        if at < len(own):
+            own[at] += 1
+        else:
+            own.append(1)
+            if u:
+                sit(u[1:], w)
+
+    def leave(u, w):
+        own = rooms[u][w]
+        at = int(rng.choice(len(own), p=np.array(own) / sum(own)))
+        own[at] -= 1
+        if not own[at]:
+            del own[at]
+            if u:
+                leave(u[1:], w)
+
+    def tokens(t):
+        h = ("", "")
+        for w in [*t, ""]:
+            yield h, w
+            h = (h[1], w)
+
+    vocabulary.add("")
+    base = 1 / len(vocabulary)
+    count = collections.Counter(x for t in train for x in tokens(t))
+    pairs = collections.Counter((h[1], w) for h, w in count)
+    words = collections.Counter(w for _, w in pairs)
+    from clausula.llm.pitman_yor import discount
+
+    for k, c in ((2, count), (1, pairs), (0, words)):
+        n = collections.Counter(c.values())
+        ds[k] = discount(n[1], n[2])
+    for t in train:
+        for h, w in tokens(t):
+            sit(h, w)
+    kept = []
+    for sweep in range(sweeps):
+        for t in train:
+            for h, w in tokens(t):
+                leave(h, w)
+                sit(h, w)
+        if sweep >= sweeps // 2:
+            kept.append([[p(h, w) for h, w in tokens(t)] for t in held])
+    return np.sum([np.log10(np.mean(x, 0)).sum() for x in zip(*kept)])
+
+
+def test_lm_against_one_customer_at_a_time(spark):
+    """Words of one spelling length over few letters, so that the spelling model is near the even base of the brute-force form."""
+    rng = np.random.default_rng(9)
+    names = [a + b for a in "abcde" for b in "fghij"]
+    chain = {w: rng.permutation(names)[:4] for w in names}
+    texts = []
+    for _ in range(40):
+        w = [names[int(rng.integers(25))]]
+        while len(w) < 20:
+            w.append(str(rng.choice(chain[w[-1]])) if rng.random() < 0.8 else names[int(rng.integers(25))])
+        texts.append(w)
+    got = lm.lm_scores(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    held = [t for i, t in enumerate(texts) if lm.is_held_out(i)]
+    want = brute_force_model([t for i, t in enumerate(texts) if not lm.is_held_out(i)], held, 8, rng)
+    score = sum(r.score for r in got if r.held_out)
+    assert len(held) > 2 and score == pytest.approx(want, rel=0.04)
 
 
 def test_sharding(spark, odd, empty, tmp_path):
