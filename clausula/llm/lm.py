@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import time
 import zlib
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from clausula.llm import pitman_yor as py
 from clausula.llm.shared import bucketed, delete, id_text, scratch
-from clausula.llm.texthash import _BASE, _BYTE, mix, powers
+from clausula.llm.texthash import _BASE, _BYTE, _LOWER, buffers, mix, pieces, powers, word_hashes, word_spans
 
 BLOCK_BYTES = 16_000_000
 #: Sweeps of triples and pairs (the first has one table a gram), of words and of letters in each of them, and seatings that scores are averaged over.
@@ -59,13 +60,26 @@ BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, n array<int>,
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return pa.compress(b"".join(a.tobytes() for a in arrays), codec="zstd", asbytes=True)
+    """Whole numbers (none below 0) in as few bytes as the largest needs; bytes of equal weight stand together, which packs small numbers best. First the widths."""
+    out, widths = [], []
+    for a in arrays:
+        if a.dtype.kind != "f":
+            top = int(a.max()) if len(a) else 0
+            a = a.astype(next(k for k in ("u1", "u2", "u4", "u8") if top <= np.iinfo(k).max))
+        widths.append(a.itemsize)
+        out.append(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T).tobytes() if a.itemsize > 1 else a.tobytes())
+    return bytes(widths) + pa.compress(b"".join(out), codec="zstd", asbytes=True)
 
 
 def _unpack(packed: bytes, n: int, *kinds: str) -> list[np.ndarray]:
-    raw = pa.decompress(packed, n * sum(np.dtype(k).itemsize for k in kinds), codec="zstd", asbytes=True)
-    ends = np.r_[0, np.cumsum([n * np.dtype(k).itemsize for k in kinds])]
-    return [np.frombuffer(raw[a:b], k) for a, b, k in zip(ends[:-1], ends[1:], kinds)]
+    widths = packed[: len(kinds)]
+    raw = np.frombuffer(pa.decompress(memoryview(packed)[len(kinds) :], n * sum(widths), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for k, w in zip(kinds, widths):
+        a = np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(k if k[0] == "f" else f"u{w}").ravel()
+        out.append(a.astype(k))
+        at += n * w
+    return out
 
 
 def _list(a: pa.Array) -> pa.Array:
@@ -73,32 +87,44 @@ def _list(a: pa.Array) -> pa.Array:
 
 
 def _blocks(batches):
-    part, k, of, ids, held, n, codes, size = TaskContext.get().partitionId(), 0, {END: 0}, [], [], [], [], 0
+    part, k, held_words, ids, held, n, codes, size = TaskContext.get().partitionId(), 0, [], [], [], [], [], 0
 
     def out():
-        words = pa.array([w.decode() if w else "" for w in of], pa.string())
-        order = np.argsort(hashes(words), kind="stable")  # the end's hash is 0, so its code stays 0
-        rank = np.empty(len(of), np.uint32)
-        rank[order] = np.arange(len(of), dtype=np.uint32)
-        code = rank[np.concatenate(codes)].view(np.uint8).reshape(-1, 4).T  # bytes of equal weight together pack better
-        return pa.RecordBatch.from_arrays([pa.array([(part << 24) + k]), _list(pa.array(ids, pa.int64())), _list(pa.array(held, pa.bool_())), _list(pa.array(n, pa.int32())), pa.array([_pack(np.ascontiguousarray(code))], pa.binary()), _list(words.take(pa.array(order)))], ["block", "doc_id", "held_out", "n", "codes", "words"])
+        key, place = distinct(np.concatenate([np.zeros(1, np.uint64), *(x for x, _ in held_words)]))  # the end's hash is 0, so its code is 0
+        at = np.empty(len(key), np.int64)
+        at[place] = np.arange(len(place))
+        at[0] = 0
+        words = pa.concat_arrays([pa.array([""]), *(x for _, x in held_words)]).take(pa.array(at))
+        ends = np.cumsum([1, *(len(x) for x, _ in held_words)])
+        code = np.concatenate([np.r_[np.int32(0), place[ends[i] : ends[i + 1]]][c] for i, c in enumerate(codes)])
+        return pa.RecordBatch.from_arrays([pa.array([(part << 24) + k]), _list(pa.array(ids, pa.int64())), _list(pa.array(held, pa.bool_())), _list(pa.array(n, pa.int32())), pa.array([_pack(code.astype("<u4"))], pa.binary()), _list(words)], ["block", "doc_id", "held_out", "n", "codes", "words"])
 
     for b in batches:
-        for i in range(0, b.num_rows, 500):
-            for doc, text in zip(b["doc_id"].slice(i, 500).to_pylist(), b["text"].slice(i, 500).cast(pa.binary()).to_pylist()):
-                words = (text or b"").lower().split()
-                words.append(END)
-                for w in set(words):
-                    of.setdefault(w, len(of))
-                code = np.fromiter(map(of.__getitem__, words), np.uint32, len(words))
-                ids.append(doc)
-                held.append(is_held_out(doc))
-                n.append(len(code))
-                codes.append(code)
-                size += len(text or b"")
-                if size >= BLOCK_BYTES:
-                    yield out()
-                    k, of, ids, held, n, codes, size = k + 1, {END: 0}, [], [], [], [], 0
+        for first, texts in pieces(b["text"]):
+            raw, at = buffers(texts)
+            s, e = word_spans(raw, at)
+            h, of = word_hashes(raw, at, (s, e))
+            key, place = distinct(h & BITS)
+            one = np.empty(len(key), np.int64)
+            one[place] = np.arange(len(place))
+            s, length = s[one], (e - s)[one]
+            offsets = np.r_[0, np.cumsum(length)]
+            letters = _LOWER[raw[np.repeat(s - offsets[:-1], length) + np.arange(offsets[-1])]]
+            held_words.append((key, pa.StringArray.from_buffers(len(key), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(letters.tobytes()))))
+            count = np.diff(of)
+            code = np.zeros(len(h) + len(count), np.int32)
+            inside = np.ones(len(code), bool)
+            inside[np.cumsum(count + 1) - 1] = False
+            code[inside] = place + 1
+            codes.append(code)
+            docs = b["doc_id"].slice(first, len(texts)).to_pylist()
+            ids += docs
+            held += [is_held_out(x) for x in docs]
+            n += (count + 1).tolist()
+            size += len(raw)
+            if size >= BLOCK_BYTES:
+                yield out()
+                k, held_words, ids, held, n, codes, size = k + 1, [], [], [], [], [], 0
     if ids:
         yield out()
 
@@ -255,9 +281,10 @@ def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order.sort()
     order = (order & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
     k = key[order]
-    if (k[1:] < k[:-1]).any():
-        order = np.argsort(key, kind="stable")
-        k = key[order]
+    for at in np.flatnonzero(k[1:] < k[:-1]):  # a few keys that are equal but for the low bits
+        x, y = np.searchsorted(k >> low, [k[at] >> low, (k[at] >> low) + np.uint64(1)])
+        order[x:y] = order[x:y][np.argsort(key[order[x:y]], kind="stable")]
+        k[x:y] = key[order[x:y]]
     new = np.r_[True, k[1:] != k[:-1]][: len(k)]
     place = np.empty(len(key), np.int32)
     place[order] = np.cumsum(new) - 1
@@ -272,28 +299,46 @@ class Block:
         self.words, self.n = b["words"][i].values, b["n"][i].values.to_numpy()
         held = b["held_out"][i].values.to_numpy(zero_copy_only=False)
         size = int(self.n.sum())
-        raw = np.frombuffer(pa.decompress(b["codes"][i].as_py(), 4 * size, codec="zstd", asbytes=True), np.uint8)
-        self.first = np.r_[0, np.cumsum(self.n + 1)[:-1]].astype(np.int64)
+        first = np.r_[0, np.cumsum(self.n + 1)[:-1]].astype(np.int64)
         self.real = np.ones(size + len(self.n), bool)
-        self.real[self.first] = False
+        self.real[first] = False
         self.word = np.zeros(len(self.real), np.int32)
-        self.word[self.real] = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+        self.word[self.real] = _unpack(b["codes"][i].as_py(), size, "u4")[0]
         self.train = np.repeat(~held, self.n + 1) & self.real
-        self.hash = hashes(self.words)
-        self.before = np.r_[0, self.word[:-1]].astype(np.int32)
-        own = self.hash[self.word]
+
+    @functools.cached_property
+    def hash(self) -> np.ndarray:
+        return hashes(self.words)
+
+    @functools.cached_property
+    def _pairs(self):
+        """Distinct pairs, the pair at each position, each pair's word and the one before, hashes of pairs by position."""
+        own, before = self.hash[self.word], np.r_[np.int32(0), self.word[:-1]]
         with np.errstate(over="ignore"):
             pair = mix(np.r_[np.uint64(0), own[:-1]] * np.uint64(_BASE) + own) & BITS
-            triple = (mix(np.r_[np.uint64(0), pair[:-1]] * np.uint64(_BASE) + own) & BITS)[self.real]
-        self.key2, self.pair = distinct(pair)
-        self.key3, self.triple = distinct(triple)
-        at = np.empty(len(self.key2), np.int64)
-        at[self.pair] = np.arange(len(self.pair))
-        self.word2, self.context2 = self.word[at], self.before[at]  # of a pair: its word, and the one before
-        place = np.flatnonzero(self.real)
-        at = np.empty(len(self.key3), np.int64)
-        at[self.triple] = place
-        self.pair3, self.context3 = self.pair[at], self.pair[at - 1]  # of a triple: its last pair, and its first
+        key, place = distinct(pair)
+        at = np.empty(len(key), np.int64)
+        at[place] = np.arange(len(place))
+        return key, place, self.word[at], before[at], pair
+
+    @functools.cached_property
+    def _triples(self):
+        """Distinct triples, the triple of each token, each triple's last pair and its first."""
+        with np.errstate(over="ignore"):
+            triple = mix(np.r_[np.uint64(0), self._pairs[4][:-1]] * np.uint64(_BASE) + self.hash[self.word]) & BITS
+        key, place = distinct(triple[self.real])
+        at = np.empty(len(key), np.int64)
+        at[place] = np.flatnonzero(self.real)
+        return key, place, self.pair[at], self.pair[at - 1]
+
+    key2 = property(lambda self: self._pairs[0])
+    pair = property(lambda self: self._pairs[1])
+    word2 = property(lambda self: self._pairs[2])
+    context2 = property(lambda self: self._pairs[3])
+    key3 = property(lambda self: self._triples[0])
+    triple = property(lambda self: self._triples[1])
+    pair3 = property(lambda self: self._triples[2])
+    context3 = property(lambda self: self._triples[3])
 
     def triple_counts(self) -> np.ndarray:
         return np.bincount(self.triple, self.train[self.real], len(self.key3)).astype(np.int64)
@@ -391,14 +436,21 @@ class Known:
                     if a is not None:
                         x[~self.sole2] = a
             self.tables2, self.c2 = sums
-            self.t2 = np.minimum(self.c2, 1) if self.t2 is None else self.t2
+            self.t2 = np.minimum(self.c2, 1) if self.t2 is None else np.clip(self.t2, np.minimum(self.c2, 1), self.c2)  # customers may have come and gone
         self.tokens, self.customers1, self.tables1, self.p1 = read(WORDS, "i8", "i8", "i8", "f4")
 
 
-def pair_mass(block: Block, k: Known, t: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mass of a new table and of each further one, by pair; t: the pairs' tables."""
-    p, others = k.p1[block.word2].astype(float), k.tables1[block.context2] - t
-    return (py.STRENGTH + d * others) * p, d * p
+def _some(t: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
+    t = t.copy()
+    t[at] = new
+    return t
+
+
+def pair_tables(block: Block, k: Known, d: float, draw: int) -> np.ndarray:
+    """Pairs of one customer or none have as many tables; the others are seated anew."""
+    at = np.flatnonzero(k.c2 > 1)
+    p, others = k.p1[block.word2[at]].astype(float), k.tables1[block.context2[at]] - k.t2[at]
+    return _some(k.t2, at, py.reseat(k.c2[at], (py.STRENGTH + d * others) * p, d * p, d, py.uniform(block.key2[at], draw)))
 
 
 def pair_probability(block: Block, k: Known, t: np.ndarray, d: float) -> np.ndarray:
@@ -407,8 +459,9 @@ def pair_probability(block: Block, k: Known, t: np.ndarray, d: float) -> np.ndar
 
 
 def triple_tables(block: Block, k: Known, p2: np.ndarray, d: float, draw: int) -> np.ndarray:
-    p, others = p2[block.pair3], np.maximum(k.tables2[block.context3] - k.t3, 0)
-    return py.reseat(k.c3, (py.STRENGTH + d * others) * p, d * p, d, py.uniform(block.key3, draw))
+    at = np.flatnonzero(k.c3 > 1)
+    p, others = p2[block.pair3[at]], k.tables2[block.context3[at]] - k.t3[at]
+    return _some(k.t3, at, py.reseat(k.c3[at], (py.STRENGTH + d * others) * p, d * p, d, py.uniform(block.key3[at], draw)))
 
 
 def _kept(block: int, kind: int, arrays: list[np.ndarray], ones: int = 0, twos: int = 0) -> dict:
@@ -432,7 +485,7 @@ def _seat_triples(left: pa.Table, right: pa.Table, d3: float, d2: float, sweep:
 def _seat_pairs(left: pa.Table, right: pa.Table, d2: float, sweep: int, bits: int) -> pa.Table:
     """Seat a block's pairs; what they say of words goes to the parts."""
     block, k = Block(left), Known(right)
-    t = k.t2 if not sweep else py.reseat(k.c2, *pair_mass(block, k, k.t2, d2), d2, py.uniform(block.key2, sweep))
+    t = pair_tables(block, k, d2, sweep) if sweep else k.t2
     own, size = k.own2, len(block.words)
     sums = [np.bincount(at[own], x[own], size).astype(np.int64) for at, x in ((block.context2, k.c2), (block.context2, t), (block.word2, t))]
     rows = [_kept(block.number, PAIR_TABLES, [t])] if sweep else []
@@ -514,7 +567,7 @@ def _scored(left: pa.Table, right: pa.Table, held, d3: float, d2: float, total:
     after, t2, t3 = np.zeros(len(block.key3)), k.t2, k.t3
     for draw in range(DRAWS):
         if draw:
-            t2 = py.reseat(k.c2, *pair_mass(block, k, k.t2, d2), d2, py.uniform(block.key2, 100 + draw))
+            t2 = pair_tables(block, k, d2, 100 + draw)
         p2 = pair_probability(block, k, t2, d2)
         if draw:
             t3 = triple_tables(block, k, p2, d3, 100 + draw)
@@ -545,6 +598,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                 delete(spark, paths.pop(id(df))[0])
         gc.collect()
         spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
     def first(df: DataFrame, *sums: str):
         return df.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in sums], F.count("*").alias("rows")).first()

@@ -51,9 +51,8 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]] if len(at) else raw[:0], (at - at[0]) if len(at) else np.zeros(1, np.int64)
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word with A-Z lowered, and for each text the place of its first word (one more at the end)."""
-    n = len(raw)
+def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word."""
     gap = _SPACE[raw]
     start = ~gap
     start[1:] &= gap[:-1]
@@ -63,7 +62,13 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     end[:-1] &= gap[1:]
     last = at[1:][(at[:-1] < at[1:])] - 1
     end[last] = ~gap[last]
-    s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray, spans: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word with A-Z lowered, and for each text the place of its first word (one more at the end)."""
+    n = len(raw)
+    s, e = word_spans(raw, at) if spans is None else spans
     up, down = powers(n + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
