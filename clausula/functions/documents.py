@@ -50,7 +50,7 @@ def _or_null(f):
     def g(*args):
         try:
             return None if args[0] is None else f(*args)
-        except (ValueError, KeyError, IndexError, TypeError):
+        except (ValueError, KeyError, IndexError, TypeError, OverflowError, RecursionError):
             return None
 
     return g
@@ -246,15 +246,16 @@ class _Spelled(str):
 
 
 def inexact(text: str) -> list[str]:
-    """`CODE pointer` of numbers of a JSON text that a double does not hold: whole ones past 2**53 - 1, others that are not the shortest spelling's value."""
+    """`CODE pointer` of numbers of a JSON text that a double does not hold: whole ones past 2**53 in any spelling, others that are not the shortest spelling's value."""
     out = []
 
     def walk(value, pointer):
         if isinstance(value, _Spelled):
-            whole = re.fullmatch(r"-?\d+", value) is not None
-            if whole and abs(int(value)) > 9007199254740991:
+            exact = Decimal(value)
+            whole = exact.as_tuple().exponent >= 0 or exact == exact.to_integral_value()
+            if whole and abs(exact) > 9007199254740992:
                 out.append(f"INEXACT_INTEGER {pointer}")
-            elif not whole and (math.isinf(float(value)) or Decimal(value) != Decimal(repr(float(value)))):
+            elif not whole and exact != Decimal(repr(float(value))):
                 out.append(f"INEXACT_NUMBER {pointer}")
         elif isinstance(value, dict):
             for k, v in value.items():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Text forms of the contract language.
 SEMVER = r"^(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(?:-((?:0|[1-9]\d*|\d*[A-Za-z-][0-9A-Za-z-]*)(?:\.(?:0|[1-9]\d*|\d*[A-Za-z-][0-9A-Za-z-]*))*))?(?:\+[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*)?$"
-UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+UUID = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
 DATE = r"^\d{4}-\d{2}-\d{2}$"
 DATE_TIME = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 DURATION = r"^P(?!$)(\d+Y)?(\d+M)?(\d+W)?(\d+D)?(T(?=\d)(\d+H)?(\d+M)?(\d+(\.\d{1,9})?S)?)?$"
@@ -89,27 +89,37 @@ def is_semver(c) -> Column:
     return col(c).rlike(SEMVER)
 
 
-def parse_version(c) -> Column:
-    """Struct major, minor, patch, pre (array of identifiers); null if no version."""
+def _version_parts(c) -> Column:
+    """Struct major, minor, patch (digits as text, of any length), pre (array of identifiers); null if no version."""
     s = col(c)
     part = lambda i: F.regexp_extract(s, SEMVER, i)
     pre = F.when(part(4) == "", F.array().cast("array<string>")).otherwise(F.split(part(4), r"\."))
-    return F.when(is_semver(s), F.struct(part(1).cast("long").alias("major"), part(2).cast("long").alias("minor"), part(3).cast("long").alias("patch"), pre.alias("pre")))
+    return F.when(is_semver(s), F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"), pre.alias("pre")))
+
+
+def parse_version(c) -> Column:
+    """Struct major, minor, patch, pre (array of identifiers); null if no version. A part past 64 bits is null; version_key orders these too."""
+    v = _version_parts(c)
+    return F.when(v.isNotNull(), F.struct(*[v[k].try_cast("long").alias(k) for k in ("major", "minor", "patch")], v["pre"].alias("pre")))
+
+
+def _digits_key(c) -> Column:
+    """Orders spellings of whole numbers without leading zeros, of any length."""
+    return F.struct(F.char_length(c).alias("length"), c.alias("digits"))
 
 
 def version_key(c) -> Column:
     """A struct that sorts by precedence: a release after its prereleases, numbers before words, fewer identifiers first."""
-    v = parse_version(c)
-    each = F.transform(v["pre"], lambda p: F.struct((~p.rlike(r"^\d+$")).alias("word"), F.when(p.rlike(r"^\d+$"), p.cast("long")).otherwise(F.lit(0)).alias("number"), p.alias("text")))
-    return F.struct(v["major"].alias("major"), v["minor"].alias("minor"), v["patch"].alias("patch"), (F.size(v["pre"]) == 0).alias("release"), each.alias("pre"))
+    v = _version_parts(c)
+    each = F.transform(v["pre"], lambda p: F.struct((~p.rlike(r"^\d+$")).alias("word"), F.when(p.rlike(r"^\d+$"), F.char_length(p)).otherwise(F.lit(0)).alias("length"), p.alias("text")))
+    return F.struct(_digits_key(v["major"]).alias("major"), _digits_key(v["minor"]).alias("minor"), _digits_key(v["patch"]).alias("patch"), (F.size(v["pre"]) == 0).alias("release"), each.alias("pre"))
 
 
 def satisfies(version, constraint) -> Column:
     """Exact, or caret: same leftmost number that is not 0, and no lower precedence; prereleases only of the named version."""
-    v, caret = parse_version(version), F.startswith(col(constraint), F.lit("^"))
-    b = parse_version(F.when(caret, F.substring(col(constraint), 2, 1000)).otherwise(col(constraint)))
-    base = F.regexp_replace(col(constraint), r"^\^", "")
-    band = F.when(b["major"] > 0, v["major"] == b["major"]).when(b["minor"] > 0, (v["major"] == 0) & (v["minor"] == b["minor"])).otherwise((v["major"] == 0) & (v["minor"] == 0) & (v["patch"] == b["patch"]))
+    caret, base = F.startswith(col(constraint), F.lit("^")), F.regexp_replace(col(constraint), r"^\^", "")
+    v, b = _version_parts(version), _version_parts(base)
+    band = F.when(b["major"] != "0", v["major"] == b["major"]).when(b["minor"] != "0", (v["major"] == "0") & (v["minor"] == b["minor"])).otherwise((v["major"] == "0") & (v["minor"] == "0") & (v["patch"] == b["patch"]))
     at_least = version_key(version) >= version_key(base)
     same = (v["major"] == b["major"]) & (v["minor"] == b["minor"]) & (v["patch"] == b["patch"])
     pre_ok = (F.size(v["pre"]) == 0) | (same & (F.size(b["pre"]) > 0))
@@ -184,12 +194,16 @@ def number_parts(c) -> Column:
 
 
 def exact_number_kind(c) -> Column:
-    """INEXACT_INTEGER past 2**53 - 1 in a whole spelling, INEXACT_NUMBER past 17 digits or a double's exponents, else null."""
+    """INEXACT_INTEGER of whole values past 2**53 in any spelling, INEXACT_NUMBER of others that a double's shortest spelling does not give back, else null."""
     p = number_parts(c)
-    whole = col(c).rlike(r"^-?\d+$")
-    magnitude = F.char_length(p["digits"]) + p["exponent"]
-    wide = (magnitude > 16) | ((magnitude == 16) & (F.abs(F.when(whole & (F.char_length(col(c)) <= 18), col(c).cast("long"))) > 9007199254740991))
-    return F.when(whole & wide, "INEXACT_INTEGER").when(~whole & ((F.char_length(p["digits"]) > 17) | (magnitude > 309) | (magnitude < -323)), "INEXACT_NUMBER")
+    size, magnitude = F.char_length(p["digits"]), F.char_length(p["digits"]) + p["exponent"]
+    whole = p["exponent"] >= 0
+    wide = (magnitude > 16) | ((magnitude == 16) & (F.rpad(p["digits"], 16, "0") > "9007199254740992"))
+    read = col(c).try_cast("double")
+    back = number_parts(read.cast("string"))
+    kept = (size <= 15) & (magnitude > -300)
+    kept = kept | F.coalesce((size <= 17) & (back["digits"] == p["digits"]) & (back["exponent"] == p["exponent"]), F.lit(False))
+    return F.when((size > 0) & whole & wide, "INEXACT_INTEGER").when((size > 0) & ~kept, "INEXACT_NUMBER")
 
 
 def gcd(a, b) -> Column:

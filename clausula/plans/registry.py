@@ -309,25 +309,25 @@ def diagnostic_limit(spark, sf):
     return verdict.limited(_findings(spark, sf).select("pointer", "code", "message"), 1000)
 
 
-@query("""
-WITH f AS (SELECT 'o' AS doc_id, '/o/' || o_orderkey AS pointer FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'o', '/o/' || l_orderkey || '/l/' || l_linenumber FROM lineitem WHERE l_linenumber < 3)
-SELECT DISTINCT pointer FROM f WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_linenumber < 3 AND f.pointer = '/o/' || l_orderkey)""")
-def deepest_findings(spark, sf):
-    o = load(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.format_string("/o/%d", "o_orderkey").alias("pointer"))
-    l = load(spark, sf, "lineitem").where("l_linenumber < 3").select(F.format_string("/o/%d/l/%d", "l_orderkey", "l_linenumber").alias("pointer"))  # noqa: E741
-    f = o.unionByName(l).select(F.lit("o").alias("doc_id"), "pointer", F.lit("C").alias("code"), F.lit("").alias("message"))
-    return verdict.deepest(f).select("pointer")
+_DEEPEST = """
+WITH f AS (SELECT '/o/' || o_orderkey AS pointer FROM orders UNION ALL SELECT '/o/' || l_orderkey || '/l/' || l_linenumber FROM lineitem)
+SELECT DISTINCT pointer FROM f WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE f.pointer = '/o/' || l_orderkey)"""
 
 
-@query()
-def deepest_findings_whole(spark, sf):
-    """As deepest_findings, of all line numbers."""
+@query(_DEEPEST)
+def deepest_findings(spark, sf):
+    """Findings at orders and at their lines: an order's gives way to its lines'."""
     o = load(spark, sf, "orders").select(F.format_string("/o/%d", "o_orderkey").alias("pointer"))
     l = load(spark, sf, "lineitem").select(F.format_string("/o/%d/l/%d", "l_orderkey", "l_linenumber").alias("pointer"))  # noqa: E741
     f = o.unionByName(l).select(F.lit("o").alias("doc_id"), "pointer", F.lit("C").alias("code"), F.lit("").alias("message"))
     return verdict.deepest(f).select("pointer")
 
 
+@query(_DEEPEST)
+def deepest_findings_whole(spark, sf):
+    return deepest_findings(spark, sf)
+
+
 @query("""
 SELECT '/o/' || l_orderkey || '/l/' || l_linenumber AS pointer, CASE WHEN l_orderkey % 3 = 0 THEN 'order-' || l_orderkey ELSE 'root' END AS owner, count(*) AS n FROM lineitem GROUP BY ALL""")
 def nearest_ancestor_owner(spark, sf):
@@ -369,40 +369,51 @@ def ancestors(spark, sf):
     return closure.ancestors(s)
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * 3) % 1000 AS dst FROM part WHERE p_partkey < 1000),
-w(start, place, low, hops) AS (SELECT src, dst, least(src, dst), 1 FROM e UNION ALL SELECT w.start, e.dst, least(w.low, e.dst), w.hops + 1 FROM w JOIN e ON e.src = w.place WHERE w.place <> w.start AND w.hops < 1001)
-SELECT start AS node, low AS component FROM w WHERE place = start""")
-def strong_components(spark, sf):
-    e = load(spark, sf, "part").where("p_partkey < 1000").select(F.col("p_partkey").alias("src"), F.expr("p_partkey * 3 % 1000").alias("dst"))
-    return closure.strong_components(e)
+_COMPONENTS = """
+WITH RECURSIVE n AS (SELECT max(p_partkey) + 1 AS n FROM part), e AS (SELECT DISTINCT p_partkey AS src, (p_partkey * 3) % n AS dst FROM part, n),
+w(start, place, low, hops) AS (SELECT src, dst, least(src, dst), 1 FROM e UNION ALL SELECT w.start, e.dst, least(w.low, e.dst), w.hops + 1 FROM w JOIN e ON e.src = w.place WHERE w.place <> w.start AND w.hops < (SELECT n FROM n))
+SELECT start AS node, low AS component FROM w WHERE place = start"""
 
 
-@query("""
-SELECT s_suppkey AS unit, CASE WHEN s_suppkey % 10 = 7 THEN NULL ELSE s_suppkey % 10 END AS root, CASE WHEN s_suppkey % 10 = 7 THEN NULL WHEN s_suppkey < 10 THEN 1.0 ELSE 2.0 ^ (length(CAST(s_suppkey AS VARCHAR)) - 1) END AS scale, CASE WHEN s_suppkey % 10 = 7 THEN 'unresolved' ELSE 'ok' END AS status
-FROM supplier WHERE s_suppkey >= 1 AND s_suppkey % 10 <> 0 AND s_suppkey < 100""")
-def unit_roots(spark, sf):
-    s = load(spark, sf, "supplier").where("s_suppkey >= 1 AND s_suppkey % 10 <> 0 AND s_suppkey < 100")
-    u = s.select(F.col("s_suppkey").alias("unit"), F.expr("CASE WHEN s_suppkey % 10 = 7 THEN -1 WHEN s_suppkey >= 10 THEN s_suppkey % 10 END").alias("target"), F.lit(2.0).alias("scale"), F.lit(0.0).alias("offset"))
-    return units.to_root(u).select("unit", "root", "scale", "status")
+def _thrice(spark, sf):
+    """Edges from all parts: p_partkey to three times it modulo the largest key and 1."""
+    p = load(spark, sf, "part").select("p_partkey")
+    n = p.agg(F.max("p_partkey")).first()[0] or 0
+    return p.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") * 3 % (n + 1)).alias("dst"))
 
 
-@query()
+@query(_COMPONENTS)
+def strong_components(spark, sf):
+    return closure.strong_components(_thrice(spark, sf))
+
+
+@query(_COMPONENTS)
 def strong_components_whole(spark, sf):
-    """As strong_components, of edges from all parts: p_partkey to three times it modulo the largest key and 1."""
-    p = load(spark, sf, "part").select("p_partkey")
-    n = p.agg(F.max("p_partkey")).first()[0] or 0
-    return closure.strong_components(p.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") * 3 % (n + 1)).alias("dst")))
+    """As strong_components, by colouring alone, as for graphs of any size."""
+    return closure.strong_components(_thrice(spark, sf), small=0)
 
 
-@query()
-def unit_roots_whole(spark, sf):
+_ROOTS = """
+WITH RECURSIVE s AS (SELECT DISTINCT s_suppkey AS k FROM supplier), w(unit, place, hops) AS (
+  SELECT k, k, 0 FROM s UNION ALL
+  SELECT w.unit, CASE WHEN s.k IS NULL THEN 7 ELSE s.k END, w.hops + 1 FROM w LEFT JOIN s ON s.k = w.place // 10 WHERE w.place % 10 <> 7 AND w.place >= 10),
+l AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY unit ORDER BY hops DESC) = 1)
+SELECT unit, CASE WHEN place % 10 <> 7 THEN place END AS root, CASE WHEN place % 10 <> 7 THEN 2.0 ^ hops END AS scale, CASE WHEN place % 10 = 7 THEN 'unresolved' ELSE 'ok' END AS status FROM l"""
+
+
+@query(_ROOTS)
+def unit_roots(spark, sf):
     """Of all suppliers: a unit leads to that without its last digit, and nowhere where that digit is 7."""
     s = load(spark, sf, "supplier")
     u = s.select(F.col("s_suppkey").alias("unit"), F.expr("CASE WHEN s_suppkey % 10 = 7 THEN -1 WHEN s_suppkey >= 10 THEN s_suppkey div 10 END").alias("target"), F.lit(2.0).alias("scale"), F.lit(0.0).alias("offset"))
     return units.to_root(u).select("unit", "root", "scale", "status")
 
 
+@query(_ROOTS)
+def unit_roots_whole(spark, sf):
+    return unit_roots(spark, sf)
+
+
 # Change of contracts: the second version is derived by a rule
 
 

@@ -27,6 +27,10 @@ def test_versions(spark):
     cases = [("1.2.3", "^1.2.1", True), ("2.0.0", "^1.2.1", False), ("1.2.0", "^1.2.1", False), ("0.2.9", "^0.2.3", True), ("0.3.0", "^0.2.3", False), ("0.0.3", "^0.0.3", True), ("0.0.4", "^0.0.3", False), ("1.3.0-rc.1", "^1.2.1", False), ("1.2.1-rc.2", "^1.2.1-rc.1", True), ("1.2.1", "1.2.1", True), ("1.2.2", "1.2.1", False), ("x", "^1.0.0", False)]
     got = spark.createDataFrame([c[:2] for c in cases], "v string, r string").select(S.satisfies("v", "r")).collect()
     assert [r[0] for r in got] == [c[2] for c in cases]
+    wide = "99999999999999999999999"
+    df = spark.createDataFrame([(f"{wide}.0.0",), ("2.0.0",), (f"1{wide}.0.0",), (f"2.0.0-{wide}",)], "x string")
+    assert [r.x for r in df.orderBy(S.version_key("x")).collect()] == [f"2.0.0-{wide}", "2.0.0", f"{wide}.0.0", f"1{wide}.0.0"]
+    assert values(spark, [f"{wide}.1.2"], S.parse_version("x")["major"]) == [None] and values(spark, [f"{wide}.1.2"], S.satisfies("x", F.lit(f"^{wide}.0.0"))) == [True]
 
 
 def test_numbers(spark):
@@ -40,11 +44,17 @@ def test_numbers(spark):
     assert values(spark, ["6/4", "5/1", "-3/9", "0/7", "1/0", "x"], S.canonical_rational("x")) == ["3/2", "5", "-1/3", "0", None, None]
     assert values(spark, ["100", "1.0E2", "0.010", "-0", "1e-2"], F.to_json(S.number_parts("x"))) == ['{"sign":1,"digits":"1","exponent":2}', '{"sign":1,"digits":"1","exponent":2}', '{"sign":1,"digits":"1","exponent":-2}', '{"sign":0,"digits":"","exponent":0}', '{"sign":1,"digits":"1","exponent":-2}']
     assert values(spark, ["9007199254740991", "9007199254740993", "0.1", "0.123456789012345678"], S.exact_number_kind("x")) == [None, "INEXACT_INTEGER", None, "INEXACT_NUMBER"]
+    spelled = {"9007199254740992": None, "-9007199254740992": None, "9007199254740993": "INEXACT_INTEGER", "12345678901234567890.0": "INEXACT_INTEGER", "1e400": "INEXACT_INTEGER", "1e-400": "INEXACT_NUMBER", "0.30000000000000004": None, "0.30000000000000001": "INEXACT_NUMBER", "1e15": None, "0": None, "-0.0": None, "0.1": None}
+    assert values(spark, list(spelled), S.exact_number_kind("x")) == list(spelled.values())
+    got = values(spark, [f"[{x}]" for x in spelled], D.inexact_numbers("x"))
+    assert got == [[f"{k} /0"] if k else [] for k in spelled.values()]
+    assert values(spark, ["1" * 400, "[" * 100_000 + "]" * 100_000, "[1.50]"], D.canonical_json("x")) == [None, None, "[1.5]"]
 
 
 def test_formats_and_times(spark):
     assert values(spark, ["2024-02-29", "2023-02-29", "2024-2-9"], S.matches_format("x", "date")) == [True, False, False]
     assert values(spark, ["2024-01-01T00:00:00Z", "2024-01-01T25:00:00Z", "2024-01-01 00:00:00"], S.matches_format("x", "date-time")) == [True, False, False]
+    assert values(spark, ["123E4567-e89b-12d3-a456-426614174000", "123e4567e89b12d3a456426614174000"], S.matches_format("x", "uuid")) == [True, False]
     assert values(spark, ["P1D", "PT1.5S", "P", "PT", "P1Y2M"], S.matches_format("x", "duration")) == [True, True, False, False, True]
     assert [int(v) for v in values(spark, ["1970-01-01T00:00:01.123456789Z", "1970-01-01T01:00:00+01:00"], S.date_time_instant("x"))] == [1123456789, 0]
     assert [int(v) for v in values(spark, ["1970-01-02"], S.date_instant("x"))] == [86400 * 10**9]
