@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausula.llm import bloom
-from clausula.llm.shared import written
+from clausula.llm.shared import apart, written
 
 _P = "_dedup_"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -53,9 +53,9 @@ def resolve(rows: DataFrame, of: DataFrame | None = None) -> DataFrame:
     alone = tested.where(~F.col(f"{_P}maybe")).drop(f"{_P}maybe").withColumns({f"{_P}keep": ident, f"{_P}size": F.lit(1).cast("long"), f"{_P}kept": F.lit(True)})
     maybe = tested.where(F.col(f"{_P}maybe")).drop(f"{_P}maybe")
     small = of.where(bloom.may_contain(of, sha, packed))
-    first = F.struct(chars.alias("chars"), ident.isNotNull().alias("known"), F.coalesce(-ident, F.lit(0)).alias("back"))
+    first = F.struct(chars.alias("chars"), ident.isNotNull().alias("known"), F.coalesce(F.bitwise_not(ident), F.lit(0)).alias("back"))
     best = small.groupBy(f"{_P}sha").agg(F.max(first).alias("best"), F.count("*").alias(f"{_P}size")).select(
-        f"{_P}sha", F.when(F.col("best.known"), -F.col("best.back")).alias(f"{_P}keep"), f"{_P}size")
+        f"{_P}sha", F.when(F.col("best.known"), F.bitwise_not("best.back")).alias(f"{_P}keep"), f"{_P}size")
     nth = F.row_number().over(Window.partitionBy(f"{_P}sha", f"{_P}id").orderBy(chars.desc()))
     shuffled = maybe.withColumn(f"{_P}nth", nth).join(best, f"{_P}sha")
     kept = (F.col(f"{_P}nth") == 1) & ident.eqNullSafe(F.col(f"{_P}keep"))
@@ -71,4 +71,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; only possibly repeated texts shuffle."""
-    return resolve(keyed(docs, id_col, text_col), digests(docs, id_col, text_col)).where(f"{_P}kept").select(*[f"`{c}`" for c in docs.columns])
+    docs, as_they_were = apart(docs, _P)
+    return as_they_were(resolve(keyed(docs, id_col, text_col), digests(docs, id_col, text_col)).where(f"{_P}kept"))

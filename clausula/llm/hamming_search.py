@@ -13,7 +13,7 @@ before the shuffle; a common vector costs no more than others. Each block is hel
 queries stream past it; a block gives k + 1 rows a query, and these are ranked over the blocks.
 
 Defined results: neighbours of a query are other ids, nearest first, then smallest id; fewer than k
-if there are fewer. A null id or null vector is left out; null elements are not positive; missing
+if there are fewer. A null id or null vector is left out; neither null elements nor NaN are positive; missing
 dimensions are zero bits; a vector of more than 64 is an error. Rows that repeat an id: the one with
 the smallest code. Other columns are not looked at. An empty table gives an empty table.
 """

@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausula.llm.shared import apart
+
 SAMPLES = 4000
 MIN_RATIO, MIN_MEAN = 12.0, 0.35
 LEAST, CORE = 20, 12
@@ -191,6 +193,7 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs, in whose texts each span (overlapping ones as one) is replaced by the mark. All rows and columns stay; n_chars, if there, follows the text."""
+    docs, as_they_were = apart(docs, "_secret_")
     s = scan(docs)
     text = F.col("text").cast("string")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
@@ -204,4 +207,4 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     new = {"text": F.when(changed, done).otherwise(text)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(changed, F.char_length(done)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return s.withColumns(new).select(*[f"`{c}`" for c in docs.columns])
+    return as_they_were(s.withColumns(new))

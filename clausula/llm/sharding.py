@@ -182,7 +182,10 @@ class Store:
 def sharded(docs: DataFrame, root: str, arrivals: int = 8, target: int = TARGET) -> Store:
     """A store to which docs came in so many arrivals, compacted after the last."""
     store = Store(docs.sparkSession, root)
-    store.append(docs.withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))), "_arrival")
+    by = "arrival"
+    while by in {c.lower() for c in docs.columns}:
+        by += "_"
+    store.append(docs.withColumn(by, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))), by)
     store.compact(target)
     store.vacuum()
     return store

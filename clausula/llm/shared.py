@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,20 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def apart(docs: DataFrame, prefix: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns of an operator's own prefix (in any case) under other names, and a function that selects the columns of docs again."""
+    names, taken = [], {c.lower() for c in docs.columns}
+    for i, c in enumerate(docs.columns):
+        new = c
+        if c.lower().startswith(prefix):
+            new = f"kept_{i}"
+            while new in taken:
+                new += "_"
+            taken.add(new)
+        names.append(new)
+    return docs.toDF(*names), lambda df: df.select(*[F.col(f"`{new}`").alias(c) for c, new in zip(docs.columns, names)])
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator needs, under fixed names; a null text becomes empty."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))

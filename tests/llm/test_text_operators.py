@@ -46,6 +46,23 @@ def test_exact_dedup_odd(spark, odd, empty):
     assert exact_dedup.without_copies(empty).count() == 0
 
 
+def test_columns_of_the_operators_own_names_come_back(spark, tmp_path):
+    """Columns named as an operator's own, in any case, and the least doc_id there is."""
+    least = -(2**63)
+    names = ["_dedup_id", "_DEDUP_sha", "_dedup_chars", "_dedup_kept", "_secret_base", "_secret_all", "_arrival", "arrival", "cell", "_near_id"]
+    rows = [(least, "same text", *(f"{n} 1" for n in names)), (2, "same  text", *(f"{n} 2" for n in names)), (3, "token = abcdefgh12", *(f"{n} 3" for n in names)), (4, None, *(None for _ in names))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    known = {r.doc_id: tuple(r)[2:] for r in df.collect()}
+    got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_dedup(df).collect()}
+    assert got == {least: (2, False), 2: (2, True), 3: (3, True), 4: (4, True)}
+    assert [r.keep_id for r in exact_dedup.exact_dedup(spark.createDataFrame([(least, "a"), (0, "a")], "doc_id long, text string")).collect()] == [least, least]
+    for kept, n in ((exact_dedup.without_copies(df), 3), (secrets.redacted(df), 4), (near_dedup.without_near_copies(df), 3)):
+        rows = kept.collect()
+        assert kept.columns == df.columns and len(rows) == n and all(tuple(r)[2:] == known[r.doc_id] for r in rows)
+    store = sharding.sharded(df, f"file://{tmp_path}/s")
+    assert store.read().columns == df.columns and {r.doc_id: tuple(r)[2:] for r in store.read().collect()} == known
+
+
 def shingles(text, k=2):
     w = text.encode().lower().split()
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
