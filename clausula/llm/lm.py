@@ -44,7 +44,7 @@ from clausula.llm import pitman_yor as py
 from clausula.llm.shared import bucketed, delete, id_text, scratch
 from clausula.llm.texthash import _BASE, _BYTE, _LOWER, buffers, mix, pieces, powers, word_hashes, word_spans
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 11_000_000
 #: Sweeps of triples and pairs (the first has one table a gram), of words and of letters in each of them, and seatings that scores are averaged over.
 SWEEPS, WORD_SWEEPS, LETTER_SWEEPS, DRAWS = 2, 3, 4, 3
 END = b""
@@ -100,7 +100,7 @@ def _blocks(batches):
         return pa.RecordBatch.from_arrays([pa.array([(part << 24) + k]), _list(pa.array(ids, pa.int64())), _list(pa.array(held, pa.bool_())), _list(pa.array(n, pa.int32())), pa.array([_pack(code.astype("<u4"))], pa.binary()), _list(words)], ["block", "doc_id", "held_out", "n", "codes", "words"])
 
     for b in batches:
-        for first, texts in pieces(b["text"]):
+        for first, texts in pieces(b["text"], BLOCK_BYTES // 6):
             raw, at = buffers(texts)
             s, e = word_spans(raw, at)
             h, of = word_hashes(raw, at, (s, e))
