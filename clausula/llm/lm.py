@@ -45,8 +45,8 @@ from clausula.llm.shared import bucketed, delete, id_text, scratch
 from clausula.llm.texthash import _BASE, _BYTE, _LOWER, buffers, mix, pieces, powers, word_hashes, word_spans
 
 BLOCK_BYTES = 11_000_000
-#: Sweeps of triples and pairs (the first has one table a gram), of words and of letters in each of them, and seatings that scores are averaged over.
-SWEEPS, WORD_SWEEPS, LETTER_SWEEPS, DRAWS = 2, 3, 4, 3
+#: Sweeps of triples and pairs (the first has one table a gram), of words and of letters in each of them, and seatings that probabilities are averaged over.
+SWEEPS, WORD_SWEEPS, LETTER_SWEEPS, DRAWS, GRAM_DRAWS = 2, 2, 4, 3, 2
 END = b""
 #: Hashes have 56 bits, at the top.
 BITS = np.uint64(0xFFFFFFFFFFFFFF00)
@@ -564,14 +564,11 @@ def _scored(left: pa.Table, right: pa.Table, held, d3: float, d2: float, total:
     if len(lost):
         k.p1 = k.p1.astype(float)
         k.p1[lost] = (py.STRENGTH + d * tables) * np.exp(spelling.log(block.words.take(pa.array(lost)))) / (py.STRENGTH + customers)
-    after, t2, t3 = np.zeros(len(block.key3)), k.t2, k.t3
-    for draw in range(DRAWS):
-        if draw:
-            t2 = pair_tables(block, k, d2, 100 + draw)
-        p2 = pair_probability(block, k, t2, d2)
-        if draw:
-            t3 = triple_tables(block, k, p2, d3, 100 + draw)
-        after += (np.maximum(k.c3 - d3 * t3, 0) + (py.STRENGTH + d3 * k.tables2[block.context3]) * p2[block.pair3]) / (py.STRENGTH + k.n2[block.context3]) / DRAWS
+    # Probabilities are linear in the numbers of tables, so these are averaged: the last sweep's, and those of more seatings.
+    t3 = np.mean([k.t3, *(triple_tables(block, k, pair_probability(block, k, k.t2, d2), d3, 100 + draw) for draw in range(1, GRAM_DRAWS))], 0)
+    t2 = np.mean([k.t2, *(pair_tables(block, k, d2, 100 + draw) for draw in range(1, GRAM_DRAWS))], 0)
+    up = ((py.STRENGTH + d3 * k.tables2) / (py.STRENGTH + k.n2))[block.context3] * pair_probability(block, k, t2, d2)[block.pair3]
+    after = np.maximum(k.c3 - d3 * t3, 0) / (py.STRENGTH + k.n2)[block.context3] + up
     at = np.r_[0, np.cumsum(block.n)[:-1]]
     add = lambda x: np.add.reduceat(x, at)
     whole = add(np.log10(np.maximum(after, 1e-300))[block.triple])
@@ -583,11 +580,12 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark, paths = docs.sparkSession, {}
 
-    def put(df: DataFrame, *gone: DataFrame | None) -> DataFrame:
-        """df in the shared folder. The tables `gone` and shuffle files of plans that have ended go."""
+    def put(df: DataFrame, *gone: DataFrame | None, compression: str = "none", wait: float = 0) -> DataFrame:
+        """df in the shared folder. The tables `gone` and shuffle files of plans that have ended go; wait: seconds in which Spark's cleaner may remove large ones."""
         path = scratch(spark, "lm")
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
         drop(*gone)
+        time.sleep(wait)
         got = spark.read.schema(df.schema).parquet(path)
         paths[id(got)] = path, got
         return got
@@ -598,7 +596,6 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                 delete(spark, paths.pop(id(df))[0])
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
 
     def first(df: DataFrame, *sums: str):
         return df.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in sums], F.count("*").alias("rows")).first()
@@ -607,7 +604,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         got = first(rows, "ones", "twos")
         return py.discount(got.ones, got.twos)
 
-    read = put(id_text(docs).mapInArrow(_blocks, BLOCKS))
+    read = put(id_text(docs).mapInArrow(_blocks, BLOCKS), compression="zstd")
     count = read.select("block").count()
     bits = int(np.clip(np.ceil(np.log2(max(1, count))), 3, 16))
     tasks = max(8, -(-count // 4))
@@ -625,19 +622,20 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     def of(df: DataFrame | None, *kinds: int) -> list[DataFrame]:
         return [] if df is None else [df.where(F.col("kind").isin(*kinds))]
 
-    training = put(left.mapInArrow(lambda it: _send_training_words(it, bits), WORD_LISTS).groupBy("part").applyInArrow(_training_words, TRAINING))
-    triples = put(at_parts(left.mapInArrow(lambda it: _send_triples(it, bits), ROWS)))
+    training = put(left.mapInArrow(lambda it: _send_training_words(it, bits), WORD_LISTS).groupBy("part").applyInArrow(_training_words, TRAINING), compression="zstd")
+    pause = min(10.0, count / 4)
+    triples = put(at_parts(left.mapInArrow(lambda it: _send_triples(it, bits), ROWS)), wait=pause)
     d3, d2 = discount_of(triples), 0.5
     asked = blocks.select("block", "words").mapInArrow(lambda it: _send_words(it, bits), ROWS)
     counted = pairs = words = answers = None
     for sweep in range(SWEEPS):
         known = [triples, *of(counted, PAIR_COUNTS), *(of(pairs, PAIR_SUMS, SOLE_SUMS, TRIPLE_TABLES)), *of(words, PAIR_TABLES), *of(answers, WORDS)]
-        pairs = put(at_parts(with_known(known, lambda a, b: _seat_triples(a, b, d3, d2, sweep, bits))), pairs if sweep > 1 else None)  # noqa: B023
+        pairs = put(at_parts(with_known(known, lambda a, b: _seat_triples(a, b, d3, d2, sweep, bits))), pairs if sweep > 1 else None, wait=pause)  # noqa: B023
         counted = counted or pairs
         d2 = discount_of(pairs)
         known = [*of(counted, PAIR_COUNTS), *of(pairs, PAIR_SUMS, SOLE_SUMS), *of(words, PAIR_TABLES), *of(answers, WORDS)]
         words = put(at_parts(with_known(known, lambda a, b: _seat_pairs(a, b, d2, sweep, bits))), words)  # noqa: B023
-        vocabulary = put(training.groupBy("part").cogroup(words.where(F.col("kind") == WORD_SUMS).groupBy("part")).applyInArrow(_with_sums, VOCABULARY), answers)
+        vocabulary = put(training.groupBy("part").cogroup(words.where(F.col("kind") == WORD_SUMS).groupBy("part")).applyInArrow(_with_sums, VOCABULARY), answers, compression="zstd")
         total = first(vocabulary.withColumns({"ones": (F.col("c") == 1).cast("long"), "twos": (F.col("c") == 2).cast("long")}), "n", "c", "ones", "twos")
         held = spark.sparkContext.broadcast((*train(vocabulary.select("h", "word", "c"), total.ones, total.twos), total.c))
         answers = put(asked.groupBy("part").cogroup(vocabulary.groupBy("part")).applyInArrow(_words_of(held), ROWS), vocabulary)
