@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import functools
 import gc
-import time
 import zlib
 
 import numpy as np
@@ -580,12 +579,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark, paths = docs.sparkSession, {}
 
-    def put(df: DataFrame, *gone: DataFrame | None, compression: str = "none", wait: float = 0) -> DataFrame:
-        """df in the shared folder. The tables `gone` and shuffle files of plans that have ended go; wait: seconds in which Spark's cleaner may remove large ones."""
+    def put(df: DataFrame, *gone: DataFrame | None, compression: str = "none") -> DataFrame:
+        """df in the shared folder. The tables `gone` and shuffle files of plans that have ended go."""
         path = scratch(spark, "lm")
         df.write.option("compression", compression).parquet(path)
         drop(*gone)
-        time.sleep(wait)
         got = spark.read.schema(df.schema).parquet(path)
         paths[id(got)] = path, got
         return got
@@ -623,14 +621,13 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         return [] if df is None else [df.where(F.col("kind").isin(*kinds))]
 
     training = put(left.mapInArrow(lambda it: _send_training_words(it, bits), WORD_LISTS).groupBy("part").applyInArrow(_training_words, TRAINING), compression="zstd")
-    pause = min(10.0, count / 4)
-    triples = put(at_parts(left.mapInArrow(lambda it: _send_triples(it, bits), ROWS)), wait=pause)
+    triples = put(at_parts(left.mapInArrow(lambda it: _send_triples(it, bits), ROWS)))
     d3, d2 = discount_of(triples), 0.5
     asked = blocks.select("block", "words").mapInArrow(lambda it: _send_words(it, bits), ROWS)
     counted = pairs = words = answers = None
     for sweep in range(SWEEPS):
         known = [triples, *of(counted, PAIR_COUNTS), *(of(pairs, PAIR_SUMS, SOLE_SUMS, TRIPLE_TABLES)), *of(words, PAIR_TABLES), *of(answers, WORDS)]
-        pairs = put(at_parts(with_known(known, lambda a, b: _seat_triples(a, b, d3, d2, sweep, bits))), pairs if sweep > 1 else None, wait=pause)  # noqa: B023
+        pairs = put(at_parts(with_known(known, lambda a, b: _seat_triples(a, b, d3, d2, sweep, bits))), pairs if sweep > 1 else None)  # noqa: B023
         counted = counted or pairs
         d2 = discount_of(pairs)
         known = [*of(counted, PAIR_COUNTS), *of(pairs, PAIR_SUMS, SOLE_SUMS), *of(words, PAIR_TABLES), *of(answers, WORDS)]
