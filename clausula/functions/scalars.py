@@ -170,10 +170,21 @@ def within_decimal(c, precision: int, scale: int) -> Column:
     return is_canonical_decimal(s) & (F.char_length(F.regexp_extract(s, r"\.(\d+)$", 1)) <= scale) & (F.char_length(whole) <= precision - scale)
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value worked out once, however often then names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def decimal_compare(a, b) -> Column:
-    """-1, 0 or 1, exactly, for texts of up to 38 digits with up to 18 after the point."""
-    x, y = col(a).cast("decimal(38,18)"), col(b).cast("decimal(38,18)")
-    return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+    """-1, 0 or 1, exactly, for decimal texts or whole numbers of any length; null where one is no decimal without an exponent."""
+    part = lambda s: F.regexp_extract(s, r"\.(\d+)$", 1)
+    whole = lambda s, n: F.regexp_replace(F.concat(F.regexp_extract(s, r"^(-?\d+)", 1), F.rpad(part(s), n, "0")), r"^(-?)0+(?=\d)", "$1")
+    level = lambda t: F.greatest(F.char_length(part(t["x"])), F.char_length(part(t["y"])))
+    key = lambda c: let(c, integer_key)
+    order = lambda t: F.when(t["p"] < t["q"], -1).when(t["p"] > t["q"], 1).otherwise(0)
+    both = lambda t: let(level(t), lambda n: let(F.struct(key(whole(t["x"], n)).alias("p"), key(whole(t["y"], n)).alias("q")), order))
+    text = lambda c: let(col(c).cast("string"), normal_decimal)
+    return let(F.struct(text(a).alias("x"), text(b).alias("y")), lambda t: F.when(is_canonical_decimal(t["x"]) & is_canonical_decimal(t["y"]), both(t)))
 
 
 def float32_exact(c) -> Column:

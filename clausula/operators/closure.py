@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from clausula.plans.tables import cut
 
 DEPTH_LIMIT = 256
-#: Graphs of at most so many edges, as contracts have, are searched on the driver; their size is counted first.
-SMALL = 200_000
 
 
 def resolve_chain(refs: DataFrame, declared: DataFrame, depth: int = DEPTH_LIMIT) -> DataFrame:
@@ -77,54 +75,10 @@ def trimmed(edges: DataFrame) -> DataFrame:
     return now
 
 
-def _small_components(pairs: list[tuple]) -> list[tuple]:
-    """(node, component) by Tarjan's search without recursion."""
-    to: dict = {}
-    for a, b in pairs:
-        to.setdefault(a, []).append(b)
-        to.setdefault(b, [])
-    number, low, on, stack, out = {}, {}, set(), [], []
-    for root in sorted(to):
-        if root in number:
-            continue
-        work = [(root, iter(to[root]))]
-        number[root] = low[root] = len(number)
-        stack.append(root)
-        on.add(root)
-        while work:
-            node, rest = work[-1]
-            for n in rest:
-                if n not in number:
-                    number[n] = low[n] = len(number)
-                    stack.append(n)
-                    on.add(n)
-                    work.append((n, iter(to[n])))
-                    break
-                if n in on:
-                    low[node] = min(low[node], number[n])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == number[node]:
-                    group = []
-                    while not group or group[-1] != node:
-                        group.append(stack.pop())
-                        on.discard(group[-1])
-                    if len(group) > 1 or node in to[node]:
-                        out += [(n, min(group)) for n in group]
-    return out
-
-
-def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
-    """node, component (its smallest node) of all nodes on cycles, self-loops included."""
-    kind = dict(edges.dtypes)["src"]
-    held = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct().limit(small + 1).collect()
-    if len(held) <= small:
-        return edges.sparkSession.createDataFrame(_small_components([tuple(r) for r in held]), f"node {kind}, component {kind}")
-    left, out = trimmed(edges), None
+def _colouring(edges: DataFrame) -> DataFrame:
+    """node, colour of all nodes on cycles: the smallest node that reaches each node colours it; a root reaches itself, and its component is what reaches it within its colour."""
+    left, out = edges, None
     while left.limit(1).count():
-        # The smallest node that reaches each node colours it; a root reaches itself, and its component is what reaches it within its colour.
         nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
         colour = cut(nodes.withColumn("colour", F.col("node")), "colour")
         moved = True
@@ -147,9 +101,36 @@ def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
         out = found if out is None else out.unionByName(found)
         done = reached.select("node")
         left = trimmed(left.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-    if out is None:
-        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
-    return out.select("node", F.col("colour").alias("component"))
+    return edges.select(F.col("src").alias("node"), F.col("src").alias("colour")).limit(0) if out is None else out
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of all nodes on cycles, self-loops included. Edges with a null end are left out.
+
+    Nodes with one way in and one way out are passed over by doubling, so that rings and long chains
+    between branches take a logarithmic number of rounds; colouring works on the branches alone.
+    """
+    left = trimmed(edges.where("src IS NOT NULL AND dst IS NOT NULL"))
+    ins, outs = left.groupBy(F.col("dst").alias("node")).count(), left.groupBy(F.col("src").alias("node")).count()
+    single = cut(ins.where("count = 1").select("node").join(outs.where("count = 1").select("node"), "node"), "single")
+    # A single node with where it leads, the last single node on the way there, and the least one.
+    now = cut(left.join(single.withColumnRenamed("node", "src"), "src").select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("src").alias("last"), F.col("src").alias("low")), "passed")
+    n, reach = now.count(), 1
+    on = single.withColumnRenamed("node", "to")
+    while reach <= n and now.join(on, "to", "left_semi").limit(1).count():
+        ahead = now.toDF("to", "next", "end", "less")
+        now = cut(now.join(ahead, "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.coalesce("end", "last").alias("last"), F.least("low", "less").alias("low")), "passed")
+        reach *= 2
+    rings = now.join(on, "to", "left_semi").select("node", F.col("low").alias("component"))
+    chains = now.join(on, "to", "left_anti")
+    free = left.join(single.withColumnRenamed("node", "src"), "src", "left_anti")  # edges from branches
+    through = free.join(chains.withColumnRenamed("node", "dst"), "dst").select("src", F.col("to").alias("dst"), "last", "low")  # each chain once, by its first edge
+    direct = free.join(single.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+    colour = _colouring(cut(direct.unionByName(through.select("src", "dst")).distinct(), "branches"))
+    closed = through.join(colour.toDF("src", "colour"), "src").join(colour.toDF("dst", "other"), "dst").where("colour = other").select("last", "low", "colour")
+    inner = chains.select("node", "last").join(closed.select("last", "colour"), "last").select("node", "colour")
+    least = colour.select("colour", F.col("node").alias("low")).unionByName(closed.select("colour", "low")).groupBy("colour").agg(F.min("low").alias("component"))
+    return rings.unionByName(colour.unionByName(inner).join(least, "colour").select("node", "component"))
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:

@@ -121,11 +121,5 @@ def effective_range(rules: DataFrame, owner: str = "owner") -> DataFrame:
     return rules.groupBy(owner).agg(lower.alias("lower"), upper.alias("upper")).withColumn("empty", F.coalesce(F.col("lower") > F.col("upper"), F.lit(False)))
 
 
-def operand_move(before: Column, after: Column, keyword: Column) -> Column:
-    """loosened, tightened or same, of an ordered operand."""
-    down = keyword.isin("max", "exclusiveMax", "maxLength")
-    return F.when(before == after, "same").when((after < before) == down, "tightened").otherwise("loosened")
-
-
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))

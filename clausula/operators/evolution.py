@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausula.functions import scalars as S
+
 # The ranks in order, and the scalar changes that widen.
 RANKS = ("patch", "additive", "conditional", "unknown", "breaking", "invalid")
 WIDENINGS = (("date", "datetime"), ("float32", "float64"))
@@ -85,10 +87,26 @@ def diff_fields(before: DataFrame, after: DataFrame, policy: str = "reject") ->
 
 
 def diff_constraints(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Changes of constraints (owner, keyword, value): added or changed conditional, removed additive."""
+    """Changes of constraints (owner, keyword, value: text, scalar: of the subject, and any other members).
+
+    Added: breaking. Removed: conditional for a bound of an integer or decimal whose scalar stays, else breaking.
+    A bound whose operand is written otherwise but equal: patch; loosened: conditional; anything else about
+    operands: breaking. Other members alone: patch. Bounds are compared exactly, whatever their length; an
+    integer's bound must be canonical integer text, else its direction is not known.
+    """
     p = paired(before, after, ["owner", "keyword"])
-    change = F.when(F.col("in_a").isNull(), "removed").when(F.col("in_b").isNull(), "added").when(~F.col("b.value").eqNullSafe(F.col("a.value")), "operand")
-    return p.withColumn("change", change).where("change IS NOT NULL").select("owner", "keyword", "change", F.when(F.col("change") == "removed", "additive").otherwise("conditional").alias("classification"))
+    b, a, keyword = F.col("b"), F.col("a"), F.col("keyword")
+    scalar = F.coalesce(b["scalar"], a["scalar"])
+    bound = scalar.isin("integer", "decimal") & keyword.isin("min", "max", "exclusiveMin", "exclusiveMax")
+    stays = bound & (b["scalar"].eqNullSafe(a["scalar"]) | ~F.coalesce("in_b", F.lit(False)) | ~F.coalesce("in_a", F.lit(False)))
+    form = lambda v: F.when(scalar == "integer", S.is_canonical_integer(v)).otherwise(S.is_canonical_decimal(v))
+    order = F.when(form(b["value"]) & form(a["value"]), S.decimal_compare(b["value"], a["value"]))
+    looser = F.when(keyword.isin("min", "exclusiveMin"), order > 0).otherwise(order < 0)
+    operand = ~b["value"].eqNullSafe(a["value"])
+    change = F.when(F.col("in_a").isNull(), "removed").when(F.col("in_b").isNull(), "added").when(operand, "operand").when(~b.eqNullSafe(a), "member")
+    moved = F.when(stays & (order == 0), "patch").when(stays & looser, "conditional").otherwise("breaking")
+    kind = F.when(F.col("change") == "added", "breaking").when(F.col("change") == "removed", F.when(stays, "conditional").otherwise("breaking")).when(F.col("change") == "member", "patch").otherwise(moved)
+    return p.withColumn("change", change).where("change IS NOT NULL").select("owner", "keyword", "change", kind.alias("classification"))
 
 
 def diff_members(before: DataFrame, after: DataFrame, key: list[str], added: str = "additive", removed: str = "breaking") -> DataFrame:

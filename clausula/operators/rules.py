@@ -124,12 +124,12 @@ def multiple_membership(docs: DataFrame) -> DataFrame:
 
 def alias_edges(docs: DataFrame) -> DataFrame:
     """Alias steps within documents; nodes are doc_id and identity, joined by a line feed."""
-    return B.types(docs).where("kind = 'alias' AND target IS NOT NULL").select("doc_id", "pointer", F.concat_ws("\n", "doc_id", "identity").alias("src"), F.concat_ws("\n", "doc_id", "target").alias("dst"))
+    return B.types(docs).where("kind = 'alias' AND target IS NOT NULL").select("doc_id", "pos", "pointer", F.concat_ws("\n", "doc_id", "identity").alias("src"), F.concat_ws("\n", "doc_id", "target").alias("dst"))
 
 
 def resolved_types(docs: DataFrame) -> DataFrame:
     """node, terminal, hops, status of every declared type."""
-    e = alias_edges(docs).groupBy("src").agg(F.min("dst").alias("dst"))
+    e = alias_edges(docs).groupBy("src").agg(F.min_by("dst", "pos").alias("dst"))  # of one identity the first declaration
     return closure.resolve_chain(e, declared(docs).select(F.concat_ws("\n", "doc_id", "identity").alias("node")))
 
 
@@ -330,9 +330,11 @@ def effective_fields(docs: DataFrame) -> DataFrame:
 
 
 def validated(docs: DataFrame, exported: DataFrame | None = None) -> DataFrame:
-    """All findings of documents. Documents that fail the shape rules are not looked at further."""
-    first = shape(docs)
+    """All findings of documents. Documents that fail the shape rules are not looked at further. Documents are parsed once and written; rules read the members they need."""
+    docs = cut(docs, "parsed")
+    first = cut(shape(docs), "shape")
     rest = docs.where("well_formed").join(first.select("doc_id").distinct(), "doc_id", "left_anti")
+    rest = cut(rest, "shaped")
     return together([first, duplicate_identities(rest), duplicate_names(rest), unresolved_references(rest, exported), unresolved_members(rest), multiple_membership(rest), alias_cycles(rest), composite_cycles(rest), supertype_cycles(rest), field_rules(rest), type_rules(rest), constraint_rules(rest), operand_rules(rest), structure_rules(rest), redefinition_rules(rest), package_rules(rest), relationship_sources(rest)])
 
 

@@ -16,6 +16,7 @@ from clausula.functions import documents as D
 from clausula.functions import scalars as S
 from clausula.operators import closure, constraints, evolution, instances, packages, transformations, units, verdict
 from clausula.operators.constraints import Constraint
+from clausula.plans import contracts
 from clausula.plans.tables import load
 from clausula.sources import markdown
 from clausula.streaming import occurrences
@@ -389,8 +390,7 @@ def strong_components(spark, sf):
 
 @query(_COMPONENTS)
 def strong_components_whole(spark, sf):
-    """As strong_components, by colouring alone, as for graphs of any size."""
-    return closure.strong_components(_thrice(spark, sf), small=0)
+    return strong_components(spark, sf)
 
 
 _ROOTS = """
@@ -458,12 +458,45 @@ def diff_fields(spark, sf):
 
 
 @query("""
-SELECT owner, keyword, change, classification FROM (
-  SELECT p_partkey AS owner, 'max' AS keyword, CASE WHEN p_partkey % 4 = 0 THEN 'removed' WHEN p_partkey % 4 = 1 THEN 'added' WHEN p_size > 25 THEN 'operand' END AS change, CASE WHEN p_partkey % 4 = 0 THEN 'additive' ELSE 'conditional' END AS classification FROM part)
-WHERE change IS NOT NULL""")
+WITH v AS (SELECT p_partkey AS owner, ['min', 'max', 'exclusiveMax', 'minLength'][CAST(p_partkey % 4 AS INTEGER) + 1] AS keyword, ['integer', 'decimal', 'string'][CAST(p_partkey % 3 AS INTEGER) + 1] AS scalar, p_size AS b, CASE p_partkey % 5 WHEN 0 THEN p_size ELSE 25 END AS a, p_partkey % 11 AS r FROM part),
+c AS (SELECT *, scalar <> 'string' AND keyword <> 'minLength' AS bound, CASE WHEN r = 0 THEN 'added' WHEN r = 1 THEN 'removed' WHEN a <> b THEN 'operand' WHEN r = 2 THEN 'member' END AS change FROM v)
+SELECT owner, keyword, change, CASE change WHEN 'added' THEN 'breaking' WHEN 'removed' THEN CASE WHEN bound THEN 'conditional' ELSE 'breaking' END WHEN 'member' THEN 'patch'
+  ELSE CASE WHEN bound AND CASE WHEN keyword = 'min' THEN b > a ELSE b < a END THEN 'conditional' ELSE 'breaking' END END AS classification FROM c WHERE change IS NOT NULL""")
 def diff_constraints(spark, sf):
-    p = load(spark, sf, "part").select(F.col("p_partkey").alias("owner"), F.lit("max").alias("keyword"), F.col("p_size").alias("value"))
-    return evolution.diff_constraints(p.where("owner % 4 <> 1"), p.where("owner % 4 <> 0").withColumn("value", F.least("value", F.lit(25))))
+    """Bounds of 40 digits and more, so that their direction is not that of doubles."""
+    keyword = F.element_at(F.array(*map(F.lit, ("min", "max", "exclusiveMax", "minLength"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    scalar = F.element_at(F.array(*map(F.lit, ("integer", "decimal", "string"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    long = lambda c: F.concat(F.lit("1" * 40), F.lpad(c.cast("string"), 3, "0"), F.when(scalar == "decimal", F.concat(F.lit("."), (c % 9 + 1).cast("string"))).otherwise(F.lit("")))
+    p = load(spark, sf, "part")
+    row = lambda value, code: p.select(F.col("p_partkey").alias("owner"), keyword.alias("keyword"), long(value).alias("value"), scalar.alias("scalar"), code.alias("code"))
+    before = row(F.col("p_size"), F.lit("C")).where("owner % 11 <> 0")
+    after = row(F.when(F.col("p_partkey") % 5 == 0, F.col("p_size")).otherwise(25), F.when(F.col("p_partkey") % 11 == 2, "D").otherwise("C")).where("owner % 11 <> 1")
+    return evolution.diff_constraints(before, after)
+
+
+@query("""
+SELECT owner, name, change, classification FROM (SELECT c_mktsegment AS owner, c_name AS name, CASE c_custkey % 7 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' END AS change, CASE c_custkey % 7 WHEN 0 THEN 'breaking' ELSE 'conditional' END AS classification FROM customer) WHERE change IS NOT NULL""")
+def diff_variants(spark, sf):
+    c = load(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("owner"), F.col("c_name").alias("name"))
+    return evolution.diff_variants(c.where("c_custkey % 7 <> 1"), c.where("c_custkey % 7 <> 0"))
+
+
+@query("""
+SELECT s_nationkey AS owner, s_name AS name, CASE s_suppkey % 5 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' ELSE 'signature' END AS change, CASE s_suppkey % 5 WHEN 1 THEN 'additive' ELSE 'breaking' END AS classification
+FROM supplier WHERE s_suppkey % 5 < 2 OR s_suppkey % 5 = 2 AND s_nationkey > 10""")
+def diff_operations(spark, sf):
+    s = load(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("owner"), F.col("s_name").alias("name"), F.array("s_name").alias("params"), F.lit("Text").alias("returns"))
+    after = s.withColumn("returns", F.when((F.col("s_suppkey") % 5 == 2) & (F.col("owner") > 10), "Integer").otherwise("Text"))
+    return evolution.diff_operations(s.where("s_suppkey % 5 <> 1").drop("s_suppkey"), after.where("s_suppkey % 5 <> 0").drop("s_suppkey"))
+
+
+@query("""
+SELECT o_custkey AS owner, o_orderkey AS identity, CASE o_orderkey % 6 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' ELSE 'changed' END AS change, CASE o_orderkey % 6 WHEN 1 THEN 'conditional' ELSE 'breaking' END AS classification
+FROM orders WHERE o_orderkey % 6 < 2 OR o_orderkey % 6 = 2 AND o_orderstatus <> 'F'""")
+def diff_relationships(spark, sf):
+    o = load(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("identity"), F.col("o_orderstatus").alias("target"))
+    after = o.withColumn("target", F.when(F.col("o_orderkey") % 6 == 2, "F").otherwise(F.col("target")))
+    return evolution.diff_relationships(o.where("o_orderkey % 6 <> 1").drop("o_orderkey"), after.where("o_orderkey % 6 <> 0").drop("o_orderkey"))
 
 
 # Packages
@@ -595,8 +628,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return _QUERIES | contracts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | contracts.SQL

@@ -1,6 +1,7 @@
 """Rules, closures, evolution, packages, units and sources on small documents of their own."""
 
 import json
+import random
 
 import pytest
 
@@ -74,12 +75,51 @@ def test_effective_fields_and_schema_text(spark, tmp_path):
     assert bundles.parsed(bundles.read_documents(spark, f"{tmp_path}/in")).select("ir.types").first()[0][0].identity == ix("Text")
 
 
-@pytest.mark.parametrize("small", [closure.SMALL, 0])
-def test_components(spark, small):
+def reachable(edges):
+    """Brute force: component of each node on a cycle."""
+    to, far = {}, {}
+    for a, b in edges:
+        to.setdefault(a, set()).add(b)
+    for start in to:
+        seen, open_ = set(), list(to[start])
+        while open_:
+            n = open_.pop()
+            if n not in seen:
+                seen.add(n)
+                open_ += to.get(n, ())
+        far[start] = seen
+    return {(n, min(m for m in far[n] if n in far.get(m, ()))) for n in far if n in far[n]}
+
+
+def test_components(spark):
     e = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (7, 8), (0, 1), (5, 9)]
-    df = spark.createDataFrame(e, "src long, dst long")
-    assert {tuple(r) for r in closure.strong_components(df, small).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)}
-    assert closure.strong_components(df.limit(0), small).count() == 0
+    df = spark.createDataFrame([*e, (None, 1), (2, None)], "src long, dst long")
+    assert {tuple(r) for r in closure.strong_components(df).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)}
+    assert closure.strong_components(df.limit(0)).count() == 0
+    # A ring of 300, chains between two branches both ways, a chain that leads on, a branch with a loop through a chain of lesser names.
+    e = [(i, i + 1) for i in range(1000, 1299)] + [(1299, 1000)] + [(50, 7), (7, 8), (8, 60), (60, 3), (3, 50), (50, 60), (60, 70), (70, 71), (71, 72), (72, 71), (72, 80), (80, 80)]
+    e += [(90, 91), (91, 95), (95, 90), (90, 20), (20, 21), (21, 90)]
+    assert {tuple(r) for r in closure.strong_components(spark.createDataFrame(e, "src long, dst long")).collect()} == reachable(e)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    e = [(rng.randrange(60), rng.randrange(60)) for _ in range(70)]
+    assert {tuple(r) for r in closure.strong_components(spark.createDataFrame(e, "src long, dst long")).collect()} == reachable(e)
+
+
+def test_constraint_changes(spark):
+    s = "owner string, keyword string, value string, scalar string, code string"
+    b = [("a", "min", "10", "integer", "C"), ("b", "min", "10", "integer", "C"), ("c", "max", "0.5", "decimal", "C"), ("d", "max", "9" * 60, "integer", "C"), ("e", "max", "-2.5", "decimal", "C"), ("f", "pattern", "a", "string", "C"), ("g", "min", "1", "integer", "C"), ("h", "pattern", "a", "string", "C"), ("i", "max", "x", "integer", "C"), ("j", "min", "1", "integer", "C")]
+    a = [("a", "min", "9", "integer", "C"), ("b", "min", "11", "integer", "C"), ("c", "max", "0.50", "decimal", "C"), ("d", "max", "9" * 59 + "8", "integer", "C"), ("e", "max", "-2.25", "decimal", "C"), ("f", "pattern", "b", "string", "C"), ("i", "max", "y", "integer", "C"), ("j", "min", "1", "integer", "D"), ("k", "min", "1", "integer", "C")]
+    got = {tuple(r) for r in evolution.diff_constraints(spark.createDataFrame(b, s), spark.createDataFrame(a, s)).collect()}
+    assert got == {("a", "min", "operand", "conditional"), ("b", "min", "operand", "breaking"), ("c", "max", "operand", "breaking"), ("d", "max", "operand", "breaking"), ("e", "max", "operand", "conditional"), ("f", "pattern", "operand", "breaking"), ("g", "min", "removed", "conditional"), ("h", "pattern", "removed", "breaking"), ("i", "max", "operand", "breaking"), ("j", "min", "member", "patch"), ("k", "min", "added", "breaking")}
+
+
+def test_result_state_of_all_documents(spark):
+    d = docs(spark, good={"types": [TEXT]}, bad="{", warned={"types": [record("A", clauses=[{"id": "k"}])]})
+    assert {tuple(r) for r in verdict.result_state(rules.validated(d), "doc_id", d).collect()} == {("good", "success"), ("bad", "invalid"), ("warned", "lossy")}
 
 
 def test_chains_and_closure(spark):
