@@ -7,8 +7,8 @@ bitset subset-sum over the other open lengths finds the fullest completion, and
 taken as often as the counts allow, then removed. Each combination uses up at least one length's
 last copies, so there are few of them, and their table is small.
 
-Pieces then get their place by number: pieces of one length are numbered within hashed slices, the
-slices' counts are added up, and number r of a length belongs to one combination, bin and offset.
+Pieces then get their place by number: pieces of one length are numbered within hashed slices
+(as many as its count asks for), the slices' counts are added up, and number r of a length belongs to one combination, bin and offset.
 A length may hold any share of all pieces; no step gathers a length in one task.
 
 Defined results: a null or empty text is the end id alone. A null doc_id and repeated rows are
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from clausula.llm.shared import id_text, written
 from clausula.llm.tokens import encoder
 
-SLICES = 128
+#: Pieces of one length that one task numbers; a length has as many slices as its count asks for.
+SLICE = 100_000
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -120,7 +121,9 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     held = spark.sparkContext.broadcast(allocation(combinations(counts, capacity)))
-    sliced = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)))
+    slices = spark.createDataFrame([(n, -(-c // SLICE)) for n, c in counts.items()], "length long, slices long")  # at most capacity rows
+    hashed = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("slices"))
+    sliced = pieces.join(F.broadcast(slices), "length").withColumn("slice", hashed).drop("slices")
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sliced.groupBy("length", "slice").count().select("length", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     nth = F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "start", "ids_crc32"))

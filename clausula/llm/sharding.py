@@ -199,4 +199,4 @@ def placed(store: Store) -> DataFrame:
     at = F.concat(F.lit("/data/"), F.substring_index(F.col("_metadata.file_path"), "/data/", -1))
     found = rows.select(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), at.alias("name"))
     counts = rows.select(at.alias("name")).groupBy("name").count().join(names, "name").select("name", "shard", (F.col("count") == F.col("listed_rows")).alias("listed"))
-    return found.join(F.broadcast(counts), "name", "left").select("doc_id", "text_md5", "shard", F.coalesce("listed", F.lit(False)).alias("listed"))
+    return found.join(counts, "name", "left").select("doc_id", "text_md5", "shard", F.coalesce("listed", F.lit(False)).alias("listed"))
