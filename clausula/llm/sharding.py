@@ -3,12 +3,14 @@
 append() writes arrivals as small immutable Parquet shards. compact() takes shards of like size (a
 tier is a power of FANOUT of the least size), and where a tier has FANOUT or more of them, merges
 runs of them to files of up to the target size; merged files fall into higher tiers, until no tier
-is full. Each step ends with one commit: a new manifest version that lists all shards, put in place
-by a rename that fails if another writer has put that version first, and is then tried again on
-top of it. Readers see one version. vacuum() removes files that no kept version lists.
+is full. Each step ends with one commit: a new manifest version, put in place by a rename that fails
+if another writer has put that version first, and is then tried again on top of it. A version says
+what it adds and removes; every SNAPSHOT-th lists all shards, so a commit writes what it changes.
+Readers see one version. vacuum() removes files that no kept version lists.
 
 A merge reads each run's files in one task and writes one file; nothing shuffles. Runs are bounded
-by the target, and MERGES runs make up one job. The driver handles shard names and sizes only.
+by the target. MERGES runs make up one job, so that plans stay small; JOBS jobs of a round run side
+by side, and the round is one commit. The driver handles shard names and sizes only.
 
 Defined results: rows and columns come back as they were appended, in no fixed order, nulls, empty
 texts and repeated rows included. Appending an empty table commits a version with no new shard.
@@ -22,12 +24,14 @@ import functools
 import json
 import math
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 LEAST, FANOUT, TARGET, MERGES = 64 << 10, 4, 64 << 20, 64
+JOBS, SNAPSHOT = 16, 16
 
 
 class Conflict(RuntimeError):
@@ -59,27 +63,42 @@ class Store:
     def versions(self) -> list[int]:
         return [int(n[1:-5]) for n in self._names("_manifest") if n.startswith("v") and n.endswith(".json")]
 
-    def manifest(self, version: int | None = None) -> tuple[int, StructType | None, list[Shard]]:
-        """Version (0: nothing committed), schema and shards."""
-        version = max(self.versions(), default=0) if version is None else version
-        if not version:
-            return 0, None, []
+    def _version(self, version: int) -> dict:
         stream = self._fs.open(self._path(f"{self.root}/_manifest/v{version:012d}.json"))
         try:
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        got = json.loads(text)
-        return version, StructType.fromJson(got["schema"]) if got["schema"] else None, [Shard(**s) for s in got["shards"]]
 
-    def commit(self, schema: StructType | None, add: list[Shard], remove: set[str] = frozenset(), tries: int = 20) -> int:
-        """Put the next version in place, on top of whatever version is the last by then."""
+    def _steps(self, version: int) -> list[dict]:
+        """A version and those that it builds on, from a whole listing onwards."""
+        steps = [self._version(version)]
+        while not steps[-1]["whole"]:
+            steps.append(self._version(steps[-1]["version"] - 1))
+        return steps[::-1]
+
+    def manifest(self, version: int | None = None) -> tuple[int, StructType | None, list[Shard]]:
+        """Version (0: nothing committed), schema and shards."""
+        version = max(self.versions(), default=0) if version is None else version
+        if not version:
+            return 0, None, []
+        shards: dict[str, Shard] = {}
+        for step in self._steps(version):
+            for name in step["remove"]:
+                del shards[name]
+            shards |= {s["name"]: Shard(**s) for s in step["add"]}
+        return version, StructType.fromJson(step["schema"]) if step["schema"] else None, list(shards.values())
+
+    def commit(self, schema: StructType | None, add: list[Shard], remove: set[str] = frozenset(), tries: int = 20, whole: bool = False) -> int:
+        """Put the next version in place, on top of whatever version is the last by then. whole: as a listing of all shards."""
         for _ in range(tries):
             version, old, shards = self.manifest()
             if not remove <= {s.name for s in shards}:
                 raise Conflict("shards to replace are no longer listed")
-            new = [s for s in shards if s.name not in remove] + add
-            text = json.dumps({"version": version + 1, "schema": (schema or old) and (schema or old).jsonValue(), "shards": [dataclasses.asdict(s) for s in new]})
+            schema = schema or old
+            step = {"version": version + 1, "schema": schema and schema.jsonValue(), "whole": whole or version % SNAPSHOT == 0}
+            listed = [s for s in shards if s.name not in remove] + add if step["whole"] else add
+            text = json.dumps(step | {"add": [dataclasses.asdict(s) for s in listed], "remove": [] if step["whole"] else sorted(remove)})
             own = self._path(f"{self.root}/_manifest/.{self._jvm.java.util.UUID.randomUUID().toString()}.tmp")
             out = self._fs.create(own, False)
             out.write(bytearray(text.encode()))
@@ -150,19 +169,31 @@ class Store:
         """Merge until no tier is full; the last version."""
         while True:
             version, schema, shards = self.manifest()
-            runs = self.plan(shards, target)[:MERGES]
+            runs = self.plan(shards, target)
             if not runs:
                 return version
-            folder = f"data/{self._jvm.java.util.UUID.randomUUID().toString()}"
-            parts = [self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.name}" for s in run]).coalesce(1) for run in runs]
-            functools.reduce(DataFrame.unionAll, parts).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
-            self.commit(schema, self._listed(folder, schema), {s.name for run in runs for s in run})
+            with ThreadPoolExecutor(JOBS) as pool:
+                merged = list(pool.map(lambda i: self._merge(schema, runs[i : i + MERGES]), range(0, len(runs), MERGES)))
+            self.commit(schema, [s for job in merged for s in job], {s.name for run in runs for s in run})
+
+    def _merge(self, schema: StructType, runs: list[list[Shard]]) -> list[Shard]:
+        """One job: a file for each run."""
+        folder = f"data/{self._jvm.java.util.UUID.randomUUID().toString()}"
+        parts = [self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.name}" for s in run]).coalesce(1) for run in runs]
+        functools.reduce(DataFrame.unionAll, parts).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        return self._listed(folder, schema)
 
     def vacuum(self, keep: int = 1) -> None:
-        """Remove older versions than the last `keep`, and shards that none of these lists. Not while a writer is at work."""
+        """Remove older versions than the last `keep` and those that they build on, and shards that none of these lists. Not while a writer is at work.
+
+        The last version becomes a whole listing first, if it is none.
+        """
         versions = self.versions()
-        live = {s.name for v in versions[-keep:] for s in self.manifest(v)[2]}
-        for v in versions[:-keep]:
+        if versions and not self._version(versions[-1])["whole"]:
+            versions.append(self.commit(None, [], whole=True))
+        first = self._steps(versions[-keep:][0])[0]["version"] if versions else 0
+        live = {s.name for v in versions if v >= first for s in self.manifest(v)[2]}
+        for v in [v for v in versions if v < first]:
             self._fs.delete(self._path(f"{self.root}/_manifest/v{v:012d}.json"), False)
         data = self._path(f"{self.root}/data")
         if self._fs.exists(data):

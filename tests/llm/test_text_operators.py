@@ -446,6 +446,47 @@ def test_sharding(spark, odd, empty, tmp_path):
     assert none.read().count() == 0 and none.read().columns == empty.columns
 
 
+def test_two_writers_of_one_version(spark, tmp_path, monkeypatch):
+    a, b = (sharding.Store(spark, f"file://{tmp_path}/store") for _ in range(2))
+    made = [sharding.Shard(f"data/{i}", 1, 1) for i in range(sharding.SNAPSHOT + 4)]
+    for s in made[:2]:
+        a.commit(None, [s])
+    read, once = a.manifest, [made[2]]
+
+    def overtaken(version=None):
+        got = read(version)
+        if once:
+            b.commit(None, [once.pop()], {"data/0"})
+        return got
+
+    monkeypatch.setattr(a, "manifest", overtaken)
+    assert a.commit(None, [made[3]]) == 4
+    assert [s.name for s in b.manifest()[2]] == ["data/1", "data/2", "data/3"]
+    assert [s.name for s in b.manifest(3)[2]] == ["data/1", "data/2"]
+    b.commit(None, [], {"data/1"})
+    with pytest.raises(sharding.Conflict):  # the other writer has removed it
+        a.commit(None, [], {"data/1"})
+    for s in made[4:]:
+        b.commit(None, [s])
+    whole = [v for v in b.versions() if b._version(v)["whole"]]
+    assert whole == [1, sharding.SNAPSHOT + 1]
+    names = {s.name for s in b.manifest()[2]}
+    b.vacuum()
+    assert len(b.versions()) == 1 and {s.name for s in b.manifest()[2]} == names
+
+
+def test_jobs_of_a_round_are_one_commit(spark, tmp_path, monkeypatch):
+    store = sharding.Store(spark, f"file://{tmp_path}/store")
+    store.append(spark.range(0, 400, 1, 40).selectExpr("id AS doc_id", "cast(id AS string) AS text"))
+    first = store.manifest()
+    monkeypatch.setattr(sharding, "MERGES", 2)
+    target = 5 * max(s.bytes for s in first[2])
+    assert len(store.plan(first[2], target)) > 2 * sharding.MERGES
+    store.compact(target)
+    assert len(store.manifest()[2]) < len(first[2]) / 3 and len(store.versions()) <= 3
+    assert sorted(r.doc_id for r in store.read().collect()) == list(range(400))
+
+
 def test_tiers_fill_up():
     plan = sharding.Store.plan
     shards = [sharding.Shard(f"s{i}", 100_000, 1) for i in range(10)] + [sharding.Shard("big", 30 << 20, 1)]
