@@ -125,6 +125,8 @@ def part_codes(vectors: DataFrame, rounds: int = 2, scale: float = 256, id_col:
     width = usual_length(rows, "vector")
     if width % PARTS:
         raise ValueError(f"{PARTS} parts do not divide {width} components")
+    if not width:
+        return rows.where(F.lit(False)).select(F.col("id").alias("vec_id"), F.lit("").alias("code"), F.lit(0).cast("long").alias("error"), F.lit(0).cast("long").alias("label_error"), F.lit("").alias("codebooks_sha256"))
     label_type = rows.schema["label"].dataType.simpleString()
     held = written(rows.where(F.size("vector") == width).mapInArrow(lambda it: _whole(it, scale, width), f"id long, label {label_type}, x binary"), "rows")
     books = codebooks(held, width, rounds)
