@@ -55,12 +55,12 @@ def of(lowered):
 def test_findings(of):
     got = {b: of("findings", b, "path", "line", "code") for b in BUNDLES}
     assert {b: f for b, f in got.items() if f} == {
-        "ends": [("c.md", 12, "DECLARED_LOSS")],
+        "ends": [("c.md", 13, "DECLARED_LOSS")],
         "two-roots": [("", 1, "BUNDLE_UNIDENTIFIED")],
         "no-id": [("b.md", 1, "BUNDLE_UNIDENTIFIED")],
         "many": [("b.md", 1, "LIMIT_MAX_FIELDS_PER_RECORD")],
-        "clauses": [("b.md", 16, "LIMIT_MAX_CLAUSE_BYTES")],
-        "stale": [("b.md", 12, "STALE_TYPE_TOKEN"), ("c.md", 1, "ARTIFACT_NOT_LOWERED")],
+        "clauses": [("b.md", 17, "LIMIT_MAX_CLAUSE_BYTES")],
+        "stale": [("b.md", 13, "STALE_TYPE_TOKEN"), ("c.md", 1, "ARTIFACT_NOT_LOWERED")],
         "twin": [("c.md", 1, "UNSLUGGABLE_NAME"), ("d.md", 1, "UNSLUGGABLE_NAME")],
     }
     for b in ("two-roots", "no-id", "many", "clauses", "stale", "twin"):
