@@ -16,7 +16,7 @@ from clausula.functions import documents as D
 from clausula.functions import scalars as S
 from clausula.operators import closure, constraints, evolution, instances, packages, transformations, units, verdict
 from clausula.operators.constraints import Constraint
-from clausula.plans import contracts, lifted, schemas
+from clausula.plans import construct_docs, contracts, lifted, schemas
 from clausula.plans.tables import load
 from clausula.sources import markdown
 from clausula.streaming import occurrences
@@ -628,8 +628,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return _QUERIES | contracts.QUERIES | schemas.QUERIES | lifted.QUERIES
+    return _QUERIES | contracts.QUERIES | schemas.QUERIES | lifted.QUERIES | construct_docs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | contracts.SQL | schemas.SQL | lifted.SQL
+    return _SQL | contracts.SQL | schemas.SQL | lifted.SQL | construct_docs.SQL
