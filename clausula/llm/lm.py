@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from clausula.llm import pitman_yor as py
 from clausula.llm.shared import bucketed, delete, id_text, scratch
-from clausula.llm.texthash import _BASE, _BYTE, _LOWER, buffers, mix, pieces, powers, word_hashes, word_spans
+from clausula.llm.texthash import _BASE, _LOWER, buffers, mix, pieces, run_hashes, word_hashes, word_spans
 
 BLOCK_BYTES = 11_000_000
 #: Sweeps of triples and pairs (the first has one table a gram), of words and of letters in each of them, and seatings that probabilities are averaged over.
@@ -139,12 +139,7 @@ def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def hashes(words: pa.Array) -> np.ndarray:
     """The hash of each word; that of the end is 0."""
     raw, ends = _bytes_of(words)
-    start = np.r_[0, ends[:-1]].astype(np.int64)[: len(ends)]
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
-        return mix((total[ends] - total[start]) * down[start] + (ends - start).astype(np.uint64)) & BITS
+    return run_hashes(raw, np.diff(ends, prepend=0)) & BITS
 
 
 # Spelling

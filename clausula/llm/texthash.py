@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 
-#: Odd multiplier of the positional word hash and its inverse modulo 2**64.
+#: Odd multiplier of chained hashes.
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes that separate words: space and the characters 9 to 13.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: A fixed random value for each byte, so that a word hash depends on whole bytes and not on their low bits.
-_BYTE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up, down = np.ones(n, np.uint64), np.ones(n, np.uint64)
-        up[1:], down[1:] = np.uint64(_BASE), np.uint64(_INVERSE)
-        return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse; computed for sizes that double, so few are kept."""
-    a, b = _powers(1 << max(16, int(n).bit_length()))
-    return a[:n], b[:n]
+#: A fixed random value for each byte at each of the first places of a word, and for each byte at later ones.
+_PLACES = 64
+_AT = np.random.default_rng(20240229).integers(0, 1 << 64, (_PLACES + 1, 256), dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,16 +49,28 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
+def run_hashes(letters: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of adjoining runs of bytes: the sum of a random value for each byte and its place (tabulation),
+    mixed. Beyond the table, a place is mixed into the byte's value, so that no sum over places follows from another. An
+    empty run's hash is 0."""
+    first = np.cumsum(length) - length
+    place = np.arange(len(letters), dtype=np.int64) - np.repeat(first, length)
+    value = _AT.ravel()[np.minimum(place, _PLACES) * 256 + letters]
+    far = np.flatnonzero(place >= _PLACES)
+    out = np.zeros(len(length), np.uint64)
+    some = length > 0
+    with np.errstate(over="ignore"):
+        if len(far):
+            value[far] = mix(value[far] + place[far].astype(np.uint64) * np.uint64(_BASE))
+        if some.any():
+            out[some] = np.add.reduceat(value, first[some])
+        return mix(out + length.astype(np.uint64))
+
+
 def word_hashes(raw: np.ndarray, at: np.ndarray, spans: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word with A-Z lowered, and for each text the place of its first word (one more at the end)."""
-    n = len(raw)
     s, e = word_spans(raw, at) if spans is None else spans
-    up, down = powers(n + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[raw]] * up[:n], out=total[1:])
-        words = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
-    return words, np.searchsorted(s, at)
+    return run_hashes(_LOWER[raw[~_SPACE[raw]]], e - s), np.searchsorted(s, at)
 
 
 def shingle_hashes(words: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
