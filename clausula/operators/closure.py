@@ -52,14 +52,21 @@ def closure(edges: DataFrame, rounds: int = DEPTH_LIMIT) -> DataFrame:
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
-    """node, ancestor, distance: all supertypes, with the longest way to each, so that the farthest come first in falling order. Edges of cycles are left out first."""
+    """node, ancestor, distance: all supertypes, with the longest way to each, so that the farthest come first in falling order. Edges of cycles are left out first.
+
+    Ways double their length in each round, so a depth of d takes about log2(d) rounds.
+    """
     ring = cycle_nodes(edges)
     tree = edges.join(ring.withColumnRenamed("node", "src"), "src", "left_anti").select("src", "dst").distinct()
-    now = found = cut(tree.select(F.col("src").alias("node"), F.col("dst").alias("ancestor"), F.lit(1).alias("distance")), "ancestors")
-    while now.limit(1).count():
-        now = cut(now.join(tree.select(F.col("src").alias("ancestor"), F.col("dst").alias("next")), "ancestor").select("node", F.col("next").alias("ancestor"), (F.col("distance") + 1).alias("distance")).distinct(), "ancestors")
-        found = found.unionByName(now)
-    return found.groupBy("node", "ancestor").agg(F.max("distance").alias("distance"))
+    now = cut(tree.select(F.col("src").alias("node"), F.col("dst").alias("ancestor"), F.lit(1).alias("distance")), "ancestors")
+    size = None
+    while True:
+        sums = now.agg(F.count("*").alias("n"), F.sum("distance").alias("s")).first()
+        if (sums.n, sums.s) == size or not sums.n:
+            return now
+        size = (sums.n, sums.s)
+        longer = now.join(now.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"), F.col("distance").alias("more")), "ancestor").select("node", F.col("next").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
+        now = cut(now.unionByName(longer).groupBy("node", "ancestor").agg(F.max("distance").alias("distance")), "ancestors")
 
 
 def trimmed(edges: DataFrame) -> DataFrame:
@@ -104,33 +111,63 @@ def _colouring(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node"), F.col("src").alias("colour")).limit(0) if out is None else out
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of all nodes on cycles, self-loops included. Edges with a null end are left out.
-
-    Nodes with one way in and one way out are passed over by doubling, so that rings and long chains
-    between branches take a logarithmic number of rounds; colouring works on the branches alone.
-    """
-    left = trimmed(edges.where("src IS NOT NULL AND dst IS NOT NULL"))
-    ins, outs = left.groupBy(F.col("dst").alias("node")).count(), left.groupBy(F.col("src").alias("node")).count()
-    single = cut(ins.where("count = 1").select("node").join(outs.where("count = 1").select("node"), "node"), "single")
-    # A single node with where it leads, the last single node on the way there, and the least one.
+def _passed(left: DataFrame, single: DataFrame) -> DataFrame:
+    """node, to, last, low of single nodes: the first other node on the way from each, the last single node before it, and the least single node from it on. On a ring of single nodes `to` is one of them."""
+    on = single.withColumnRenamed("node", "to")
     now = cut(left.join(single.withColumnRenamed("node", "src"), "src").select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("src").alias("last"), F.col("src").alias("low")), "passed")
     n, reach = now.count(), 1
-    on = single.withColumnRenamed("node", "to")
     while reach <= n and now.join(on, "to", "left_semi").limit(1).count():
         ahead = now.toDF("to", "next", "end", "less")
         now = cut(now.join(ahead, "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.coalesce("end", "last").alias("last"), F.least("low", "less").alias("low")), "passed")
         reach *= 2
-    rings = now.join(on, "to", "left_semi").select("node", F.col("low").alias("component"))
-    chains = now.join(on, "to", "left_anti")
-    free = left.join(single.withColumnRenamed("node", "src"), "src", "left_anti")  # edges from branches
-    through = free.join(chains.withColumnRenamed("node", "dst"), "dst").select("src", F.col("to").alias("dst"), "last", "low")  # each chain once, by its first edge
-    direct = free.join(single.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
-    colour = _colouring(cut(direct.unionByName(through.select("src", "dst")).distinct(), "branches"))
-    closed = through.join(colour.toDF("src", "colour"), "src").join(colour.toDF("dst", "other"), "dst").where("colour = other").select("last", "low", "colour")
-    inner = chains.select("node", "last").join(closed.select("last", "colour"), "last").select("node", "colour")
-    least = colour.select("colour", F.col("node").alias("low")).unionByName(closed.select("colour", "low")).groupBy("colour").agg(F.min("low").alias("component"))
-    return rings.unionByName(colour.unionByName(inner).join(least, "colour").select("node", "component"))
+    return now
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of all nodes on cycles, self-loops included. Edges with a null end are left out.
+
+    Trees and chains are taken away by raking and compressing in turn: nodes with no way in or no way out go, and each chain of nodes
+    with one way in and one way out becomes an edge, found by doubling. A tail or a tree of n nodes takes about log n turns. What is left
+    is coloured; then chains are put back, the last first: a chain's nodes lie on a cycle if both its ends lie on one.
+    """
+    left = cut(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct(), "edges")
+    node = lambda df, c: df.select(F.col(c).alias("node"))
+    loops = [cut(node(left.where("src = dst"), "src"), "loops")]
+    left, chains, rings, before = left.where("src <> dst"), [], None, None
+    while True:
+        left = left.join(node(left, "dst").distinct().toDF("src"), "src", "left_semi").join(node(left, "src").distinct().toDF("dst"), "dst", "left_semi")
+        left = cut(left.select("src", "dst"), "raked")
+        n = left.count()
+        if not n or n == before:
+            break
+        ins, outs = left.groupBy(F.col("dst").alias("node")).count(), left.groupBy(F.col("src").alias("node")).count()
+        single = cut(node(ins.where("count = 1"), "node").join(node(outs.where("count = 1"), "node"), "node"), "single")
+        if not single.limit(1).count():
+            before = n
+            continue
+        way = _passed(left, single)
+        ring = cut(way.join(single.withColumnRenamed("node", "to"), "to", "left_semi").select("node", F.col("low").alias("component")), "rings")
+        rings = ring if rings is None else rings.unionByName(ring)
+        chain = way.join(single.withColumnRenamed("node", "to"), "to", "left_anti")
+        free = left.join(single.withColumnRenamed("node", "src"), "src", "left_anti")  # edges that no chain begins with
+        heads = free.join(chain.select(F.col("node").alias("dst"), "last", "to"), "dst").select("last", F.col("src").alias("u"), F.col("to").alias("v"))  # each chain by its first edge
+        through = cut(chain.select("node", "last").join(heads, "last").select("node", "u", "v"), "chains")
+        chains.append(through)
+        left = cut(free.join(single.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst").unionByName(heads.select(F.col("u").alias("src"), F.col("v").alias("dst"))).distinct(), "branches")
+        loops.append(cut(node(left.where("src = dst"), "src"), "loops"))
+        left, before = left.where("src <> dst"), None
+    known = _colouring(left).select("node", F.col("colour").alias("component"))
+    if rings is not None:
+        known = known.unionByName(rings)
+    for own in reversed(range(len(loops))):
+        # Loops of this turn that lie on no larger cycle, then the chains of the turn before.
+        known = known.unionByName(loops[own].join(known.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
+        known = cut(known, "components")
+        if own:
+            ends = chains[own - 1].join(known.toDF("u", "component"), "u").join(known.toDF("v", "other"), "v").where("component = other")
+            known = known.unionByName(ends.select("node", "component"))
+    least = known.groupBy("component").agg(F.min("node").alias("least"))
+    return known.join(least, "component").select("node", F.col("least").alias("component"))
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
@@ -138,6 +175,11 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """One row a cyclic component: component (its least member), members in order, n. For reports of bounded components."""
+    """One row a cyclic component: component (its least member), members in order, n. For reports of bounded components; rules need the least member alone (cycle_heads)."""
     c = strong_components(edges)
     return c.groupBy("component").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("node")).alias("members"))
+
+
+def cycle_heads(edges: DataFrame) -> DataFrame:
+    """component: the least member of each cyclic component."""
+    return strong_components(edges).select("component").distinct()

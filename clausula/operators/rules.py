@@ -141,7 +141,7 @@ def alias_cycles(docs: DataFrame) -> DataFrame:
 
 def _ring(edges: DataFrame, code: str) -> DataFrame:
     """A finding at the least member of each cycle."""
-    ring = closure.cycles(edges.select(F.concat_ws("\n", "doc_id", "a").alias("src"), F.concat_ws("\n", "doc_id", "b").alias("dst")))
+    ring = closure.cycle_heads(edges.select(F.concat_ws("\n", "doc_id", "a").alias("src"), F.concat_ws("\n", "doc_id", "b").alias("dst")))
     parts = F.split("component", "\n")
     return ring.select(parts[0].alias("doc_id"), F.lit("/ir/types").alias("pointer"), F.lit(code).alias("code"), F.lit("error").alias("severity"), parts[1].alias("message"))
 
