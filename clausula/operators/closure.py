@@ -183,3 +183,23 @@ def cycles(edges: DataFrame) -> DataFrame:
 def cycle_heads(edges: DataFrame) -> DataFrame:
     """component: the least member of each cyclic component."""
     return strong_components(edges).select("component").distinct()
+
+
+def carried(refs: DataFrame, values: DataFrame, declared: DataFrame) -> DataFrame:
+    """node, terminal, n, first: where each node's chain ends, how many nodes of it (ends included) have a value, and the nearest value.
+
+    refs: src, dst (one a src); values: node, value (one a node); declared: node. Chains double in each round with what they carry, so a
+    chain of n takes log2(n) rounds. A node whose chain goes round in a cycle, or ends at no declaration, has a null terminal.
+    """
+    at = declared.select("node").distinct().join(refs.toDF("node", "dst"), "node", "left").join(values, "node", "left")
+    on = F.col("dst").isNotNull()
+    now = cut(at.select("node", F.coalesce("dst", "node").alias("to"), F.when(on & F.col("value").isNotNull(), 1).otherwise(0).cast("long").alias("n"), F.when(on, F.col("value")).alias("first")), "carried")
+    goes_on = refs.select(F.col("src").alias("to"))
+    size, reach = now.count(), 1
+    while reach <= size and now.join(goes_on, "to", "left_semi").limit(1).count():
+        ahead = now.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("n").alias("more"), F.col("first").alias("then"))
+        now = cut(now.join(ahead, "to", "left").select("node", F.coalesce("next", "to").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce("first", "then").alias("first")), "carried")
+        reach *= 2
+    ends = declared.select(F.col("node").alias("to")).distinct().join(goes_on, "to", "left_anti").join(values.toDF("to", "value"), "to", "left").withColumn("known", F.lit(True))
+    x = now.join(ends, "to", "left")
+    return x.select("node", F.when(F.col("known"), F.col("to")).alias("terminal"), (F.col("n") + F.when(F.col("value").isNotNull(), 1).otherwise(0)).alias("n"), F.coalesce("first", "value").alias("first"))
