@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clausula.functions import documents as D
 from clausula.functions import scalars as S
-from clausula.operators import closure
+from clausula.operators import closure, relations
 from clausula.plans.tables import cut
 from clausula.sources import bundles as B
 
@@ -56,13 +56,11 @@ def shape(docs: DataFrame) -> DataFrame:
 
 def duplicate_identities(docs: DataFrame) -> DataFrame:
     """Every occurrence of an identity but the first in document order."""
-    nth = F.row_number().over(Window.partitionBy("doc_id", "identity").orderBy("ord"))
-    return finding(B.identities(docs).withColumn("_n", nth).where("_n > 1"), "DUPLICATE_IDENTITY", message=F.col("identity"))
+    return finding(relations.repeats(B.identities(docs), ["doc_id", "identity"], "ord"), "DUPLICATE_IDENTITY", message=F.col("identity"))
 
 
 def _duplicates(df: DataFrame, by: list[str], code: str, name: str) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("doc_id", *by).orderBy("pointer"))
-    return finding(df.withColumn("_n", nth).where("_n > 1"), code, message=F.col(name))
+    return finding(relations.repeats(df, ["doc_id", *by], "pointer"), code, message=F.col(name))
 
 
 def duplicate_names(docs: DataFrame) -> DataFrame:
@@ -89,7 +87,7 @@ REFERENCE_CODES = {"items": "UNRESOLVED_ELEMENT_TYPE", "keys": "UNRESOLVED_MAP_K
 def unresolved_references(docs: DataFrame, exported: DataFrame | None = None) -> DataFrame:
     """References to what neither the document nor an imported package (identity) declares."""
     refs = B.references(docs)
-    lost = refs.join(declared(docs).withColumnRenamed("identity", "ref"), ["doc_id", "ref"], "left_anti")
+    lost = relations.unresolved(refs, declared(docs).withColumnRenamed("identity", "ref"), ["doc_id", "ref"])
     if exported is not None:
         lost = lost.join(exported.select(F.col("identity").alias("ref")).distinct(), "ref", "left_anti")
     code = F.lit("UNRESOLVED_TYPE_REF")

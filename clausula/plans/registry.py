@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clausula.functions import documents as D
 from clausula.functions import scalars as S
-from clausula.operators import closure, constraints, evolution, instances, packages, transformations, units, verdict
+from clausula.operators import closure, constraints, evolution, instances, packages, relations, transformations, units, verdict
 from clausula.operators.constraints import Constraint
 from clausula.plans import construct_docs, contracts, lifted, rewriting_docs, schemas, subject_docs, unit_docs
 from clausula.plans.tables import load
@@ -156,9 +156,9 @@ def multiplicity_check(spark, sf):
 WITH m AS (SELECT p_brand AS owner, min(p_size) AS lower, max(p_size) AS upper FROM part WHERE p_partkey % 5 = 0 GROUP BY 1)
 SELECT p_partkey, lower, upper FROM part JOIN m ON p_brand = owner WHERE p_size < lower OR p_size > upper""")
 def redefinition_narrows(spark, sf):
-    p = load(spark, sf, "part")
-    m = p.where("p_partkey % 5 = 0").groupBy(F.col("p_brand").alias("owner")).agg(F.min("p_size").alias("lower"), F.max("p_size").alias("upper"))
-    return p.join(m, (p.p_brand == m.owner) & ((p.p_size < m.lower) | (p.p_size > m.upper))).select("p_partkey", "lower", "upper")
+    p = load(spark, sf, "part").withColumnRenamed("p_brand", "owner")
+    m = p.where("p_partkey % 5 = 0").groupBy("owner").agg(F.min("p_size").alias("lower"), F.max("p_size").alias("upper"))
+    return relations.outside_bounds(p, m, "owner", "p_size").select("p_partkey", "lower", "upper")
 
 
 # Scalars
@@ -216,38 +216,35 @@ def canonical_text(spark, sf):
 @query("""
 SELECT l_orderkey, l_linenumber, count(*) - 1 AS repeats FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_identity(spark, sf):
-    nth = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_shipdate"))
-    return load(spark, sf, "lineitem").withColumn("n", nth).where("n > 1").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("repeats"))
+    return relations.repeat_counts(load(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 @query("""
 SELECT p_partkey, p_name, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS n FROM part) WHERE n > 1""")
 def duplicate_name(spark, sf):
-    nth = F.row_number().over(Window.partitionBy("p_brand", "p_name").orderBy("p_partkey"))
-    return load(spark, sf, "part").withColumn("n", nth).where("n > 1").select("p_partkey", "p_name", "p_brand")
+    return relations.repeats(load(spark, sf, "part"), ["p_brand", "p_name"], "p_partkey").select("p_partkey", "p_name", "p_brand")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)")
 def unresolved_reference(spark, sf):
     known = load(spark, sf, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("l_orderkey"))
-    return load(spark, sf, "lineitem").join(known, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return relations.unresolved(load(spark, sf, "lineitem"), known, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def resolved_reference(spark, sf):
     some = load(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    return load(spark, sf, "orders").join(some, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+    return relations.resolved(load(spark, sf, "orders"), some, ["o_custkey"]).select("o_orderkey", "o_custkey")
 
 
 @query("SELECT s_nationkey, s_suppkey, s_name FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) = 1")
 def first_wins_index(spark, sf):
-    first = load(spark, sf, "supplier").groupBy("s_nationkey").agg(F.min(F.struct("s_suppkey", "s_name")).alias("f"))
-    return first.select("s_nationkey", "f.s_suppkey", "f.s_name")
+    return relations.first_of(load(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_name"), ["s_nationkey"], "s_suppkey")
 
 
 @query("SELECT l_partkey, count(DISTINCT l_suppkey) AS owners FROM lineitem GROUP BY 1 HAVING owners > 1")
 def exclusive_membership(spark, sf):
-    return load(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("owners")).where("owners > 1")
+    return relations.shared_members(load(spark, sf, "lineitem"), ["l_partkey"], "l_suppkey")
 
 
 @query("SELECT p_name AS name, count(DISTINCT p_brand) AS n, min(p_brand) AS first FROM part GROUP BY 1 HAVING n > 1")
@@ -265,13 +262,13 @@ def vocabulary_difference(spark, sf):
 
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 def identity_union(spark, sf):
-    return load(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).union(load(spark, sf, "supplier").select("s_nationkey")).distinct()
+    return relations.union_of(load(spark, sf, "customer").select(F.col("c_nationkey").alias("k")), load(spark, sf, "supplier").select("s_nationkey"))
 
 
 @query("SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
 def export_intersect(spark, sf):
-    o = load(spark, sf, "orders")
-    return o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).intersect(o.where("o_orderstatus = 'O'").select("o_custkey"))
+    o = load(spark, sf, "orders").withColumnRenamed("o_custkey", "k")
+    return relations.common_to(o.where("o_orderstatus = 'F'").select("k"), o.where("o_orderstatus = 'O'").select("k"))
 
 
 # Aggregations
@@ -280,13 +277,12 @@ def export_intersect(spark, sf):
 @query("""
 SELECT o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '2-HIGH') AS high, count(*) AS total FROM orders GROUP BY 1""")
 def coverage_pivot(spark, sf):
-    o = load(spark, sf, "orders")
-    return o.groupBy("o_orderstatus").agg(F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.count_if(F.col("o_orderpriority") == "2-HIGH").alias("high"), F.count("*").alias("total"))
+    return relations.coverage(load(spark, sf, "orders"), ["o_orderstatus"], urgent=F.col("o_orderpriority") == "1-URGENT", high=F.col("o_orderpriority") == "2-HIGH")
 
 
 @query("SELECT event_type, count(*) AS total, count(*) FILTER (value >= 50) AS detected, round(count(*) FILTER (value >= 50) / count(*), 9) AS score FROM events GROUP BY 1")
 def mutation_score(spark, sf):
-    return load(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("value") >= 50).alias("detected")).withColumn("score", F.round(F.col("detected") / F.col("total"), 9))
+    return relations.score(relations.coverage(load(spark, sf, "events"), ["event_type"], detected=F.col("value") >= 50), "detected")
 
 
 def _findings(spark, sf):
