@@ -303,7 +303,8 @@ def pointer_escape(c) -> Column:
 
 def pointer_split(c) -> Column:
     """Reference tokens of a pointer, unescaped."""
-    tokens = F.when(col(c) == "", F.array().cast("array<string>")).otherwise(F.slice(F.split(col(c), "/"), 2, 10_000))
+    parts = F.split(col(c), "/")
+    tokens = F.when(col(c) == "", F.array().cast("array<string>")).otherwise(F.slice(parts, F.lit(2), F.size(parts) - 1))
     return F.transform(tokens, lambda t: F.replace(F.replace(t, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
 
 

@@ -241,7 +241,7 @@ def remote_references(spark, sf) -> DataFrame:
 def effective_fields(spark, sf) -> DataFrame:
     """Own and inherited fields of the members group's types."""
     docs = cut(bundles.parsed(texts(load(spark, sf, "part"), "members")), "parsed")
-    return rules.effective_fields(docs).where("owner IN ('ix://p/Lo', 'ix://p/Op')").select("doc_id", "owner", "name", "origin")
+    return rules.effective_fields(docs).select("doc_id", "owner", "name", "origin")
 
 
 def contract_summary(spark, sf) -> DataFrame:
@@ -283,7 +283,7 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'DOCUMENT_TOO_LARGE' AS code, CAST(oct
 UNION ALL SELECT '', 'TOO_MANY_DOCUMENTS', CAST(count(*) AS VARCHAR) FROM documents HAVING count(*) > 10""",
     "remote_references": "SELECT CAST(page_id AS VARCHAR) AS doc_id, 'REMOTE_REFERENCE' AS code FROM pages WHERE page_id % 4 > 1",
     "effective_fields": f"""
-SELECT CAST(p_partkey AS VARCHAR) AS doc_id, unnest(['ix://p/Lo', 'ix://p/Op']) AS owner, 'x' AS name, unnest(['ix://p/Lo', 'ix://p/Op']) AS origin FROM part WHERE NOT ({BROKEN})""",
+SELECT CAST(p_partkey AS VARCHAR) AS doc_id, owner, 'x' AS name, owner AS origin FROM part, (VALUES {", ".join(f"('{t['identity']}')" for f in FAULTS if f.group == 'members' for t in f.good if t.get('fields'))}) x(owner) WHERE NOT ({BROKEN})""",
     "contract_summary": f"""
 SELECT CAST(p_partkey AS VARCHAR) AS doc_id, kind, CAST(types AS BIGINT) AS types, CAST(relationships AS BIGINT) AS relationships FROM (
   SELECT p_partkey, unnest(['scalar', 'record', 'option', 'alias']) AS kind, unnest([2, 5, 1, 2]) AS types, unnest([0, CASE WHEN {_C} THEN 2 ELSE 1 END, 0, 0]) AS relationships FROM part WHERE NOT ({BROKEN}))""",

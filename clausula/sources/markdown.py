@@ -26,7 +26,7 @@ def _sections(text: str) -> Column:
     start = F.struct(F.lit("").alias("section"), F.array().cast("array<struct<line:int,section:string,value:string>>").alias("out"))
 
     def step(acc, x):
-        section = F.when(x["value"].rlike("^## "), F.trim(F.substring(x["value"], 4, 1 << 20))).otherwise(acc["section"])
+        section = F.when(x["value"].rlike("^## "), F.trim(F.substring(x["value"], 4, 2**31 - 1))).otherwise(acc["section"])
         return F.struct(section.alias("section"), F.when(x["value"].rlike(r"^\s*\|"), F.concat(acc["out"], F.array(F.struct(x["line"].alias("line"), section.alias("section"), x["value"].alias("value"))))).otherwise(acc["out"]).alias("out"))
 
     numbered = F.transform(F.split(text, "\n"), lambda v, i: F.struct((i + 1).alias("line"), v.alias("value")))
