@@ -16,7 +16,7 @@ from clausula.functions import documents as D
 from clausula.functions import scalars as S
 from clausula.operators import closure, constraints, evolution, instances, packages, relations, transformations, units, verdict
 from clausula.operators.constraints import Constraint
-from clausula.plans import construct_docs, contracts, differential_runs, lifted, rewriting_docs, schemas, subject_docs, unit_docs
+from clausula.plans import construct_docs, contracts, differential_runs, lifted, rewriting_docs, schemas, subject_docs, surface_docs, unit_docs
 from clausula.plans.tables import load
 from clausula.sources import markdown
 from clausula.streaming import occurrences
@@ -624,8 +624,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return _QUERIES | contracts.QUERIES | schemas.QUERIES | lifted.QUERIES | construct_docs.QUERIES | unit_docs.QUERIES | subject_docs.QUERIES | rewriting_docs.QUERIES | differential_runs.QUERIES
+    return _QUERIES | contracts.QUERIES | schemas.QUERIES | lifted.QUERIES | construct_docs.QUERIES | unit_docs.QUERIES | subject_docs.QUERIES | rewriting_docs.QUERIES | differential_runs.QUERIES | surface_docs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | contracts.SQL | schemas.SQL | lifted.SQL | construct_docs.SQL | unit_docs.SQL | subject_docs.SQL | rewriting_docs.SQL | differential_runs.SQL
+    return _SQL | contracts.SQL | schemas.SQL | lifted.SQL | construct_docs.SQL | unit_docs.SQL | subject_docs.SQL | rewriting_docs.SQL | differential_runs.SQL | surface_docs.SQL
