@@ -13,7 +13,9 @@ cut alphabet) and SAMPLES identifiers (label 0, common words joined in the usual
 samples are made by a rule, so the model is the same for every input; its table has a fixed size.
 
 A kind's matches are leftmost and do not overlap. Positions are code points: the text is split at
-the pattern, and lengths of gaps and matches are added up. Nothing shuffles; each text is read in
+the pattern, and lengths of gaps and matches are added up, in blocks of BLOCK and blocks of blocks, so
+that no array grows an entry at a time beyond a block. What base spans leave of a run is found by
+halving in the sorted gaps between them. Nothing shuffles; each text is read in
 one pass, and the steps after the first test run only for texts that match.
 
 Defined results: a null text is empty and has no spans. A null doc_id and repeated rows stay rows
@@ -31,6 +33,7 @@ from clausula.llm.shared import apart
 SAMPLES = 4000
 MIN_RATIO, MIN_MEAN = 12.0, 0.35
 LEAST, CORE = 20, 12
+BLOCK = 64
 _LOW, _WIDE = 43, 80  # the table covers the characters from `+` to `z`
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -94,6 +97,39 @@ def _let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def _blocks(values: Column) -> Column:
+    """An array, which is not empty, in arrays of BLOCK entries."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda i: F.slice(values, i * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _before(values: Column, join) -> Column:
+    """For each entry of an array of numbers, which is not empty, the sum (or what join makes, from 0) of those before it."""
+    zero = F.lit(0).cast("long")
+    whole = lambda a: F.aggregate(a, zero, join)
+
+    def plain(a):
+        start = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(a, start, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    def split(a, rest):
+        inner = lambda blocks, so_far: F.flatten(F.transform(blocks, lambda b, i: F.transform(plain(b), lambda x: join(F.get(so_far, i), x))))
+        return _let(_blocks(a), lambda blocks: _let(rest(F.transform(blocks, whole)), lambda so_far: inner(blocks, so_far)))
+
+    return _let(values, lambda a: split(a, lambda b: split(b, plain)))
+
+
+def _count(values: Column, holds) -> Column:
+    """How many entries at the head of an array a condition holds for, that holds for a head of it; found by halving."""
+    powers = F.array(*[F.lit(1 << i) for i in range(30, -1, -1)])
+    return F.aggregate(powers, F.lit(0), lambda n, p: F.when((n + p <= F.size(values)) & F.coalesce(holds(F.get(values, n + p - 1)), F.lit(False)), n + p).otherwise(n))
+
+
+def _put(out: Column, block: Column, one: Column) -> tuple[Column, Column]:
+    """out and block with one more entry: a full block goes to out as one entry."""
+    full = F.size(block) >= BLOCK
+    return F.when(full, F.concat(out, F.array(block))).otherwise(out), F.when(full, F.array(one)).otherwise(F.concat(block, F.array(one)))
+
+
 _PARTS = "array<struct<first:int,end:int>>"
 
 
@@ -103,35 +139,59 @@ def _parts(word: Column, table: list[float]) -> Column:
     struct = lambda **c: F.struct(*[x.alias(k) for k, x in c.items()])
     likely = lambda ratio, n: ratio >= F.greatest(F.lit(MIN_RATIO), MIN_MEAN * (n - 1))
     zero = F.lit(0.0)
-    start = struct(first=F.lit(0), end=F.lit(0), sum=zero, peak=zero, raw=zero, top=zero, out=F.array().cast("array<struct<first:int,end:int,top:double>>"))
-    put = lambda a: F.when(a["peak"] > 0, F.concat(a["out"], F.array(struct(first=a["first"], end=a["end"], top=a["top"])))).otherwise(a["out"])
+    peak = "array<struct<first:int,end:int,top:double>>"
+    start = struct(first=F.lit(0), end=F.lit(0), sum=zero, peak=zero, raw=zero, top=zero, out=F.array().cast(f"array<{peak}>"), block=F.array().cast(peak))
+
+    def put(a):
+        """The filled arrays, where the present part has a peak with it."""
+        out, block = _put(a["out"], a["block"], struct(first=a["first"], end=a["end"], top=a["top"]))
+        return F.when(a["peak"] > 0, out).otherwise(a["out"]), F.when(a["peak"] > 0, block).otherwise(a["block"])
 
     def step(a, x):
         s, raw, at = a["sum"] + x["k"] - MIN_MEAN, a["raw"] + x["k"], x["at"].cast("int")
         ended, higher = (s <= 0) | (s < a["peak"] - MIN_RATIO), s > a["peak"]
-        new = struct(first=at + 1, end=at + 1, sum=zero, peak=zero, raw=zero, top=zero, out=put(a))
-        on = struct(first=a["first"], end=F.when(higher, at + 2).otherwise(a["end"]), sum=s, peak=F.greatest(a["peak"], s), raw=raw, top=F.when(higher, raw).otherwise(a["top"]), out=a["out"])
+        out, block = put(a)
+        new = struct(first=at + 1, end=at + 1, sum=zero, peak=zero, raw=zero, top=zero, out=out, block=block)
+        on = struct(first=a["first"], end=F.when(higher, at + 2).otherwise(a["end"]), sum=s, peak=F.greatest(a["peak"], s), raw=raw, top=F.when(higher, raw).otherwise(a["top"]), out=a["out"], block=a["block"])
         return F.when(ended, new).otherwise(on)
 
-    def wide(x):
-        before = F.regexp_extract(F.substring(word, F.lit(1), x["first"]), "[^=/_-]*$", 0)
-        after = F.regexp_extract(F.substring(word, x["end"] + 1, F.char_length(word)), "^[^=/_-]*", 0)
-        return struct(first=x["first"] - F.char_length(before), end=x["end"] + F.char_length(after), core=(x["end"] - x["first"] >= CORE) & (x["top"] >= MIN_RATIO))
+    def all_put(a):
+        out, block = put(a)
+        return F.flatten(F.concat(out, F.array(block)))
 
-    def together(out, x):
-        last = F.element_at(out, -1)
-        one = F.array(struct(first=x["first"], end=x["end"]))
-        joined = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(struct(first=F.least(last["first"], x["first"]), end=F.greatest(last["end"], x["end"]))))
-        return F.when(F.size(out) == 0, one).when(F.element_at(F.when(F.size(out) > 0, out), -1)["end"] > x["first"], joined).otherwise(F.concat(out, one))
+    def wider(parts):
+        """Parts from the last separator before them to the next one after them; equal neighbours once."""
+        sizes = F.transform(F.split(word, "[=/_-]", -1), lambda p: F.char_length(p).cast("long"))
+        ends = lambda sizes: F.zip_with(_before(F.transform(sizes, lambda n: n + 1), lambda a, b: a + b), sizes, lambda at, n: struct(first=at.cast("int"), end=(at + n).cast("int")))
+
+        def of(pieces):
+            first = lambda x: F.get(pieces, _count(pieces, lambda p: p["first"] <= x["first"]) - 1)["first"]
+            end = lambda x: F.get(pieces, _count(pieces, lambda p: p["end"] < x["end"]))["end"]
+            return F.transform(parts, lambda x: struct(first=first(x), end=end(x), core=(x["end"] - x["first"] >= CORE) & (x["top"] >= MIN_RATIO)))
+
+        return _let(_let(_let(sizes, ends), of), lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1) != x)))
+
+    def joined(parts):
+        """Parts that overlap as one."""
+        empty = struct(last=F.lit(None).cast("struct<first:int,end:int>"), out=F.array().cast(f"array<{_PARTS}>"), block=F.array().cast(_PARTS))
+
+        def together(a, x):
+            last = a["last"]
+            out, block = _put(a["out"], a["block"], last)
+            one = struct(last=struct(first=x["first"], end=x["end"]), out=F.when(last.isNull(), a["out"]).otherwise(out), block=F.when(last.isNull(), a["block"]).otherwise(block))
+            more = struct(last=struct(first=F.least(last["first"], x["first"]), end=F.greatest(last["end"], x["end"])), out=a["out"], block=a["block"])
+            return F.when(last["end"] > x["first"], more).otherwise(one)
+
+        return F.aggregate(parts, empty, together, lambda a: F.flatten(F.concat(a["out"], F.array(F.when(a["last"].isNull(), a["block"]).otherwise(F.concat(a["block"], F.array(a["last"])))))))
 
     codes = F.transform(F.split(word, ""), lambda c: F.ascii(c) - _LOW)
 
     def of(codes):
         pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: a * _WIDE + b)
         steps = F.transform(pairs, lambda k, at: struct(k=F.get(held, k), at=at))
-        wider = F.transform(F.aggregate(steps, start, step, put), wide)
-        good = F.filter(wider, lambda x: (x["end"] - x["first"] >= LEAST) & (x["core"] | likely(_ratio(F.substring(word, x["first"] + 1, x["end"] - x["first"]), table), x["end"] - x["first"])))
-        return F.aggregate(good, F.array().cast(_PARTS), together)
+        wide = _let(F.aggregate(steps, start, step, all_put), wider)
+        good = F.filter(wide, lambda x: (x["end"] - x["first"] >= LEAST) & (x["core"] | likely(_ratio(F.substring(word, x["first"] + 1, x["end"] - x["first"]), table), x["end"] - x["first"])))
+        return joined(good)
 
     whole = F.array(struct(first=F.lit(0), end=F.char_length(word))).cast(_PARTS)
     return F.when(likely(_ratio(word, table), F.char_length(word)), whole).otherwise(_let(codes, of))
@@ -143,16 +203,15 @@ def _spans(text: str, kind: int, least: int = 0) -> Column:
     whole = F.regexp_extract_all(t, p, F.lit(0))
     value = F.regexp_extract_all(t, p, F.lit(2)) if least else whole
     gaps = F.split(t, PATTERNS[KINDS[kind]], -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,word:string,ok:boolean>>").alias("out"))
+    rows = F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value")), lambda x: F.struct(x["gap"].alias("gap"), x["whole"].alias("whole"), x["value"].alias("value")))
+    sizes = lambda rows: F.transform(rows, lambda x: (F.char_length(x["gap"]) + F.char_length(x["whole"])).cast("long"))
 
-    def step(acc, x):
-        begin = acc["at"] + F.char_length(x["gap"])
-        end = begin + F.char_length(x["whole"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["whole"].alias("word"), (F.char_length(x["value"]) >= least).alias("ok"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def span(x, at):
+        begin = at + F.char_length(x["gap"])
+        return F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + F.char_length(x["whole"])).alias("end"), x["whole"].alias("word"), (F.char_length(x["value"]) >= least).alias("ok"))
 
-    rows = F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value")), lambda x: F.struct(x["gap"].alias("gap"), x["whole"].alias("whole"), x["value"].alias("value")))
-    found = F.filter(F.aggregate(rows, start, step)["out"], lambda x: x["ok"])
+    placed = _let(rows, lambda rows: F.zip_with(rows, _before(sizes(rows), lambda a, b: a + b), span))
+    found = F.filter(placed, lambda x: x["ok"])
     return F.when(t.rlike(PATTERNS[KINDS[kind]]), found).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint,word:string,ok:boolean>>"))
 
 
@@ -163,19 +222,31 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found = plain.withColumns({f"_secret_{k}": _spans("_secret_text", i, 6 if k == "assign" else 0) for i, k in enumerate(KINDS)})
     based = found.withColumn("_secret_base", F.array_sort(F.concat("_secret_assign", "_secret_access", "_secret_hex")))
 
-    def left(x):
+    def gaps(base):
+        """What base spans, of which there are some, leave of a text, in pieces of LEAST or more characters; the last has no end."""
+        far = _let(base, lambda b: F.zip_with(b, _before(F.transform(b, lambda y: y["end"]), lambda p, q: F.greatest(p, q)), lambda y, to: F.struct(to.alias("from"), y["start"].alias("to"))))
+        last = F.aggregate(base, F.lit(0).cast("long"), lambda to, y: F.greatest(to, y["end"]))
+        return F.filter(F.concat(far, F.array(F.struct(last.alias("from"), F.lit(1 << 40).cast("long").alias("to")))), lambda g: g["to"] - g["from"] >= LEAST)
+
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.lit(1 << 40).cast("long").alias("to")))
+
+    def left(x, free):
         """What base spans leave of a run, as spans."""
-        piece = lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.substring(x["word"], (a - x["start"] + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")).alias("word"))
-        none = F.struct(x["start"].alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,word:string>>").alias("out"))
-        cut = lambda acc, y: F.struct(F.greatest(acc["at"], y["end"]).alias("at"), F.concat(acc["out"], F.array(piece(acc["at"], y["start"]))).alias("out"))
-        near = F.filter("_secret_base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-        return F.filter(F.aggregate(near, none, cut, lambda acc: F.concat(acc["out"], F.array(piece(acc["at"], x["end"])))), lambda p: p["end"] - p["start"] >= LEAST)
+        skip, upto = _count(free, lambda g: g["to"] <= x["start"]), _count(free, lambda g: g["from"] < x["end"])
+
+        def piece(g):
+            a, b = F.greatest(g["from"], x["start"]), F.least(g["to"], x["end"])
+            return F.struct(a.alias("start"), b.alias("end"), F.substring(x["word"], (a - x["start"] + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")).alias("word"))
+
+        return F.filter(F.transform(F.slice(free, skip + 1, F.greatest(upto - skip, F.lit(0))), piece), lambda p: p["end"] - p["start"] >= LEAST)
 
     def random(p):
         span = lambda q: F.struct((p["start"] + q["first"]).alias("start"), F.lit(KINDS.index("markov")).alias("kind"), (p["start"] + q["end"]).alias("end"), F.substring(p["word"], q["first"] + 1, q["end"] - q["first"]).alias("word"), F.lit(True).alias("ok"))
         return F.transform(_parts(p["word"], table), span)
 
-    added = F.when(F.size("_secret_markov") > 0, F.flatten(F.transform(F.flatten(F.transform("_secret_markov", left)), random))).otherwise(F.col("_secret_markov"))
+    free = F.when(F.size("_secret_base") > 0, gaps(F.col("_secret_base"))).otherwise(whole)
+    pieces = _let(free, lambda free: F.flatten(F.transform("_secret_markov", lambda x: left(x, free))))
+    added = F.when(F.size("_secret_markov") > 0, F.flatten(F.transform(pieces, random))).otherwise(F.col("_secret_markov"))
     return based.withColumn("_secret_all", F.array_sort(F.concat("_secret_base", added))).drop("_secret_markov", "_secret_text")
 
 

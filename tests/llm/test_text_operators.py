@@ -492,3 +492,21 @@ def test_tiers_fill_up():
     shards = [sharding.Shard(f"s{i}", 100_000, 1) for i in range(10)] + [sharding.Shard("big", 30 << 20, 1)]
     runs = plan(sharding.Store, shards, 64 << 20)
     assert [len(r) for r in runs] == [10] and plan(sharding.Store, shards[:3], 64 << 20) == []
+
+
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    """Blocks of blocks: 20,000 matches of all kinds in one text, against the plain patterns; runs with many random parts and many base spans in one run."""
+    digest = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    kinds = [lambda i: digest(i), lambda i: f"token={digest(i)[:9]}é", lambda i: "AKIA" + digest(i).upper()]
+    text = "\n".join(kinds[i % 3](i) for i in range(20_000))
+    dotted = "secret=" + ".".join(digest(i) for i in range(3000))
+    words = "_".join("network_" + digest(i).upper()[:24] for i in range(500))
+    got = {r.doc_id: r for r in secrets.secrets(spark.createDataFrame([(0, text), (1, dotted), (2, words)], "doc_id long, text string")).collect()}
+    base = [(m.start(), k, m.end()) for k, p in enumerate((ASSIGN, re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+"))) for m in p.finditer(text) if (len(m[2]) >= 6 if k == 0 else m.end() - m.start() >= (20, 24)[k - 1])]
+    written = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(base))
+    assert got[0].base_sha256 == hashlib.sha256(written.encode()).hexdigest() and len(base) >= 20_000 - 1
+    assert (got[1].n_assign, got[1].n_hex, got[1].n_markov) == (1, 3000, 0)
+    spans = [tuple(map(int, x.split(":")[1:])) for x in got[2].spans.split(",")]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and got[2].n_markov == len(spans)
+    covered = sum(b - a for a, b in spans)
+    assert covered >= 0.9 * 500 * 24 and all(s.isupper() or "_" in s or s.isdigit() for s in (words[a:b] for a, b in spans))
