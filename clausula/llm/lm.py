@@ -55,7 +55,7 @@ def is_held_out(doc_id: int | None, modulus: int = 7, remainder: int = 2) -> boo
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % modulus == remainder
 
 
-BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, n array<int>, codes binary, words array<string>"
+BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, n array<int>, codes binary, words binary"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -66,7 +66,8 @@ def _pack(*arrays: np.ndarray) -> bytes:
             top = int(a.max()) if len(a) else 0
             a = a.astype(next(k for k in ("u1", "u2", "u4", "u8") if top <= np.iinfo(k).max))
         widths.append(a.itemsize)
-        out.append(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T).tobytes() if a.itemsize > 1 else a.tobytes())
+        a = np.ascontiguousarray(a).view(f"u{a.itemsize}")
+        out += [(a >> (8 * i)).astype(np.uint8).tobytes() for i in range(a.itemsize)]
     return bytes(widths) + pa.compress(b"".join(out), codec="zstd", asbytes=True)
 
 
@@ -75,8 +76,10 @@ def _unpack(packed: bytes, n: int, *kinds: str) -> list[np.ndarray]:
     raw = np.frombuffer(pa.decompress(memoryview(packed)[len(kinds) :], n * sum(widths), codec="zstd", asbytes=True), np.uint8)
     out, at = [], 0
     for k, w in zip(kinds, widths):
-        a = np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(k if k[0] == "f" else f"u{w}").ravel()
-        out.append(a.astype(k))
+        a = raw[at : at + n].astype(k if k[0] != "f" else f"u{w}")
+        for i in range(1, w):
+            a |= raw[at + i * n : at + (i + 1) * n].astype(a.dtype) << (8 * i)
+        out.append(a.view(k))
         at += n * w
     return out
 
@@ -89,23 +92,19 @@ def _blocks(batches):
     part, k, held_words, ids, held, n, codes, size = TaskContext.get().partitionId(), 0, [], [], [], [], [], 0
 
     def out():
-        key, place = distinct(np.concatenate([np.zeros(1, np.uint64), *(x for x, _ in held_words)]))  # the end's hash is 0, so its code is 0
-        at = np.empty(len(key), np.int64)
-        at[place] = np.arange(len(place))
+        _, place, at = distinct(np.concatenate([np.zeros(1, np.uint64), *(x for x, _ in held_words)]))  # the end's hash is 0, so its code is 0
         at[0] = 0
         words = pa.concat_arrays([pa.array([""]), *(x for _, x in held_words)]).take(pa.array(at))
         ends = np.cumsum([1, *(len(x) for x, _ in held_words)])
         code = np.concatenate([np.r_[np.int32(0), place[ends[i] : ends[i + 1]]][c] for i, c in enumerate(codes)])
-        return pa.RecordBatch.from_arrays([pa.array([(part << 24) + k]), _list(pa.array(ids, pa.int64())), _list(pa.array(held, pa.bool_())), _list(pa.array(n, pa.int32())), pa.array([_pack(code.astype("<u4"))], pa.binary()), _list(words)], ["block", "doc_id", "held_out", "n", "codes", "words"])
+        return pa.RecordBatch.from_arrays([pa.array([(part << 24) + k]), _list(pa.array(ids, pa.int64())), _list(pa.array(held, pa.bool_())), _list(pa.array(n, pa.int32())), pa.array([_pack(code.astype("<u4"))], pa.binary()), pa.array([_packed_words(words)], pa.binary())], ["block", "doc_id", "held_out", "n", "codes", "words"])
 
     for b in batches:
         for first, texts in pieces(b["text"], BLOCK_BYTES // 6):
             raw, at = buffers(texts)
             s, e = word_spans(raw, at)
             h, of = word_hashes(raw, at, (s, e))
-            key, place = distinct(h & BITS)
-            one = np.empty(len(key), np.int64)
-            one[place] = np.arange(len(place))
+            key, place, one = distinct(h & BITS)
             s, length = s[one], (e - s)[one]
             offsets = np.r_[0, np.cumsum(length)]
             letters = _LOWER[raw[np.repeat(s - offsets[:-1], length) + np.arange(offsets[-1])]]
@@ -136,6 +135,19 @@ def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at[1:] - at[0]
 
 
+def _packed_words(words: pa.Array) -> bytes:
+    """One value for a block's words, which Spark then does not take apart: their number, bytes of the lengths, bytes in all; lengths; letters."""
+    raw, ends = _bytes_of(words)
+    lengths = _pack(np.diff(ends, prepend=0))
+    return np.array([len(ends), len(lengths), len(raw)], "<u8").tobytes() + lengths + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked_words(packed: bytes) -> pa.Array:
+    n, size, letters = np.frombuffer(packed, "<u8", 3).tolist()
+    ends = np.cumsum(_unpack(packed[24 : 24 + size], n, "i8")[0])
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(np.r_[0, ends].astype(np.int64).tobytes()), pa.decompress(memoryview(packed)[24 + size :], letters, codec="zstd")).cast(pa.string())
+
+
 def hashes(words: pa.Array) -> np.ndarray:
     """The hash of each word; that of the end is 0."""
     raw, ends = _bytes_of(words)
@@ -157,8 +169,9 @@ class Spelling:
         self.packed, self.log_byte, self.of = _pack(np.log(gram).astype("<f4")), log_byte, of
 
     def log(self, words: pa.Array) -> np.ndarray:
-        raw, ends = _bytes_of(words)
-        gram, byte, place = py.grams(raw, ends, self.of)
+        return self.log_of(*py.grams(*_bytes_of(words), self.of))
+
+    def log_of(self, gram: np.ndarray, byte: np.ndarray, place: np.ndarray) -> np.ndarray:
         return np.add.reduceat(_floats(self.packed)[gram].astype(float) + self.log_byte[byte], place) if len(place) else np.zeros(0)
 
 
@@ -189,7 +202,7 @@ def _sweep(vocabulary: DataFrame, sweep: int, spelling, d: float, tables: int, o
             words, c = b["word"], b["c"].to_numpy()
             raw, ends = _bytes_of(words)
             gram, byte, place = py.grams(raw, ends, cls)
-            t = np.ones(len(c), np.int64) if spell is None else word_tables(c, np.exp(spell.log(words)), disc, others, b["h"].to_numpy().view(np.uint64), sweep)
+            t = np.ones(len(c), np.int64) if spell is None else word_tables(c, np.exp(spell.log_of(gram, byte, place)), disc, others, b["h"].to_numpy().view(np.uint64), sweep)
             each = np.repeat(t, np.diff(np.r_[place, len(gram)]))
             np.add.at(total, gram, each.astype(np.int32))
             bytes_ += np.bincount(byte, each, 257).astype(np.int64)
@@ -243,18 +256,18 @@ def word_probability(c: np.ndarray, words: pa.Array, h: np.ndarray, spelling, d:
 
 
 def _packed_hashes(ascending: np.ndarray) -> bytes:
-    """Ascending hashes as differences, of five bytes each where these are enough."""
+    """Ascending hashes as differences, of five bytes each where these are enough: all low four bytes, then the others."""
     d = np.diff(ascending >> np.uint64(8), prepend=np.uint64(0))
     first, d[:1] = d[:1].copy(), 0
     width = 5 if not len(d) or int(d.max()) < 1 << 40 else 7
-    return first.astype("<u8").tobytes() + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return b"".join([first.astype("<u8").tobytes(), d.astype("<u4").tobytes(), *((d >> np.uint64(8 * i)).astype(np.uint8).tobytes() for i in range(4, width))])
 
 
 def _unpacked_hashes(packed: bytes, n: int) -> np.ndarray:
     width = (len(packed) - 8) // n
-    d = np.zeros((n, 8), np.uint8)
-    d[:, :width] = np.frombuffer(packed, np.uint8, offset=8).reshape(n, width)
-    d = d.view("<u8").ravel().astype(np.uint64)
+    d = np.frombuffer(packed, "<u4", n, 8).astype(np.uint64)
+    for i in range(4, width):
+        d |= np.frombuffer(packed, np.uint8, n, 8 + i * n).astype(np.uint64) << np.uint64(8 * i)
     d[0] = np.frombuffer(packed, "<u8", 1)[0]
     return np.cumsum(d, dtype=np.uint64) << np.uint64(8)
 
@@ -268,12 +281,15 @@ def _cuts(ascending: np.ndarray, bits: int):
     return list(zip(part[start].tolist(), start.tolist(), [*start[1:].tolist(), len(part)]))
 
 
-def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in ascending order, and the place of each key among them. Sorts keys with their places in the low bits."""
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, the place of each key among them, and where each of them stands in `key` once. Sorts keys with their places in the low bits."""
     low = np.uint64(max(1, len(key)).bit_length())
-    order = ((key >> low) << low) | np.arange(len(key), dtype=np.uint64)
+    order = key >> low
+    order <<= low
+    order |= np.arange(len(key), dtype=np.uint64)
     order.sort()
-    order = (order & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    order &= (np.uint64(1) << low) - np.uint64(1)
+    order = order.view(np.int64)
     k = key[order]
     for at in np.flatnonzero(k[1:] < k[:-1]):  # a few keys that are equal but for the low bits
         x, y = np.searchsorted(k >> low, [k[at] >> low, (k[at] >> low) + np.uint64(1)])
@@ -281,8 +297,8 @@ def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k[x:y] = key[order[x:y]]
     new = np.r_[True, k[1:] != k[:-1]][: len(k)]
     place = np.empty(len(key), np.int32)
-    place[order] = np.cumsum(new) - 1
-    return k[new], place
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return k[new], place, order[new]
 
 
 class Block:
@@ -290,7 +306,7 @@ class Block:
 
     def __init__(self, b, i: int = 0):
         self.number = b["block"][i].as_py()
-        self.words, self.n = b["words"][i].values, b["n"][i].values.to_numpy()
+        self.words, self.n = _unpacked_words(b["words"][i].as_py()), b["n"][i].values.to_numpy()
         held = b["held_out"][i].values.to_numpy(zero_copy_only=False)
         size = int(self.n.sum())
         first = np.r_[0, np.cumsum(self.n + 1)[:-1]].astype(np.int64)
@@ -307,22 +323,19 @@ class Block:
     @functools.cached_property
     def _pairs(self):
         """Distinct pairs, the pair at each position, each pair's word and the one before, hashes of pairs by position."""
-        own, before = self.hash[self.word], np.r_[np.int32(0), self.word[:-1]]
+        own = self.hash[self.word]
         with np.errstate(over="ignore"):
             pair = mix(np.r_[np.uint64(0), own[:-1]] * np.uint64(_BASE) + own) & BITS
-        key, place = distinct(pair)
-        at = np.empty(len(key), np.int64)
-        at[place] = np.arange(len(place))
-        return key, place, self.word[at], before[at], pair
+        key, place, at = distinct(pair)
+        return key, place, self.word[at], np.where(at > 0, self.word[at - 1], 0), pair
 
     @functools.cached_property
     def _triples(self):
         """Distinct triples, the triple of each token, each triple's last pair and its first."""
         with np.errstate(over="ignore"):
             triple = mix(np.r_[np.uint64(0), self._pairs[4][:-1]] * np.uint64(_BASE) + self.hash[self.word]) & BITS
-        key, place = distinct(triple[self.real])
-        at = np.empty(len(key), np.int64)
-        at[place] = np.flatnonzero(self.real)
+        key, place, at = distinct(triple[self.real])
+        at = np.flatnonzero(self.real)[at]
         return key, place, self.pair[at], self.pair[at - 1]
 
     key2 = property(lambda self: self._pairs[0])
@@ -387,7 +400,7 @@ def _at_part(t: pa.Table) -> pa.Table:
     start, group = np.flatnonzero(new), np.empty(len(key), np.int64)
     sums = [np.add.reduceat(x[order], start) for x in sent]
     if kind == WORD_SUMS:
-        return pa.Table.from_pylist([_row(kind, 0, part, len(start), _pack(*sums), _packed_hashes(key[start]))], TYPE)
+        return pa.Table.from_pylist([_row(kind, part, part, len(start), _pack(*sums), _packed_hashes(key[start]))], TYPE)
     group[order] = np.cumsum(new) - 1
     own = np.zeros(len(key), np.int64)
     own[order[start]] = 1  # the first block that has the gram
@@ -486,7 +499,7 @@ def _seat_pairs(left: pa.Table, right: pa.Table, d2: float, sweep: int, bits: in
     return pa.Table.from_pylist(rows + _messages(WORD_SUMS, block.number, block.hash, bits, *sums), TYPE)
 
 
-WORD_LISTS = "part int, hashes binary, n binary, words array<string>"
+WORD_LISTS = "part int, hashes binary, size int, n binary, words binary"
 TRAINING = "part int, h long, word string, n long"
 VOCABULARY = TRAINING + ", customers long, tables long, c long"
 
@@ -499,17 +512,17 @@ def _send_training_words(batches, bits: int):
             some = np.flatnonzero(n > 0)
             h, n, words = block.hash[some], n[some], block.words.take(pa.array(some))
             for part, x, y in _cuts(h, bits):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed_hashes(h[x:y])], pa.binary()), pa.array([_pack(n[x:y])], pa.binary()), _list(words.slice(x, y - x))], ["part", "hashes", "n", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed_hashes(h[x:y])], pa.binary()), pa.array([y - x], pa.int32()), pa.array([_pack(n[x:y])], pa.binary()), pa.array([_packed_words(words.slice(x, y - x))], pa.binary())], ["part", "hashes", "size", "n", "words"])
 
 
 def _training_words(t: pa.Table) -> pa.Table:
     """A part's words of the training texts, in order of their hashes, and how often they occur."""
-    size = [len(x) for x in t["words"].to_pylist()]
+    size = t["size"].to_pylist()
     h = np.concatenate([_unpacked_hashes(x, m) for x, m in zip(t["hashes"].to_pylist(), size)])
     n = np.concatenate([_unpack(x, m, "i8")[0] for x, m in zip(t["n"].to_pylist(), size)])
     order = np.argsort(h, kind="stable")
     start = np.flatnonzero(np.r_[True, np.diff(h[order]) > 0])
-    words = t["words"].combine_chunks().flatten().take(pa.array(order[start]))
+    words = pa.concat_arrays([_unpacked_words(x) for x in t["words"].to_pylist()]).take(pa.array(order[start]))
     return pa.table({"part": pa.array([t["part"][0].as_py()] * len(words), pa.int32()), "h": pa.array(h[order][start].view(np.int64)), "word": words, "n": pa.array(np.add.reduceat(n[order], start))})
 
 
@@ -528,7 +541,7 @@ def _with_sums(left: pa.Table, right: pa.Table) -> pa.Table:
 def _send_words(batches, bits: int):
     for b in batches:
         for i in range(b.num_rows):
-            yield from pa.Table.from_pylist(_messages(WORDS, b["block"][i].as_py(), hashes(b["words"][i].values), bits), TYPE).to_batches()
+            yield from pa.Table.from_pylist(_messages(WORDS, b["block"][i].as_py(), hashes(_unpacked_words(b["words"][i].as_py())), bits), TYPE).to_batches()
 
 
 def _words_of(held):
@@ -574,12 +587,15 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark, paths = docs.sparkSession, {}
 
-    def put(df: DataFrame, *gone: DataFrame | None, compression: str = "none") -> DataFrame:
-        """df in the shared folder. The tables `gone` and shuffle files of plans that have ended go."""
+    def put(df: DataFrame, *gone: DataFrame | None, compression: str = "none", dealt: bool = False) -> DataFrame:
+        """df in the shared folder, dealt by block as the blocks are or as it is. The tables `gone` and shuffle files of plans that have ended go."""
         path = scratch(spark, "lm")
-        df.write.option("compression", compression).parquet(path)
+        if dealt:
+            got = bucketed(df.repartition(tasks, "block"), "block", tasks, path, compression)
+        else:
+            df.write.option("compression", compression).parquet(path)
+            got = spark.read.schema(df.schema).parquet(path)
         drop(*gone)
-        got = spark.read.schema(df.schema).parquet(path)
         paths[id(got)] = path, got
         return got
 
@@ -597,17 +613,17 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         got = first(rows, "ones", "twos")
         return py.discount(got.ones, got.twos)
 
-    read = put(id_text(docs).mapInArrow(_blocks, BLOCKS), compression="zstd")
+    read = put(id_text(docs).mapInArrow(_blocks, BLOCKS))
     count = read.select("block").count()
     bits = int(np.clip(np.ceil(np.log2(max(1, count))), 3, 16))
     tasks = max(8, -(-count // 4))
-    blocks = bucketed(read, "block", tasks, scratch(spark, "lm"))
+    blocks = bucketed(read, "block", tasks, scratch(spark, "lm"), "none")
     drop(read)
     left = blocks.select("block", "held_out", "n", "codes", "words")
 
     def with_known(known: list[DataFrame], fn, schema: str = ROWS, own: DataFrame = left) -> DataFrame:
-        known = functools.reduce(DataFrame.unionAll, known)
-        return own.groupBy("block").cogroup(known.repartition(tasks, "block").groupBy("block")).applyInArrow(fn, schema)
+        known = functools.reduce(DataFrame.unionAll, known)  # all dealt by block, so that none of their rows moves
+        return own.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(fn, schema)
 
     def at_parts(sent: DataFrame) -> DataFrame:
         return sent.groupBy("part").applyInArrow(_at_part, ROWS)
@@ -616,21 +632,21 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         return [] if df is None else [df.where(F.col("kind").isin(*kinds))]
 
     training = put(left.mapInArrow(lambda it: _send_training_words(it, bits), WORD_LISTS).groupBy("part").applyInArrow(_training_words, TRAINING), compression="zstd")
-    triples = put(at_parts(left.mapInArrow(lambda it: _send_triples(it, bits), ROWS)))
+    triples = put(at_parts(left.mapInArrow(lambda it: _send_triples(it, bits), ROWS)), dealt=True)
     d3, d2 = discount_of(triples), 0.5
     asked = blocks.select("block", "words").mapInArrow(lambda it: _send_words(it, bits), ROWS)
     counted = pairs = words = answers = None
     for sweep in range(SWEEPS):
         known = [triples, *of(counted, PAIR_COUNTS), *(of(pairs, PAIR_SUMS, SOLE_SUMS, TRIPLE_TABLES)), *of(words, PAIR_TABLES), *of(answers, WORDS)]
-        pairs = put(at_parts(with_known(known, lambda a, b: _seat_triples(a, b, d3, d2, sweep, bits))), pairs if sweep > 1 else None)  # noqa: B023
+        pairs = put(at_parts(with_known(known, lambda a, b: _seat_triples(a, b, d3, d2, sweep, bits))), pairs if sweep > 1 else None, dealt=True)  # noqa: B023
         counted = counted or pairs
         d2 = discount_of(pairs)
         known = [*of(counted, PAIR_COUNTS), *of(pairs, PAIR_SUMS, SOLE_SUMS), *of(words, PAIR_TABLES), *of(answers, WORDS)]
-        words = put(at_parts(with_known(known, lambda a, b: _seat_pairs(a, b, d2, sweep, bits))), words)  # noqa: B023
+        words = put(at_parts(with_known(known, lambda a, b: _seat_pairs(a, b, d2, sweep, bits))), words, dealt=True)  # noqa: B023
         vocabulary = put(training.groupBy("part").cogroup(words.where(F.col("kind") == WORD_SUMS).groupBy("part")).applyInArrow(_with_sums, VOCABULARY), answers, compression="zstd")
         total = first(vocabulary.withColumns({"ones": (F.col("c") == 1).cast("long"), "twos": (F.col("c") == 2).cast("long")}), "n", "c", "ones", "twos")
         held = spark.sparkContext.broadcast((*train(vocabulary.select("h", "word", "c"), total.ones, total.twos), total.c))
-        answers = put(asked.groupBy("part").cogroup(vocabulary.groupBy("part")).applyInArrow(_words_of(held), ROWS), vocabulary)
+        answers = put(asked.groupBy("part").cogroup(vocabulary.groupBy("part")).applyInArrow(_words_of(held), ROWS), vocabulary, dealt=True)
         if sweep < SWEEPS - 1:
             held.destroy()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"

@@ -26,6 +26,11 @@ from clausula.llm.texthash import mix
 DEPTH, SYMBOLS = 3, 47
 STRENGTH = 1.0
 EXACT = 256
+#: Up to so many customers a size is by itself and its weights, at most a product of that many masses, are taken as they are; beyond, sizes up to an eighth apart are seated together.
+PLAIN = 16
+_BANDS = [*range(1, PLAIN + 1)]
+while _BANDS[-1] < EXACT:
+    _BANDS.append(min(EXACT, _BANDS[-1] + _BANDS[-1] // 8))
 
 
 def classes(count: np.ndarray) -> np.ndarray:
@@ -120,17 +125,25 @@ def reseat(c: np.ndarray, a: np.ndarray, b: np.ndarray, d: float, u: np.ndarray)
     some = np.flatnonzero(c > 1)
     some = some[np.argsort(c[some], kind="stable")]
     size, s = c[some], log_stirling(d)
-    for n in range(2, min(EXACT, int(size[-1]) if len(size) else 0) + 1):
-        lo, hi = np.searchsorted(size, [n, n + 1])
-        for x in range(lo, hi, 1 << 17):
-            at = some[x : min(x + (1 << 17), hi)]
+    for below, n in zip(_BANDS, _BANDS[1:]):
+        lo, hi = np.searchsorted(size, [below, n], side="right")
+        step = (1 << 18) // n
+        for x in range(lo, hi, step):
+            at = some[x : min(x + step, hi)]
             if n == 2:
                 w = a[at] + b[at]  # the second customer at a table of their own, or at the first one's
                 t[at] += u[at] * (w + 1 - d) < w
-                continue
-            w = s[n, 1 : n + 1] + np.cumsum(np.log(a[at, None] + b[at, None] * np.arange(n)), 1)
-            w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), 1)
-            t[at] = 1 + (w < u[at, None] * w[:, -1:]).sum(1)
+            elif n <= PLAIN:  # weights over a, without logarithms
+                w, more = np.empty((n, len(at))), np.ones(len(at))
+                w[0] = np.exp(s[n, 1])
+                for k in range(1, n):
+                    more *= a[at] + b[at] * k
+                    w[k] = w[k - 1] + np.exp(s[n, k + 1]) * more
+                t[at] = 1 + (w < u[at] * w[-1]).sum(0)
+            else:  # S is 0 where there are more tables than customers
+                w = s[c[at], 1 : n + 1] + np.cumsum(np.log(a[at, None] + b[at, None] * np.arange(n)), 1)
+                w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), 1)
+                t[at] = 1 + (w < u[at, None] * w[:, -1:]).sum(1)
     at = some[np.searchsorted(size, EXACT, side="right") :]
     if len(at):
         t[at] = _many(c[at], a[at], b[at], d, u[at])

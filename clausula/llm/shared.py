@@ -39,10 +39,10 @@ def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, buckets: int, path: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, buckets: int, path: str, compression: str = "zstd") -> DataFrame:
     """df as a table at path in buckets of a column, so that grouping by it needs no shuffle of these rows. The catalog keeps no entry."""
     spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name, format="parquet")
+    df.write.option("compression", compression).option("path", path).bucketBy(buckets, key).saveAsTable(name, format="parquet")
     found = spark.table(name)
     found.schema, found._jdf.queryExecution().analyzed()
     spark.sql(f"DROP TABLE {name}")

@@ -140,3 +140,17 @@ def test_wider_vectors_are_an_error(spark):
     assert hamming_search.codes(wide.where("vec_id = 1"), "vec_id", "embedding").count() == 1
     with pytest.raises(Exception, match="65 dimensions"):
         hamming_search.codes(wide, "vec_id", "embedding").collect()
+
+
+def test_seating_of_sizes_together_follows_the_recurrence():
+    """Sizes that are seated in one array give the tables that each would have alone."""
+    rng = np.random.default_rng(3)
+    c = rng.integers(3, 257, 3000)
+    a, b, u, d = rng.random(3000) * 20, rng.random(3000) * 0.1, rng.random(3000), 0.6
+    s = pitman_yor.log_stirling(d)
+    want = []
+    for n, mass, more, x in zip(c.tolist(), a, b, u):
+        w = s[n, 1 : n + 1] + np.cumsum(np.log(mass + more * np.arange(n)))
+        w = np.cumsum(np.exp(w - w.max()))
+        want.append(1 + int((w < x * w[-1]).sum()))
+    assert pitman_yor.reseat(c, a, b, d, u).tolist() == want

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from clausula.llm import exact_dedup, lm, near_dedup, packing, queries, secrets, sharding, token_files, toxicity
@@ -290,6 +291,18 @@ def test_lm_seats_a_pair_alike_in_all_blocks(spark, small, monkeypatch):
     assert all(whole[i].base_score == pytest.approx(parts[i].base_score) and whole[i].score == pytest.approx(parts[i].score, rel=0.01) for i in whole)
 
 
+def test_lm_moves_no_row_of_what_blocks_know(spark, small):
+    """Tables of what blocks know are dealt by block once, when they are written; no plan that reads them shuffles them again."""
+    plan = lm.lm_scores(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Bucketed: true") == 6 and "Exchange" not in plan
+
+
+def test_lm_packed_words():
+    for words in ([], [""], ["", "a", "né", "a" * 300, "\U0001f600"]):
+        packed = lm._packed_words(pa.array(words, pa.string()))
+        assert lm._unpacked_words(packed).to_pylist() == words
+
+
 def one_by_one(c, mass, more, d, rng, sweeps):
     """Mean tables of one dish: every customer in turn leaves their table and sits down again."""
     tables, kept = [c], []
