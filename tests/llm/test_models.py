@@ -142,6 +142,25 @@ def test_wider_vectors_are_an_error(spark):
         hamming_search.codes(wide, "vec_id", "embedding").collect()
 
 
+def test_plain_words_are_encoded_without_marks(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from clausula.llm import tokens
+
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    held, seen, whole = tokens.Encoder(path), [], tokens.Encoder._whole
+    monkeypatch.setattr(tokens.Encoder, "_whole", lambda self, text: seen.append(text) or whole(self, text))
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    ids = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    text = "Straßenbau miuear, Ñandú; encorres ÀÉ ostamente.\nJaieos! a b? déjà"
+    assert held.encode(text) == ids(text)
+    assert seen and not any(tokens.MARK in x for x in seen)
+    odd = "don't it's 'S e\u0301a x1 12, a.b c... (d) \u0130x \ufb01n \u6f22\u5b57, \x01 a\x01b \u00d7 \u00f7a <|endoftext|> q,\n  r :"
+    assert held.encode(odd) == ids(odd)
+    assert held.encode(f"{text} {odd} {text}") == ids(f"{text} {odd} {text}")
+
+
 def test_seating_of_sizes_together_follows_the_recurrence():
     """Sizes that are seated in one array give the tables that each would have alone."""
     rng = np.random.default_rng(3)
