@@ -18,6 +18,7 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -102,13 +103,13 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, with_id
     """doc_id, piece, start, length, ids_crc32 (and ids) of each piece of docs (doc_id, text)."""
 
     def rows(batches):
-        encode, end = encoder(path).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path).encode_all, np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            texts = zip(b["doc_id"].to_pylist(), encode(b["text"]))
+            while some := list(itertools.islice(texts, 256)):
                 out = []
-                for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-                    raw = encode(text or "") + end
+                for doc, ids in some:
+                    raw = ids + end
                     out += [(doc, k, s, n, zlib.crc32(x := raw[4 * s : 4 * (s + n)]), x if with_ids else None) for k, (s, n) in enumerate(cut(len(raw) // 4, capacity))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 

@@ -34,7 +34,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 1) ->
     ordered = id_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def blocks(batches):
-        encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer).encode_all, np.array([end_id], "<u4").tobytes()
         part, block, before, n, held, names, lengths = TaskContext.get().partitionId(), 0, 0, 0, [], [], []
 
         def out():
@@ -44,16 +44,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 1) ->
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before]), pa.array([len(ids)]), listed, pa.array([simple8b.encode(ids)], pa.binary())], ["part", "block", "first_id", "n_ids", "docs", "payload"])
 
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                for doc, text in zip(b["doc_id"].slice(i, 256).to_pylist(), b["text"].slice(i, 256).to_pylist()):
-                    raw = encode(text or "") + end
-                    held.append(raw)
-                    names.append(doc)
-                    lengths.append(len(raw) // 4)
-                    n += len(raw) // 4
-                    if n >= BLOCK_IDS:
-                        yield out()
-                        block, before, n, held, names, lengths = block + 1, before + n, 0, [], [], []
+            for doc, ids in zip(b["doc_id"].to_pylist(), encode(b["text"])):
+                held += ids, end
+                names.append(doc)
+                lengths.append(len(ids) // 4 + 1)
+                n += lengths[-1]
+                if n >= BLOCK_IDS:
+                    yield out()
+                    block, before, n, held, names, lengths = block + 1, before + n, 0, [], [], []
         if held:
             yield out()
 

@@ -3,6 +3,7 @@
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -161,6 +162,25 @@ def test_plain_words_are_encoded_without_marks(monkeypatch):
     assert held.encode(f"{text} {odd} {text}") == ids(f"{text} {odd} {text}")
 
 
+def test_words_go_to_the_library_once(monkeypatch):
+    """Whatever their case and the marks around them, over all texts of a batch; and batches give the library's ids."""
+    from clausula.llm import tokens
+
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e = tokens.Encoder(queries.tokenizer_file(name))
+        texts = ["Miuear miuear, (MIUEAR) x$$$", None, "miuear!! ~Miuear~ *** don't 12 miu\u0301ear", "", "\u212a \u212b \u1e9e \u0178 \u0130 a\tb", "  two  blanks", "one\nline two", "<|endoftext|> \x01"] * 2
+        monkeypatch.setattr(tokens, "BATCH_BYTES", 40)
+        want = [e.plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_all(pa.array(texts))] == want
+        monkeypatch.setattr(tokens, "CACHE_BYTES", 200)  # generations turn over
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_all(pa.array(texts).slice(1))] == want[1:]
+        monkeypatch.undo()
+    e, seen, whole = tokens.Encoder(queries.tokenizer_file("word_bpe_49k.json")), [], tokens.Encoder._whole
+    monkeypatch.setattr(tokens.Encoder, "_whole", lambda self, text: seen.append(text) or whole(self, text))
+    assert len(list(e.encode_all(pa.array(["Miuear miuear, (MIUEAR) x$$$", "miuear!! ~Miuear~"])))) == 2
+    assert " ".join(seen).split().count("miuear") == 1 and "".join(seen).lower().count("miuear") == 1
+
+
 def test_seating_of_sizes_together_follows_the_recurrence():
     """Sizes that are seated in one array give the tables that each would have alone."""
     rng = np.random.default_rng(3)
