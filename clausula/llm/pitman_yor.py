@@ -154,19 +154,19 @@ def grams(words: np.ndarray, ends: np.ndarray, of: np.ndarray) -> tuple[np.ndarr
     """Of words given as joined bytes with the end of each: gram of each letter and word end, its byte (256: an end), first place of each word. of: classes()."""
     n, length = len(ends), np.diff(np.r_[0, ends])
     place = np.r_[0, np.cumsum(length + 1)]
-    byte = np.full(int(place[-1]), 256, np.int64)
+    byte = np.full(int(place[-1]), 256, np.int16)
     inside = np.ones(len(byte), bool)
     inside[place[1:] - 1] = False
     byte[inside] = words
-    symbol = np.zeros(len(byte), np.int64)
+    symbol = np.zeros(len(byte), np.int32)
     symbol[inside] = of[words]
-    within = np.arange(len(byte)) - np.repeat(place[:-1], length + 1)
-    gram = symbol.copy()
+    gram, before = symbol.copy(), symbol
     for back in range(1, DEPTH + 1):
-        before = np.zeros(len(byte), np.int64)
-        before[back:] = symbol[:-back]
-        gram += np.where(within >= back, before, 0) * SYMBOLS**back
-    return gram, byte, place[:n]
+        last, before = before, np.zeros(len(byte), np.int32)
+        before[1:] = last[:-1]
+        before[place[:n]] = 0  # nothing of the word before
+        gram += before * SYMBOLS**back
+    return gram.astype(np.int64), byte, place[:n]
 
 
 class Letters:

@@ -193,3 +193,27 @@ def test_seating_of_sizes_together_follows_the_recurrence():
         w = np.cumsum(np.exp(w - w.max()))
         want.append(1 + int((w < x * w[-1]).sum()))
     assert pitman_yor.reseat(c, a, b, d, u).tolist() == want
+
+
+def test_grams_of_words_by_a_walk_and_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(11)
+    of = pitman_yor.classes(np.bincount(rng.integers(97, 123, 1000), minlength=256))
+    length = rng.integers(0, 9, 20_000)
+    words, ends = rng.integers(60, 140, int(length.sum())).astype(np.uint8), np.cumsum(length)
+    tracemalloc.start()
+    gram, byte, place = pitman_yor.grams(words, ends, of)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want, bytes_, places = [], [], []
+    for s, e in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        places.append(len(want))
+        before = [0] * pitman_yor.DEPTH
+        for b in [*words[s:e].tolist(), 256]:
+            symbol = 0 if b == 256 else int(of[b])
+            want.append(symbol + sum(x * pitman_yor.SYMBOLS ** (k + 1) for k, x in enumerate(before)))
+            bytes_.append(b)
+            before = [symbol, *before[:-1]]
+    assert (gram.tolist(), byte.tolist(), place.tolist()) == (want, bytes_, places)
+    assert peak < 36 * len(gram)
