@@ -181,6 +181,23 @@ def test_words_go_to_the_library_once(monkeypatch):
     assert " ".join(seen).split().count("miuear") == 1 and "".join(seen).lower().count("miuear") == 1
 
 
+def test_words_of_byte_level_files_go_to_the_library_once(monkeypatch):
+    """Whatever marks stand around them; and runs of letters, marks and blanks in any order give the library's ids."""
+    from clausula.llm import tokens
+
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    e, rng = tokens.Encoder(path), np.random.default_rng(8)
+    runs = ["Straße", "miuear", "THAT", ",", "***", "(", "'", "'s", "12", "_", "<|endoftext|>", "\x01", "e\u0301", "\u00d7", "\u6f22", "\u0130x", "\u00b2"]
+    texts = [blank.join("".join(rng.choice(runs, rng.integers(1, 5))) for _ in range(30)) for blank in (" ", "\n") * 40]
+    texts += [" ".join(x.replace("\n", " ") if i % 7 else x for i, x in enumerate(t.split(" "))) for t in texts]
+    want = [e.plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_all(pa.array(texts))] == want
+    e, seen, whole = tokens.Encoder(path), [], tokens.Encoder._whole
+    monkeypatch.setattr(tokens.Encoder, "_whole", lambda self, text: seen.append(text) or whole(self, text))
+    assert len(list(e.encode_all(pa.array(["x miuear, miuear!! miuear. a", "y miuear$$$ miuear?! a"])))) == 2
+    assert "".join(seen).count("miuear") == 1
+
+
 def test_seating_of_sizes_together_follows_the_recurrence():
     """Sizes that are seated in one array give the tables that each would have alone."""
     rng = np.random.default_rng(3)
