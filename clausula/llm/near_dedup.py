@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 
 from clausula.llm import bloom
 from clausula.llm.components import components
-from clausula.llm.shared import id_text, written
+from clausula.llm.shared import files_for, id_text, written
 from clausula.llm.texthash import buffers, mix, pieces, shingle_hashes, word_hashes
 
 HASHES, DISTANCE, CHUNKS = 64, 25, 13
 BLOCK, VISITORS = 512, 4096
+#: Texts that a file of an intermediate table says something of.
+TEXTS = 10_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -238,12 +240,12 @@ def _star_cells(near: DataFrame) -> DataFrame:
     return held.unionByName(past).withColumn("comp", F.col("id"))
 
 
-def _cluster_cells(meetings: DataFrame, comp: DataFrame) -> DataFrame:
+def _cluster_cells(meetings: DataFrame, comp: DataFrame, files: int) -> DataFrame:
     """Cells that bring all members of components that meet together, in pairs of blocks; blocks of one large component meet only others."""
-    cluster = components(meetings).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
+    cluster = components(meetings, files=files).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
     inside = cluster.join(comp.select(F.col("component").alias("comp"), F.col("node").alias("id")), "comp", "left").withColumn("id", F.coalesce("id", "comp"))
     large = inside.groupBy("cluster", "comp").count().withColumn("own", F.when(F.col("count") > BLOCK, F.col("comp")).otherwise(-1)).withColumn("large", F.col("count") > BLOCK).drop("count")
-    grouped = written(inside.join(large, ["cluster", "comp"]), "clusters")
+    grouped = written(inside.join(large, ["cluster", "comp"]), "clusters", files=files)
     parts = grouped.groupBy("cluster", "own", "large").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     blocks = parts.select("cluster", "own", "large", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"))
     a, b = blocks.toDF("cluster", "own_a", "large_a", "block_a"), blocks.drop("large").toDF("cluster", "own_b", "block_b")
@@ -261,25 +263,28 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     docs = id_text(docs)
     sets = written(docs.mapInArrow(lambda it: _sets(it, k), "doc_id long, n_shingles long, one long, two long, sig binary"), "sets")
     named = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(named.groupBy("one", "two", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("one", "two", "n_shingles", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig")), "classes")
-    shared = written(classes.select("rep", "sig").mapInArrow(_emit_keys, "key long, rep long").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_shared_keys, "key long, rep long, pivot long"), "shared")
+    files = files_for(sets.count(), TEXTS)
+    classes = written(named.groupBy("one", "two", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("one", "two", "n_shingles", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig")), "classes", files=files)
+    shared = written(classes.select("rep", "sig").mapInArrow(_emit_keys, "key long, rep long").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_shared_keys, "key long, rep long, pivot long"), "shared", files=files)
     stars = shared.where("pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     sig = classes.select("rep", "sig")
-    near = written(stars.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").mapInArrow(_near, "a long, b long"), "near")
-
     wanted = shared.select(F.col("rep").alias("id")).distinct()
-    bits = bloom.bits_for(wanted.count())
+    many = wanted.count()
+    few = files_for(many, TEXTS)
+    near = written(stars.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").mapInArrow(_near, "a long, b long"), "near", files=few)
+
+    bits = bloom.bits_for(many)
     maybe = docs.where(bloom.may_contain(docs, F.col("doc_id"), bloom.filter_of(wanted, F.col("id"), bits)))
-    texts = written(maybe.join(wanted, maybe.doc_id == wanted.id, "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
+    texts = written(maybe.join(wanted, maybe.doc_id == wanted.id, "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts", files=few)
 
-    first = written(_confirmed(_star_cells(near), texts, k, percent), "links")
-    comp = written(components(first), "components")
+    first = written(_confirmed(_star_cells(near), texts, k, percent), "links", files=few)
+    comp = written(components(first, files=few), "components", files=few)
     at = shared.select("key", "rep").join(comp.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     meetings = at.join(mixed, "key").join(sig, "rep").select("key", "comp", "sig").repartition("key").sortWithinPartitions("key", "comp").mapInArrow(_meetings, "a long, b long").distinct()
-    second = _confirmed(_cluster_cells(meetings, comp), texts, k, percent)
-    links = written(first.unionByName(second), "links")
-    final = components(links).select(F.col("node").alias("rep"), "component")
+    second = _confirmed(_cluster_cells(meetings, comp, few), texts, k, percent)
+    links = written(first.unionByName(second), "links", files=2 * few)
+    final = components(links, files=few).select(F.col("node").alias("rep"), "component")
     labelled = classes.join(final, "rep", "left").select("one", "two", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = named.drop("sig").join(labelled, ["one", "two", "n_shingles"]).select("doc_id", "n_shingles", "component")
     rest = sets.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))

@@ -32,9 +32,16 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/clausula/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder, so that later plans start from files and not from its lineage."""
+def files_for(rows: int, each: int) -> int:
+    """Files that hold so many rows: one for each `each` of them, and some for small tables."""
+    return max(8, -(-rows // each))
+
+
+def written(df: DataFrame, label: str, compression: str = "zstd", files: int | None = None) -> DataFrame:
+    """df as a table in the shared folder, so that later plans start from files and not from its lineage. files: at most so many, where
+    the rows are known to be few for the number of shuffle partitions (each file costs its task several calls of the file system)."""
     path = scratch(df.sparkSession, label)
+    df = df if files is None else df.coalesce(files)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -80,6 +80,27 @@ def test_near_duplicates(spark, odd, empty):
     assert near_dedup.without_near_copies(odd).count() == 11
 
 
+def test_near_duplicates_of_few_rows_write_few_files(spark, tmp_path, monkeypatch):
+    """However many shuffle partitions there are."""
+    from clausula.llm import shared
+
+    confs = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in confs}
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
+    text = "w" + " w".join(map(str, range(60)))
+    docs = [(i, text.replace("w7 ", f"x{i} ") if i < 40 else " ".join(f"{i}a{j % 50}" for j in range(99))) for i in range(120)]
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 if i < 40 else i for i in range(120)}
+    files = {p.name: len(list(p.glob("part-*"))) for p in (tmp_path / "clausula").iterdir()}
+    assert len(files) > 10 and max(files.values()) <= 16, files
+
+
 def test_near_duplicates_of_a_large_group(spark):
     """Chains and a crowd whose members are near or just too far, against all pairs."""
     rng = np.random.default_rng(3)
