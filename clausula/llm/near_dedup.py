@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from clausula.llm import bloom
 from clausula.llm.components import components
-from clausula.llm.shared import files_for, id_text, written
+from clausula.llm.shared import files_for, id_text, tidy, written
 from clausula.llm.texthash import buffers, mix, pieces, shingle_hashes, word_hashes
 
 HASHES, DISTANCE, CHUNKS = 64, 25, 13
@@ -81,6 +81,7 @@ def keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
+@tidy
 def _sets(batches, k: int):
     for b in batches:
         for first, h, place in shingle_sets(b["text"], k):
@@ -98,6 +99,7 @@ def _as_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
+@tidy
 def _emit_keys(batches):
     for b in batches:
         for i in range(0, b.num_rows, 2000):
@@ -106,6 +108,7 @@ def _emit_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), pa.array(np.repeat(part["rep"].to_numpy(), HASHES))], ["key", "rep"])
 
 
+@tidy
 def _shared_keys(batches):
     """Of rows sorted by key and rep: those whose key another row has, with the first rep of the key."""
     held_key = held_rep = pivot = None
@@ -134,6 +137,7 @@ def _shared_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(held_key), pa.array(held_rep), pa.array([pivot])], ["key", "rep", "pivot"])
 
 
+@tidy
 def _near(batches):
     for b in batches:
         if b.num_rows:
@@ -157,6 +161,7 @@ def _runs(batches, key: str):
         yield pa.Table.from_batches(held)
 
 
+@tidy
 def _meetings(batches):
     """Of each bucket of several components: pairs of components that join all those with members near each other (a forest)."""
     seen: set[tuple[int, int]] = set()
@@ -192,6 +197,7 @@ def _meetings(batches):
         yield out()
 
 
+@tidy
 def _confirm(batches, k: int, percent: int):
     """In rows sorted by cell and side: links of each visitor with one similar member of each other component."""
     now, members, ready = None, [], None

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausula.llm.shared import id_text, written
+from clausula.llm.shared import id_text, tidy, written
 from clausula.llm.tokens import encoder
 
 #: Pieces of one length that one task numbers; a length has as many slices as its count asks for.
@@ -99,11 +99,12 @@ def allocation(bins: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray,
     return {k: tuple(np.array(c, np.int64) for c in zip(*v)) for k, v in rows.items()}
 
 
-def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, with_ids: bool = False, cache_bytes: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of each piece of docs (doc_id, text)."""
 
+    @tidy
     def rows(batches):
-        encode, end = encoder(path).encode_all, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path, cache_bytes).encode_all, np.array([end_id], "<u4").tobytes()
         for b in batches:
             texts = zip(b["doc_id"].to_pylist(), encode(b["text"]))
             while some := list(itertools.islice(texts, 256)):
@@ -146,9 +147,9 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
     return put.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("at.sequence_id").alias("sequence_id"), F.col("at.offset").alias("offset"))
 
 
-def packed(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = token_pieces(id_text(docs), path, end_id, capacity)
+def packed(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, cache_bytes: int | None = None) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. cache_bytes: as for `encoder`."""
+    pieces = token_pieces(id_text(docs), path, end_id, capacity, cache_bytes=cache_bytes)
     return place(written(pieces, "pieces"), capacity)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausula.llm import boost
-from clausula.llm.shared import id_text, written
+from clausula.llm.shared import id_text, tidy, written
 from clausula.llm.texthash import buffers, pieces
 
 SAMPLE_ROWS = 20_000
@@ -146,6 +146,7 @@ def features(texts: pa.Array, classes: Classes) -> np.ndarray:
     return out
 
 
+@tidy
 def _counts(batches):
     """By term and fold: in how many toxic and in how many other texts. One row for each term of a bounded run of texts."""
     held: Counter = Counter()
@@ -210,6 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     folds = [lexicon_of(sums[1] - got[f, 1], sums[0] - got[f, 0], names, rate, n) for f in range(FOLDS)]
     held = spark.sparkContext.broadcast(folds)
 
+    @tidy
     def feature_rows(batches):
         known = [Classes(x) for x in held.value]
         for b in batches:
@@ -235,6 +237,7 @@ def score(docs: DataFrame, model: Model, to: dict[str, str] | None = None) -> Da
     """docs (doc_id, text) with the score of each text: doc_id, score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def rows(batches):
         classes = Classes(held.value.lexicon)
         for b in batches:

@@ -14,6 +14,9 @@ from clausula.llm import exact_dedup, near_dedup, packing, secrets, toxicity
 from clausula.llm.queries import tokenizer_file
 from clausula.llm.shared import written
 
+#: Executors still hold what the stages before packing took, so its workers remember fewer pieces than op10's.
+PACK_CACHE_BYTES = 10_000_000
+
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -32,7 +35,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    return packing.packed(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=2048, cache_bytes=PACK_CACHE_BYTES)
 
 
 STAGES = [("toxicity", remove_toxic), ("exact dedup", remove_copies), ("MinHash near-dedup", remove_near_copies), ("secret scans", redact_secrets), ("best-fit packing", pack)]

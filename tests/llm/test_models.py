@@ -234,3 +234,37 @@ def test_grams_of_words_by_a_walk_and_in_bounded_memory():
             before = [symbol, *before[:-1]]
     assert (gram.tolist(), byte.tolist(), place.tolist()) == (want, bytes_, places)
     assert peak < 36 * len(gram)
+
+
+def test_encoders_keep_as_little_as_asked(spark):
+    """A small cache turns its generations over and gives the same ids; and packing passes its size on."""
+    from clausula.llm import packing, tokens
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(40)) for _ in range(30)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = queries.tokenizer_file(name)
+        want = list(tokens.Encoder(path).encode_all(pa.array(texts)))
+        e = tokens.encoder(path, cache_bytes=20_000)
+        assert [x for t in texts for x in e.encode_all(pa.array([t]))] == want
+        assert len(e.held) + len(e.older) < 600 and e.older
+        assert tokens.encoder(path).cache_bytes is None
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [packing.token_pieces(docs, path, 0, 64, cache_bytes=x).orderBy("doc_id", "piece").collect() for x in (None, 20_000)]
+    assert rows[0] == rows[1]
+
+
+def test_tasks_hand_back_memory(monkeypatch):
+    """When their last batch is done, and also when nobody reads on."""
+    from clausula.llm import near_dedup, shared
+
+    given = []
+    monkeypatch.setattr(shared, "hand_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "text": ["a b c", "d e f"]})
+    assert sum(b.num_rows for b in near_dedup._sets([batch], 2)) == 2 and len(given) == 1
+    rows = near_dedup._sets([batch], 2)
+    next(rows)
+    rows.close()
+    assert len(given) == 2
+    monkeypatch.undo()
+    shared.hand_back()
