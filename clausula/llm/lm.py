@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausula.llm import pitman_yor as py
-from clausula.llm.shared import bucketed, delete, id_text, scratch
+from clausula.llm.shared import bucketed, delete, hand_back, id_text, scratch
 from clausula.llm.texthash import _BASE, _LOWER, buffers, mix, pieces, run_hashes, word_hashes, word_spans
 
 BLOCK_BYTES = 11_000_000
@@ -334,7 +334,9 @@ class Block:
         """Distinct triples, the triple of each token, each triple's last pair and its first."""
         with np.errstate(over="ignore"):
             triple = mix(np.r_[np.uint64(0), self._pairs[4][:-1]] * np.uint64(_BASE) + self.hash[self.word]) & BITS
-        key, place, at = distinct(triple[self.real])
+        triple = triple[self.real]
+        self.__dict__["_pairs"] = (*self._pairs[:4], None)  # nothing else needs the hashes by position
+        key, place, at = distinct(triple)
         at = np.flatnonzero(self.real)[at]
         return key, place, self.pair[at], self.pair[at - 1]
 
@@ -414,18 +416,23 @@ def _at_part(t: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(rows, TYPE)
 
 
+def _narrow(kind: str, width: int) -> str:
+    """Whole numbers stored in at most two bytes are held in four, not eight: results do not depend on it, a block's memory does."""
+    return "i4" if kind == "i8" and width <= 2 else kind
+
+
 class Known:
     """What came to a block, in order of its hashes; None where it is not there yet."""
 
     def __init__(self, rows: pa.Table):
         got: dict[int, list] = {}
-        for r in rows.sort_by([("kind", "ascending"), ("part", "ascending")]).to_pylist():
+        for r in rows.select(["kind", "part", "n", "data"]).sort_by([("kind", "ascending"), ("part", "ascending")]).to_pylist():
             got.setdefault(r["kind"], []).append(r)
 
         def read(kind, *types):
             if kind not in got:
                 return [None] * len(types)
-            return [np.concatenate(x) for x in zip(*(_unpack(r["data"], r["n"], *types) for r in got[kind]))]
+            return [np.concatenate(x) for x in zip(*(_unpack(r["data"], r["n"], *map(_narrow, types, r["data"])) for r in got.pop(kind)))]
 
         (both,), (self.t3,), (self.t2,) = read(TRIPLE_COUNTS, "i8"), read(TRIPLE_TABLES, "i8"), read(PAIR_TABLES, "i8")
         if both is not None:
@@ -437,8 +444,9 @@ class Known:
             self.n2, self.own2, self.sole2 = both >> 2, (both & 1).astype(bool), (both & 2).astype(bool)
             sums = read(PAIR_SUMS, "i8", "i8")
             if SOLE_SUMS in got:
-                parted, sums = sums, [np.empty(len(both), np.int64) for _ in range(2)]
-                for x, a, b in zip(sums, parted, read(SOLE_SUMS, "i8", "i8")):
+                parted, sole = sums, read(SOLE_SUMS, "i8", "i8")
+                sums = [np.empty(len(both), np.result_type(*(x for x in (a, b) if x is not None))) for a, b in zip(parted, sole)]
+                for x, a, b in zip(sums, parted, sole):
                     x[self.sole2] = b
                     if a is not None:
                         x[~self.sole2] = a
@@ -476,9 +484,16 @@ def _kept(block: int, kind: int, arrays: list[np.ndarray], ones: int = 0, twos:
     return _row(kind, block, -1 - block % (1 << 31), len(arrays[0]), _pack(*arrays), None, ones, twos)
 
 
+def _with_triples(row: pa.Table) -> Block:
+    """The block with its triples found, which needs room of its own, before what is known of it is read."""
+    block = Block(row)
+    _ = block.key3
+    return block
+
+
 def _seat_triples(left: pa.Table, right: pa.Table, d3: float, d2: float, sweep: int, bits: int) -> pa.Table:
     """Seat a block's triples; what they say of pairs goes to the parts, but for pairs that no other block has."""
-    block, k = Block(left), Known(right)
+    block, k = _with_triples(left), Known(right)
     t = k.t3 if not sweep else triple_tables(block, k, pair_probability(block, k, k.t2, d2), d3, sweep)
     own, size = k.own3, len(block.key2)
     sums = [np.bincount(x[own], t[own], size).astype(np.int64) for x in (block.context3, block.pair3)]
@@ -566,23 +581,40 @@ def _words_of(held):
 
 def _scored(left: pa.Table, right: pa.Table, held, d3: float, d2: float, total: int, words: int) -> pa.Table:
     spelling, d, tables, customers = held.value
-    block, k = Block(left), Known(right)
+    block, k = _with_triples(left), Known(right)
     lost = np.flatnonzero(k.tokens == 0)
     if len(lost):
         k.p1 = k.p1.astype(float)
         k.p1[lost] = (py.STRENGTH + d * tables) * np.exp(spelling.log(block.words.take(pa.array(lost)))) / (py.STRENGTH + customers)
     # Probabilities are linear in the numbers of tables, so these are averaged: the last sweep's, and those of more seatings.
-    t3 = np.mean([k.t3, *(triple_tables(block, k, pair_probability(block, k, k.t2, d2), d3, 100 + draw) for draw in range(1, GRAM_DRAWS))], 0)
-    t2 = np.mean([k.t2, *(pair_tables(block, k, d2, 100 + draw) for draw in range(1, GRAM_DRAWS))], 0)
-    up = ((py.STRENGTH + d3 * k.tables2) / (py.STRENGTH + k.n2))[block.context3] * pair_probability(block, k, t2, d2)[block.pair3]
-    after = np.maximum(k.c3 - d3 * t3, 0) / (py.STRENGTH + k.n2)[block.context3] + up
+    t3, p2 = k.t3, pair_probability(block, k, k.t2, d2)
+    for draw in range(1, GRAM_DRAWS):
+        t3 = t3 + triple_tables(block, k, p2, d3, 100 + draw)
+    t2 = k.t2
+    for draw in range(1, GRAM_DRAWS):
+        t2 = t2 + pair_tables(block, k, d2, 100 + draw)
+    p2 = pair_probability(block, k, t2 / GRAM_DRAWS, d2)
+    after = np.maximum(k.c3 - d3 * (t3 / GRAM_DRAWS), 0)
+    del t2, t3, k.c3, k.t3, k.own3
+    strength = py.STRENGTH + k.n2
+    after /= strength[block.context3]
+    after += ((py.STRENGTH + d3 * k.tables2) / strength)[block.context3] * p2[block.pair3]
+    after = np.log10(np.maximum(after, 1e-300))
     at = np.r_[0, np.cumsum(block.n)[:-1]]
     add = lambda x: np.add.reduceat(x, at)
-    whole = add(np.log10(np.maximum(after, 1e-300))[block.triple])
+    whole = add(after[block.triple])
     base, code, n = np.log10((k.tokens + 1) / (total + words + 1)), block.word[block.real], block.n
     return pa.table({"doc_id": left["doc_id"].combine_chunks().flatten(), "held_out": left["held_out"].combine_chunks().flatten(), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(add((k.tokens > 0).astype(np.int64)[code])), "train_tokens": pa.array(np.full(len(n), total, np.int64)), "base_score": pa.array(add(base[code])), "score": pa.array(whole), "perplexity": pa.array(10 ** np.minimum(-whole / n, 300))})
 
 
+def _given_back(fn, *tables: pa.Table) -> pa.Table:
+    """fn of the tables; what it took besides its result goes back to the system, as both workers of an executor and its JVM share the memory."""
+    try:
+        return fn(*tables)
+    finally:
+        hand_back()
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark, paths = docs.sparkSession, {}
@@ -623,10 +655,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     def with_known(known: list[DataFrame], fn, schema: str = ROWS, own: DataFrame = left) -> DataFrame:
         known = functools.reduce(DataFrame.unionAll, known)  # all dealt by block, so that none of their rows moves
-        return own.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(fn, schema)
+        return own.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda a, b: _given_back(fn, a, b), schema)
 
     def at_parts(sent: DataFrame) -> DataFrame:
-        return sent.groupBy("part").applyInArrow(_at_part, ROWS)
+        return sent.groupBy("part").applyInArrow(lambda t: _given_back(_at_part, t), ROWS)
 
     def of(df: DataFrame | None, *kinds: int) -> list[DataFrame]:
         return [] if df is None else [df.where(F.col("kind").isin(*kinds))]

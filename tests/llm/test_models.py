@@ -268,3 +268,15 @@ def test_tasks_hand_back_memory(monkeypatch):
     assert len(given) == 2
     monkeypatch.undo()
     shared.hand_back()
+
+
+def test_what_a_block_knows_takes_four_bytes_a_small_number():
+    """Numbers of more than two bytes keep eight; both read alike."""
+    from clausula.llm import lm
+
+    counts = [np.array([3, 0, 1, 700]), np.array([1 << 40, 5, 0, 2])]
+    for parts, kind in (((0,), np.int32), ((1,), np.int64), ((0, 1), np.int64)):
+        rows = [lm._row(lm.TRIPLE_COUNTS, 7, i, 4, lm._pack(2 * counts[i] + 1)) for i in parts]
+        k = lm.Known(pa.Table.from_pylist(rows, lm.TYPE))
+        assert k.c3.dtype == kind and k.own3.all()
+        assert k.c3.tolist() == [x for i in parts for x in counts[i].tolist()]
