@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausula.operators import rules
-from clausula.plans.tables import cut, load
+from clausula.plans.tables import cut, load, spread
 from clausula.sources import bundles, json_schema, trees
 
 
@@ -89,7 +89,7 @@ def files(parts: DataFrame) -> DataFrame:
 
 
 def _lowered(spark, sf) -> json_schema.Lowered:
-    return json_schema.lower(files(load(spark, sf, "part")))
+    return json_schema.lower(files(spread(load(spark, sf, "part"))))
 
 
 def _register() -> list[tuple[str, str]]:
@@ -128,7 +128,7 @@ def json_schema_documents(spark, sf) -> DataFrame:
 
 
 def json_schema_references(spark, sf) -> DataFrame:
-    tree = cut(trees.nodes(files(load(spark, sf, "part")), ("bundle", "file")), "nodes")
+    tree = cut(trees.nodes(files(spread(load(spark, sf, "part"))), ("bundle", "file")), "nodes")
     return json_schema.references(tree).select("bundle", "pointer", "target", "local")
 
 

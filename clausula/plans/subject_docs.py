@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausula.operators import closure, subjects
-from clausula.plans.tables import cut, load
+from clausula.plans.tables import cut, load, spread
 from clausula.sources import trees
 
 
@@ -72,7 +72,7 @@ def documents(parts: DataFrame) -> DataFrame:
 
 
 def subject_findings(spark, sf) -> DataFrame:
-    return subjects.findings(cut(trees.nodes(documents(load(spark, sf, "part"))), "subject-tree")).select("doc_id", "pointer", "code")
+    return subjects.findings(cut(trees.entries(documents(spread(load(spark, sf, "part"))), "types"), "subject-tree")).select("doc_id", "pointer", "code")
 
 
 def carried_values(spark, sf) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from clausula.operators import surface
-from clausula.plans.tables import cut, load
+from clausula.plans.tables import cut, load, spread
 
 
 @dataclass
@@ -118,7 +118,7 @@ def _pairs(spark, sf) -> DataFrame:
         slot = lambda k, index: _chosen(index, [t and t.replace("@", f"s{k}") for t in (getattr(f, side) for f in FORMS)])
         return f"""concat('{{"types":[', concat_ws(',', '{_FIXED}', {slot(0, _I0)}, {slot(1, _I1)}), ']', {_chosen(_ENV, [t and "," + t if t is not None else None for t in (getattr(f, side) for f in ENVELOPES)])}, '}}')"""
 
-    return load(spark, sf, "part").selectExpr("CAST(p_partkey AS BIGINT) AS pair_id", f"{text('before')} AS before", f"{text('after')} AS after", f"{_POLICY} AS policy")
+    return spread(load(spark, sf, "part")).selectExpr("CAST(p_partkey AS BIGINT) AS pair_id", f"{text('before')} AS before", f"{text('after')} AS after", f"{_POLICY} AS policy")
 
 
 def surface_changes(spark, sf) -> DataFrame:

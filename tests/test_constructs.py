@@ -38,3 +38,33 @@ def test_unenforced_members(spark):
     texts = spark.createDataFrame([("d", json.dumps(doc))], "doc_id string, text string")
     got = {(r.member, r.pointer) for r in constructs.unenforced(constructs.Contract(trees.nodes(texts))).collect()}
     assert got == {("clauses", "/ir/types/0/clauses"), ("frames", "/ir/types/1/operations/0/frame"), ("transitions", "/ir/types/1/transitions"), ("guards", "/ir/types/1/transitions/0/guard")}
+
+
+def test_opened_trees_are_whole_trees(spark):
+    """Entries of collections as the rules see them, from a tree opened in one walk and from the whole node table; odd texts and names too."""
+    from clausula.operators.constructs import _below
+    from clausula.sources import trees
+
+    odd = {"a.b": [{"c~/d": 1.50}], "": None, "members": {"x/y": ["r", True, {}]}, "list": [[], [[2]]], "0": 0}
+    texts = [
+        json.dumps({"ir": {"types": [odd, "s", None, [1, {"k": "v"}], 7], "constructs": [{"construct": {"references": {"o~w/n": ["a"]}}}], "other": [1]}}),
+        '{"ir":{"types":{"0":{"kind":"x"}},"constructs":[]}}', '{"ir":[{"types":[1]}]}', '[{"types":[1]}]', "{", "7", None, '{"ir":{"types":[{"a":1,"a":2}]}}', '{"ir":null}',
+    ]
+    texts = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    for name in ("types", "constructs"):
+        a, b = (sorted(_below(t, name).collect(), key=repr) for t in (trees.nodes(texts), trees.entries(texts, "types", "constructs")))
+        assert a == b and len(a) >= 5
+
+
+def test_documents_of_a_small_table_go_to_all_cores(spark, small):
+    """A part becomes a document of hundreds of nodes: one file of parts must not be one task."""
+    from clausula.plans import construct_docs
+
+    for query in construct_docs.QUERIES.values():
+        got = []
+        real, construct_docs.trees.entries = construct_docs.trees.entries, lambda texts, *names: got.append(texts.rdd.getNumPartitions()) or real(texts, *names)
+        try:
+            query(spark, small)
+        finally:
+            construct_docs.trees.entries = real
+        assert got and min(got) >= spark.sparkContext.defaultParallelism
