@@ -67,3 +67,24 @@ def test_ancestors_have_the_longest_way(spark):
     edges = [(i, i + 1) for i in range(40)] + [(0, 20), (5, 39), (100, 101), (101, 100), (100, 3)]
     got = {(x.node, x.ancestor): x.distance for x in closure.ancestors(table(spark, edges)).collect()}
     assert {k: v for k, v in got.items() if k[0] < 100} == {(a, b): b - a for a in range(41) for b in range(a + 1, 41)}
+
+
+def test_rounds_go_by_chains_and_not_by_the_table(spark, monkeypatch):
+    """One small ring among many nodes: rounds end with the longest chain that ends, and with the least of the rings."""
+    from clausula.operators import closure
+
+    written, real = [], closure.cut
+    monkeypatch.setattr(closure, "cut", lambda df, label="step": written.append(label) or real(df, label))
+    refs = spark.range(2, 1 << 14).selectExpr("id AS src", "CASE WHEN id < 6 THEN id ^ 1 ELSE id - id % 4 END AS dst").where("src <> dst")
+    nodes = spark.range(1 << 14).toDF("node")
+    got = {r.status: r.n for r in closure.resolve_chain(refs, nodes).groupBy("status").agg({"*": "count"}).toDF("status", "n").collect()}
+    assert got["cycle"] == 6 and sum(got.values()) == 1 << 14 and len(written) < 6
+    written.clear()
+    values = nodes.where("node % 4 = 0").selectExpr("node", "node AS value")
+    ends = {r.node: (r.terminal, r.n, r.first) for r in closure.carried(refs, values, nodes).where("node < 13").collect()}
+    assert ends[9] == (8, 1, 8) and ends[8] == (8, 1, 8) and ends[5] == (None, None, None) and len(written) < 6
+    written.clear()
+    rings = spark.range(1 << 12).selectExpr("id AS src", "id - id % 8 + (id + 3) % 8 AS dst").unionByName(spark.range(1 << 12, (1 << 12) + 37).selectExpr("id AS src", "(id - 4096 + 5) % 37 + 4096 AS dst"))
+    parts = {r.node: r.component for r in closure.strong_components(rings).collect()}
+    assert parts == {i: i - i % 8 for i in range(1 << 12)} | {i: 1 << 12 for i in range(1 << 12, (1 << 12) + 37)}
+    assert written.count("passed") < 10
